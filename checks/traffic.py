@@ -21,7 +21,9 @@ from tidegauge.operators import timeseries as ts
 from tidegauge.operators.aggregates import dim_count, share, traffic_counters
 from tidegauge.plans.dashboards import ADMIN, APP_LOGS, AUTHORING, AUTHORING_WORKERS, BACKEND, DELIVERY, MIXER
 from tidegauge.plans.facets import APP_LOG_ROLLUP, CDN_ROLLUP
+from tidegauge.session import shared_folder
 from tidegauge.sources.rollup import minute_rollup
+from tidegauge.sources.writers import write_facts
 from tidegauge.spec import (
     FacetFilter, LEVEL_COUNTERS, LogTable, OUTCOME_COUNTERS, Query, RANGE_PRESETS, TimeRange,
 )
@@ -335,7 +337,6 @@ _ENTITIES_SQL = """(SELECT *, regexp_extract_all(message, 'https?://[^\\s''"}>\\
     regexp_extract_all(message, '/[a-zA-Z0-9._%-]+(?:/[a-zA-Z0-9._%-]+)+') AS paths,
     regexp_extract_all(message, '[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\\.[a-zA-Z]{2,}') AS emails,
     regexp_extract_all(message, '\\b\\d{1,3}\\.\\d{1,3}\\.\\d{1,3}\\.\\d{1,3}\\b') AS ips FROM app_log)"""
-_all_facets("facets_app_logs", _ENTITIES_SQL, APP_LOGS, _enriched) if False else None
 
 
 def _app_log_facets():
@@ -436,28 +437,35 @@ def _(spark, sf):
     return minute_rollup(_enriched(spark, sf), APP_LOGS, APP_LOG_ROLLUP)
 
 
+def _stored(spark, rollup: DataFrame) -> DataFrame:
+    """The roll-up as it is used: written once, read by day."""
+    path = shared_folder(spark, "rollup")
+    write_facts(rollup, path, time="minute", sort=("facet",))
+    return spark.read.parquet(path)
+
+
 @check("breakdown_rollup", views("access", sql_breakdown(
     "access", "platform_contentbus_prefix", MONTH_WHERE + " AND platform_contentbus_prefix <> ''", n=10,
     summary="platform_contentbus_prefix = 'live'", other=True)))
 def _(spark, sf):
-    rollup = minute_rollup(v.access(spark, sf), DELIVERY, CDN_ROLLUP)
-    return bd.rollup_breakdown(rollup, DELIVERY.facets["tier"], MONTH, with_other=True)
+    rollup = _stored(spark, minute_rollup(v.access(spark, sf), DELIVERY, CDN_ROLLUP))
+    return bd.rollup_breakdown(rollup, DELIVERY.facets["tier"], MONTH, day="dt", with_other=True)
 
 
 @check("breakdown_rollup_lambda", views("app_log", sql_breakdown(
     "app_log", "level", n=10, amount="1", conditions=LEVEL_COUNTERS, summary="lower(level) = 'error'")))
 def _(spark, sf):
-    rollup = minute_rollup(_enriched(spark, sf), APP_LOGS, APP_LOG_ROLLUP)
-    return bd.rollup_breakdown(rollup, APP_LOGS.facets["level"], MONTH)
+    rollup = _stored(spark, minute_rollup(_enriched(spark, sf), APP_LOGS, APP_LOG_ROLLUP))
+    return bd.rollup_breakdown(rollup, APP_LOGS.facets["level"], MONTH, day="dt")
 
 
 @check("flt_minute_range", views("access", f"""
     SELECT CAST(sum(weight) AS BIGINT) AS cnt FROM access
     WHERE date_trunc('minute', timestamp) BETWEEN TIMESTAMP '2024-01-03 04:05:00' AND TIMESTAMP '2024-01-20 06:07:00'"""))
 def _(spark, sf):
-    rollup = minute_rollup(v.access(spark, sf), DELIVERY, {"method": "request_method"})
+    rollup = _stored(spark, minute_rollup(v.access(spark, sf), DELIVERY, {"method": "request_method"}))
     rng = TimeRange.free(datetime(2024, 1, 3, 4, 5, 59), datetime(2024, 1, 20, 6, 7, 1))
-    return rollup.filter(p.minutes_between(rollup, rng)).agg(F.sum("cnt").cast("bigint").alias("cnt"))
+    return rollup.filter(p.minutes_between(rollup, rng, day="dt")).agg(F.sum("cnt").cast("bigint").alias("cnt"))
 
 
 @check("rollup_router", views("access", f"""
@@ -468,7 +476,7 @@ def _(spark, sf):
      SELECT 'hosts' AS facet, * FROM ({top_and_totals('g', 10, summary=True)}))"""))
 def _(spark, sf):
     df = v.access(spark, sf)
-    rollup = minute_rollup(df, DELIVERY, CDN_ROLLUP)
+    rollup = _stored(spark, minute_rollup(df, DELIVERY, CDN_ROLLUP))
     parts = [bd.pick_source(df, rollup, DELIVERY, DELIVERY.facets[n], MONTH).select(F.lit(n).alias("facet"), "*")
              for n in ("methods", "hosts")]
     return reduce(DataFrame.unionByName, parts)
@@ -571,9 +579,8 @@ _MS = "CAST(floor(value * 1000) AS BIGINT)"
 @check("range_snap", f"""
     WITH r AS (SELECT event_id, ts AS a, ts + to_milliseconds(CASE WHEN event_id % 2 = 0 THEN {_MS} ELSE -{_MS} END) AS b FROM events),
     m AS (SELECT event_id, epoch_us(least(a, b)) // 60000000 AS s,
-                 -((-epoch_us(greatest(a, b))) // 60000000) AS e0 FROM r),
-    n AS (SELECT event_id, s, greatest(CASE WHEN e0 * 60000000 < 0 THEN e0 ELSE e0 END, s + 1) AS e FROM (
-            SELECT event_id, s, (SELECT 0) AS z, CAST(ceil(epoch_us(greatest(a, b)) / 60000000.0) AS BIGINT) AS e0 FROM m JOIN r USING (event_id)))
+                 CAST(ceil(epoch_us(greatest(a, b)) / 60000000.0) AS BIGINT) AS e FROM r),
+    n AS (SELECT event_id, s, greatest(e, s + 1) AS e FROM m)
     SELECT event_id,
            make_timestamp(60000000 * CASE WHEN e - s < 3 THEN CAST(floor((s + e) / 2.0 - 1.5) AS BIGINT) ELSE s END) AS start,
            make_timestamp(60000000 * CASE WHEN e - s < 3 THEN CAST(ceil((s + e) / 2.0 + 1.5) AS BIGINT) ELSE e END) AS "end"

@@ -221,14 +221,22 @@ def all_facets(df: DataFrame, table: LogTable, facets: Iterable[Facet], query: Q
     entries = F.flatten(F.array(*[_facet_entry(table, f, query) for f in facets]))
     rows = base.select(F.explode(entries).alias("e"), *[c.alias(n) for n, c in counters.items()])
     groups = rows.groupBy(F.col("e.facet").alias("facet"), F.col("e.dim").alias("dim")).agg(*resum())
-    return top_and_totals_by(groups, ["facet"], query.top, with_other)
+    # Facets without any value still get their (zero) totals row.
+    names = df.sparkSession.range(0, 1, 1, 1).select(
+        F.explode(F.array(*[F.lit(f.name) for f in facets])).alias("facet"))
+    return top_and_totals_by(groups, ["facet"], query.top, with_other, names)
 
 
-def top_and_totals_by(groups: DataFrame, keys: list[str], n: int, with_other: bool = False) -> DataFrame:
-    """``top_and_totals`` for every key at once."""
+def top_and_totals_by(groups: DataFrame, keys: list[str], n: int, with_other: bool = False,
+                      known: DataFrame | None = None) -> DataFrame:
+    """``top_and_totals`` for every key at once, and for all ``known`` keys."""
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*by_count()))
     top = groups.withColumn("rank", rank).filter(F.col("rank") <= n).drop("rank")
-    total = groups.groupBy(*keys).agg(*resum())
+    counted = groups.select(*keys, *COUNTERS)
+    if known is not None:
+        zeros = [F.lit(0).cast("bigint").alias(c) for c in COUNTERS]
+        counted = counted.unionByName(known.select(*keys, *zeros))
+    total = counted.groupBy(*keys).agg(*resum())
     null_dim = F.lit(None).cast("string")
 
     def labelled(df: DataFrame, kind: str, dim: Column) -> DataFrame:

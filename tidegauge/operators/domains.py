@@ -78,4 +78,4 @@ def domain_listing(report: DataFrame, sort: str = "total", ascending: bool = Fal
     """The report as listed: text filter, any sort column, new-domain mark."""
     rows = report.filter(any_column_contains(["domain", "owner", "repo"], text))
     rows = rows.withColumn("is_new", F.col("age_days") <= NEW_DOMAIN_DAYS)
-    return ordered(rows, sort, ascending, [F.col("total").desc(), F.col("domain")])
+    return ordered(rows, sort, ascending, [F.col("total").desc(), "domain", "owner", "repo", "cdn_type"])

@@ -51,7 +51,8 @@ def _search_values(df: DataFrame, table: LogTable, facet: Facet, query: Query) -
     rows = df.filter(page_filter(df, table, query))
     value = F.explode(F.expr(facet.filter_col)) if facet.is_array else F.expr(facet.filter_col or facet.dim)
     keep = [c for c in [table.weight] if c]
-    return (rows.select(value.cast("string").alias("dim"), *keep).groupBy("dim").agg(dim_count(table)))
+    values = rows.select(value.alias("dim"), *keep)
+    return values.groupBy(F.col("dim").cast("string").alias("dim")).agg(dim_count(table))
 
 
 def next_values(df: DataFrame, table: LogTable, facet: Facet, query: Query,
@@ -114,7 +115,7 @@ def ranked_suggestions(names: DataFrame, text: str, column: str = "owner_repo",
     return ranked.orderBy("rank", value, F.col(column)).limit(rows)
 
 
-def ordered(df: DataFrame, column: str, ascending: bool = True, ties: Sequence[Column] = ()) -> DataFrame:
+def ordered(df: DataFrame, column: str, ascending: bool = True, ties: Sequence[Column | str] = ()) -> DataFrame:
     """Order by any column; text ignores case."""
     key = F.col(column)
     if df.schema[column].dataType.typeName() == "string":
