@@ -230,14 +230,29 @@ def _(spark, sf):
     return _sites(spark, sf)
 
 
-@check("join_config_resolved", _config("SELECT * FROM resolved"))
+# Members of an object have no order, so merged settings compare by value.
+_MEMBERS = {"features": ("a", "b.x", "b.y", "b.z", "c", "d"), "limits": ("max", "min")}
+
+
+def _by_member(df: DataFrame) -> DataFrame:
+    members = {f"{c}_{m.replace('.', '_')}": F.get_json_object(c, f"$.{m}") for c, names in _MEMBERS.items() for m in names}
+    return df.withColumns(members).drop(*_MEMBERS)
+
+
+def _by_member_sql(source: str, columns: str = "*") -> str:
+    members = ", ".join(f"json_extract_string(nullif({c}, ''), '$.{m}') AS {c}_{m.replace('.', '_')}"
+                        for c, names in _MEMBERS.items() for m in names)
+    return f"SELECT {columns} EXCLUDE (features, limits), {members} FROM {source}"
+
+
+@check("join_config_resolved", _config(_by_member_sql("resolved")))
 def _(spark, sf):
-    return _resolved(spark, sf)
+    return _by_member(_resolved(spark, sf))
 
 
-@check("json_merge_patch", _config("SELECT org, site, features, limits FROM resolved WHERE features <> ''"))
+@check("json_merge_patch", _config(_by_member_sql("(SELECT org, site, features, limits FROM resolved WHERE features <> '')")))
 def _(spark, sf):
-    return _resolved(spark, sf).select("org", "site", "features", "limits").filter("features <> ''")
+    return _by_member(_resolved(spark, sf).select("org", "site", "features", "limits").filter("features <> ''"))
 
 
 _FIELDS = (*configs.INHERITED_TEXT, "folders", *configs.INHERITED_JSON)
@@ -308,9 +323,9 @@ def _(spark, sf):
     return listing.page_of(configs.config_list(_sites(spark, sf)), 1, ["org", "site"])
 
 
-@check("config_resolved_list", _config(f"SELECT {', '.join(configs.RESOLVED_LIST_COLUMNS)} FROM resolved"))
+@check("config_resolved_list", _config(_by_member_sql(f"(SELECT {', '.join(configs.RESOLVED_LIST_COLUMNS)} FROM resolved)")))
 def _(spark, sf):
-    return configs.resolved_list(_resolved(spark, sf))
+    return _by_member(configs.resolved_list(_resolved(spark, sf)))
 
 
 _HOST = "regexp_extract({0}, '^[a-z]+://([^/:?#]+)', 1)"

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from datetime import datetime, timedelta
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -92,8 +93,7 @@ def nested_json(df: DataFrame, groups: Sequence[str] = ("request_headers", "resp
                 return F.nullif(column, F.lit(""))
             return column
         fields = [(k, present(v)) for k, v in node.items()]
-        some = F.coalesce(*[c.isNotNull().cast("int") * F.nullif(c.isNotNull(), F.lit(False)).cast("int")
-                            for _, c in fields], F.lit(0)) > 0
+        some = reduce(lambda a, b: a | b, [c.isNotNull() for _, c in fields])
         packed = F.struct(*[c.alias(k) for k, c in fields])
         return F.when(some, packed)
 
