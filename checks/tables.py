@@ -323,6 +323,11 @@ def _(spark, sf):
     return listing.page_of(configs.config_list(_sites(spark, sf)), 1, ["org", "site"])
 
 
+@check("config_list_after", _config(f"SELECT org, site FROM sites WHERE (org, site) > ('org14', 'Site-1200') ORDER BY org, site LIMIT 200"))
+def _(spark, sf):
+    return listing.page_of(_sites(spark, sf), 0, ["org", "site"], after=("org14", "Site-1200")).select("org", "site")
+
+
 @check("config_resolved_list", _config(_by_member_sql(f"(SELECT {', '.join(configs.RESOLVED_LIST_COLUMNS)} FROM resolved)")))
 def _(spark, sf):
     return _by_member(configs.resolved_list(_resolved(spark, sf)))

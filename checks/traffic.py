@@ -351,15 +351,23 @@ def _app_log_facets():
 _app_log_facets()
 
 
+_PART = "timestamp >= TIMESTAMP '2024-01-10' AND timestamp < TIMESTAMP '2024-01-12 00:01:00'"
+_PREVIEWED = ("status-range", "methods", "tier", "errors")
+
+
 @check("breakdown_preview", views("access", " UNION ALL ".join(
-    f"(WITH g AS ({groups('access', duck_dim(DELIVERY.facets[n]), duck_where(DELIVERY.facets[n], part))}) "
-    f"SELECT '{n}' AS facet, kind, dim, {', '.join(COUNTERS)} FROM ({top_and_totals('g', 10)}))"
-    for part in ["timestamp >= TIMESTAMP '2024-01-10' AND timestamp < TIMESTAMP '2024-01-12 00:01:00'"]
-    for n in ("status-range", "methods", "tier", "errors"))))
-def _(spark, sf):
-    facets = [DELIVERY.facets[n] for n in ("status-range", "methods", "tier", "errors")]
+    [f"(WITH g AS ({groups('access', duck_dim(DELIVERY.facets[n]), duck_where(DELIVERY.facets[n], _PART))}) "
+     f"SELECT '{n}' AS facet, kind, dim, {', '.join(COUNTERS)} FROM ({top_and_totals('g', 10)}))" for n in _PREVIEWED]
+    + [f"(WITH g AS (SELECT CAST(client_asn AS VARCHAR) || ' ' || coalesce(n_name, '') AS dim, CAST(client_asn AS VARCHAR) AS asn, {counters()} "
+       f"FROM access LEFT JOIN nation ON client_asn = n_nationkey WHERE {_PART} AND client_asn <> 0 GROUP BY 1, 2) "
+       f"SELECT 'asn', kind, dim, {', '.join(COUNTERS)} FROM ({top_and_totals('g', 10, 'cnt DESC, asn').replace('SELECT * FROM g', 'SELECT dim, cnt, cnt_ok, cnt_4xx, cnt_5xx FROM g')}))",
+       f"(WITH g AS (SELECT {bk.elapsed_buckets(10, 'cdn_time_elapsed_msec')} AS dim, {counters()}, min(cdn_time_elapsed_msec) AS low "
+       f"FROM access WHERE {_PART} GROUP BY 1) SELECT 'time-elapsed', kind, dim, {', '.join(COUNTERS)} FROM ({top_and_totals('g', 10, 'low')}))"])))
+def _(spark, sf):
+    facets = [DELIVERY.facets[n] for n in (*_PREVIEWED, "asn", "time-elapsed")]
+    names = v.table(spark, sf, "nation").select(F.col("n_nationkey").alias("asn"), F.col("n_name").alias("name"))
     part = TimeRange.free(datetime(2024, 1, 10), datetime(2024, 1, 12))
-    return bd.preview(v.access(spark, sf), DELIVERY, facets, MONTH, part)
+    return bd.preview(v.access(spark, sf), DELIVERY, facets, MONTH, part, names)
 
 
 def _bucket_case(facet, n: int) -> str:
@@ -593,6 +601,23 @@ def _(spark, sf):
     return ts.snap_ranges(ranges)
 
 
+# One range per customer, some backwards, over the month of traffic.
+@check("range_counters", views("access", f"""
+    WITH r AS (SELECT c_custkey, TIMESTAMP '2024-01-01' + to_minutes(c_custkey * 37 % 41000) AS a,
+                      TIMESTAMP '2024-01-01' + to_minutes(c_custkey * 91 % 41000) AS b FROM customer),
+    n AS (SELECT c_custkey, least(a, b) AS s, greatest(a, b) AS e FROM r),
+    w AS (SELECT c_custkey, CASE WHEN e - s < INTERVAL 3 MINUTE THEN 1 ELSE 0 END AS narrow, s, e FROM n),
+    f AS (SELECT c_custkey, CASE WHEN narrow = 0 THEN s ELSE to_timestamp(CAST(floor((epoch(s) + greatest(epoch(e), epoch(s) + 60)) / 120 - 1.5) AS BIGINT) * 60)::TIMESTAMP END AS s,
+                 CASE WHEN narrow = 0 THEN e ELSE to_timestamp(CAST(ceil((epoch(s) + greatest(epoch(e), epoch(s) + 60)) / 120 + 1.5) AS BIGINT) * 60)::TIMESTAMP END AS e FROM w)
+    SELECT c_custkey, {counters()} FROM f LEFT JOIN access ON timestamp >= s AND timestamp < e GROUP BY 1"""))
+def _(spark, sf):
+    start = F.lit("2024-01-01").cast("timestamp_ntz")
+    ranges = v.table(spark, sf, "customer").select(
+        "c_custkey", (start + F.expr("make_dt_interval(0, 0, CAST(c_custkey * 37 % 41000 AS INT), 0)")).alias("start"),
+        (start + F.expr("make_dt_interval(0, 0, CAST(c_custkey * 91 % 41000 AS INT), 0)")).alias("end"))
+    return ts.counters_in_ranges(v.access(spark, sf), DELIVERY, ts.snap_ranges(ranges), ["c_custkey"])
+
+
 @check("bar_classes", views("access", f"""
     WITH g AS ({groups('access', "CASE WHEN response_headers_x_error = '' THEN '' ELSE 'content' END")}) {top_and_totals('g', 10)}"""))
 def _(spark, sf):

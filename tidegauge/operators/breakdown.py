@@ -91,12 +91,29 @@ def breakdown(df: DataFrame, table: LogTable, facet: Facet, query: Query,
 
 
 def bucketed_breakdown(df: DataFrame, table: LogTable, facet: Facet, query: Query) -> DataFrame:
-    """Breakdown by label of a numeric expression, ordered by the smallest value."""
+    """Breakdown by label of a numeric expression, ordered by the smallest value.
+
+    There are no more labels than rows asked for, so nothing is cut and the
+    totals are one more group of the few label rows.
+    """
     rows = _facet_rows(df, table, facet, query, dim=facet.raw).withColumnRenamed("dim", "raw")
     names = _measures(rows)
     groups = rows.groupBy(F.expr(facet.buckets(query.top, "raw")).alias("dim")).agg(
         *resum(names), F.min("raw").alias("lowest"))
-    return top_and_totals(groups, query.top, [F.col("lowest").asc(), F.col("dim").asc()])
+    order = [F.col("lowest").asc(), F.col("dim").asc()]
+    if len(facet.labels(query.top)) > query.top:
+        return top_and_totals(groups, query.top, order)
+    empty = groups.schema["lowest"].dataType
+    fan = F.array(F.struct(F.lit(VALUE).alias("kind"), F.col("dim"), F.col("lowest")),
+                  F.struct(F.lit(TOTAL).alias("kind"), F.lit(None).cast("string").alias("dim"),
+                           F.lit(None).cast(empty).alias("lowest")))
+    both = groups.select(F.inline(fan), *names)
+    # An empty selection still has a totals row.
+    none = df.sparkSession.range(0, 1, 1, 1).select(
+        F.lit(TOTAL).alias("kind"), F.lit(None).cast("string").alias("dim"),
+        F.lit(None).cast(empty).alias("lowest"), *[F.lit(0).cast("bigint").alias(n) for n in names])
+    summed = both.unionByName(none).groupBy("kind", "dim", "lowest").agg(*resum(names))
+    return summed.orderBy(F.col("kind").desc(), *order).drop("lowest")
 
 
 def fill_labels(result: DataFrame, labels: Sequence[str]) -> DataFrame:
@@ -250,10 +267,35 @@ def top_and_totals_by(groups: DataFrame, keys: list[str], n: int, with_other: bo
     return parts
 
 
-def preview(df: DataFrame, table: LogTable, facets: Iterable[Facet], query: Query,
-            part: TimeRange, with_other: bool = False) -> DataFrame:
-    """Every facet over a part of the chart's range, in one scan."""
-    return all_facets(df, table, facets, replace(query, range=part), with_other)
+def page_breakdowns(df: DataFrame, table: LogTable, facets: Iterable[Facet], query: Query,
+                    names: DataFrame | None = None, with_other: bool = False) -> DataFrame:
+    """All facets of a page in one result: (facet, kind, dim, counters).
+
+    The unbucketed facets share one scan; each bucketed facet has its own order
+    and runs by itself. ``names`` (asn, name) completes the shown rows of
+    dictionary facets, after the cut.
+    """
+    facets = list(facets)
+    columns = ["facet", "kind", "dim", *COUNTERS]
+    result = all_facets(df, table, facets, query, with_other).select(*columns)
+    looked_up = [f.name for f in facets if f.dictionary]
+    if names is not None and looked_up:
+        known = names.select(F.col("asn").cast("string").alias("dim"), "name")
+        use = F.col("facet").isin(*looked_up) & (F.col("kind") == VALUE)
+        label = F.concat("dim", F.lit(" "), F.coalesce("name", F.lit("")))
+        result = (result.join(known, "dim", "left")
+                  .withColumn("dim", F.when(use, label).otherwise(F.col("dim"))).select(*columns))
+    for facet in facets:
+        if facet.buckets:
+            single = bucketed_breakdown(df, table, facet, query)
+            result = result.unionByName(single.select(F.lit(facet.name).alias("facet"), "kind", "dim", *COUNTERS))
+    return result
+
+
+def preview(df: DataFrame, table: LogTable, facets: Iterable[Facet], query: Query, part: TimeRange,
+            names: DataFrame | None = None, with_other: bool = False) -> DataFrame:
+    """Every facet over a part of the chart's range."""
+    return page_breakdowns(df, table, facets, replace(query, range=part), names, with_other)
 
 
 # --- dictionary facets ------------------------------------------------------

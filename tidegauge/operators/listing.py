@@ -123,9 +123,15 @@ def ordered(df: DataFrame, column: str, ascending: bool = True, ties: Sequence[C
     return df.orderBy(key.asc() if ascending else key.desc(), *ties)
 
 
-def page_of(df: DataFrame, page: int, order: Sequence[Column | str], page_rows: int = CONFIG_PAGE_ROWS) -> DataFrame:
-    """The n-th page (from 0) of a total order."""
-    rows = df.orderBy(*order)
+def page_of(df: DataFrame, page: int, order: Sequence[str], page_rows: int = CONFIG_PAGE_ROWS,
+            after: Sequence[object] | None = None) -> DataFrame:
+    """The n-th page (from 0) of a total order, or the page after the given key,
+    whose cost does not grow with the depth."""
+    rows = df
+    if after is not None:
+        rows = rows.filter(F.struct(*order) > F.struct(*[F.lit(x).alias(c) for c, x in zip(order, after)]))
+        page = 0
+    rows = rows.orderBy(*order)
     return (rows.offset(page * page_rows) if page else rows).limit(page_rows)
 
 

@@ -8,7 +8,7 @@ from datetime import timedelta
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidegauge.operators.aggregates import resum, row_counters
+from tidegauge.operators.aggregates import COUNTERS, resum, row_counters
 from tidegauge.operators.predicates import page_filter
 from tidegauge.spec import LogTable, Query, TimeRange
 
@@ -39,9 +39,8 @@ def classes_over_time(df: DataFrame, table: LogTable, query: Query, keys: Sequen
     """ok / 4xx / 5xx per bucket, optionally per series key, gaps as zero rows.
 
     Without keys the zero rows join the facts before the aggregation, so filling
-    costs no extra shuffle. With keys, the keys present are spread over all
-    buckets; the reaggregation reads rows already reduced to (key, bucket).
-    Buckets with data outside the generated span are kept.
+    costs no extra shuffle; with keys see ``fill_series``. Buckets with data
+    outside the generated span are kept.
     """
     counters = row_counters(table)
     kept = df.filter(page_filter(df, table, query))
@@ -59,11 +58,29 @@ def classes_over_time(df: DataFrame, table: LogTable, query: Query, keys: Sequen
 
 
 def fill_series(series: DataFrame, rng: TimeRange, keys: Sequence[str]) -> DataFrame:
-    """Zero rows for the missing buckets of every series."""
+    """Zero rows for the missing buckets of every series.
+
+    Every row brings along the gap up to its successor, the first one also the
+    gap before itself: one pass over rows already reduced to (key, bucket), and
+    a series is never longer than the range has buckets.
+    """
     kind = series.schema["t"].dataType.simpleString()
-    zeros = (series.select(*keys).distinct()
-             .select(*keys, F.explode(bucket_starts(rng, kind)).alias("t"), *_zeros()))
-    return series.unionByName(zeros).groupBy(*keys, "t").agg(*resum(CLASSES))
+    width = F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(rng.step.total_seconds()))
+    first, end = (F.lit(m.isoformat(sep=" ")).cast(kind) for m in (rng.fill_from, rng.fill_to))
+    along = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("t")
+    t = F.col("t")
+
+    def between(start: Column, stop: Column) -> Column:
+        """Bucket starts from ``start`` to before ``stop``."""
+        return F.when(start < stop, F.sequence(start, stop - width, width)).otherwise(
+            F.array().cast(f"array<{kind}>"))
+
+    following = between(F.greatest(t + width, first), F.least(F.coalesce("following", end), end))
+    leading = F.when(F.col("leads"), between(first, F.least(t, end))).otherwise(F.array().cast(f"array<{kind}>"))
+    present = F.struct(t.alias("t"), *[F.col(c) for c in CLASSES])
+    absent = F.transform(F.concat(leading, following), lambda gap: F.struct(gap.alias("t"), *_zeros()))
+    rows = series.withColumns({"following": F.lead("t").over(along), "leads": F.lag("t").over(along).isNull()})
+    return rows.select(*keys, F.inline(F.concat(F.array(present), absent)))
 
 
 def stacked(series: DataFrame) -> DataFrame:
@@ -118,3 +135,46 @@ def snap_ranges(ranges: DataFrame, start: str = "start", end: str = "end") -> Da
     new_first = F.when(narrow, F.floor(middle - 1.5)).otherwise(first)
     new_last = F.when(narrow, F.ceil(middle + 1.5)).otherwise(last)
     return ranges.withColumns({start: back(new_first), end: back(new_last)})
+
+
+def _units(level: str, start: Column, stop: Column) -> Column:
+    empty = F.array().cast("array<bigint>")
+    indexes = F.when(start < stop, F.sequence(start, stop - 1)).otherwise(empty)
+    return F.transform(indexes, lambda u: F.struct(F.lit(level).alias("level"), u.alias("unit")))
+
+
+def _whole(level: str, start: Column, stop: Column, size: int) -> tuple[Column, Column, Column]:
+    """Units at both ends that do not fill a coarser unit, and the coarser span.
+
+    Without a whole coarser unit in between, all units stay at this level.
+    """
+    first, last = F.ceil(start / size), F.floor(stop / size)
+    fits = first < last
+    edges = F.when(fits, F.concat(_units(level, start, first * size), _units(level, last * size, stop))).otherwise(
+        _units(level, start, stop))
+    return edges, F.when(fits, first).otherwise(F.lit(0)), F.when(fits, last).otherwise(F.lit(0))
+
+
+def counters_in_ranges(df: DataFrame, table: LogTable, ranges: DataFrame, keys: Sequence[str],
+                       start: str = "start", end: str = "end") -> DataFrame:
+    """Counters of many (snapped) ranges at once, end minute excluded.
+
+    Facts are reduced to minutes, hours and days before they meet the ranges;
+    each range is cut into whole days, hours and minutes. That makes an
+    equi-join with some hundred rows per range at most, however long it is.
+    """
+    def minute(column: str) -> Column:
+        return F.floor(F.unix_seconds(F.col(column).cast("timestamp")) / 60)
+
+    counters = row_counters(table)
+    minutes = df.select(minute(table.time).alias("m"), *[c.alias(n) for n, c in counters.items()])
+    by_minute = minutes.groupBy("m").agg(*resum())
+    levels = F.array(*[F.struct(F.lit(name).alias("level"), F.floor(F.col("m") / size).alias("unit"))
+                       for name, size in (("minute", 1), ("hour", 60), ("day", 1440))])
+    units = by_minute.select(F.inline(levels), *COUNTERS).groupBy("level", "unit").agg(*resum())
+
+    loose, first_hour, last_hour = _whole("minute", minute(start), minute(end), 60)
+    hours, first_day, last_day = _whole("hour", first_hour, last_hour, 24)
+    pieces = F.concat(loose, hours, _units("day", first_day, last_day))
+    spread = ranges.select(*keys, F.inline(pieces))
+    return spread.join(units, ["level", "unit"], "left").groupBy(*keys).agg(*resum(COUNTERS))
