@@ -113,7 +113,8 @@ def bucketed_breakdown(df: DataFrame, table: LogTable, facet: Facet, query: Quer
         F.lit(TOTAL).alias("kind"), F.lit(None).cast("string").alias("dim"),
         F.lit(None).cast(empty).alias("lowest"), *[F.lit(0).cast("bigint").alias(n) for n in names])
     summed = both.unionByName(none).groupBy("kind", "dim", "lowest").agg(*resum(names))
-    return summed.orderBy(F.col("kind").desc(), *order).drop("lowest")
+    # All rows fit the limit; with it the order needs no range-partitioned sort.
+    return summed.orderBy(F.col("kind").desc(), *order).limit(query.top + 1).drop("lowest")
 
 
 def fill_labels(result: DataFrame, labels: Sequence[str]) -> DataFrame:
@@ -124,7 +125,7 @@ def fill_labels(result: DataFrame, labels: Sequence[str]) -> DataFrame:
     found = result.filter(F.col("kind") == VALUE).drop("kind")
     return (expected.join(found, "dim", "left")
             .select("idx", "dim", *[F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in names])
-            .orderBy("idx"))
+            .orderBy("idx").limit(len(labels)))
 
 
 def add_selected(result: DataFrame, groups: DataFrame, values: Iterable[str]) -> DataFrame:

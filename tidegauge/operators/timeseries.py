@@ -108,7 +108,8 @@ def last_fifth(series: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
         (F.row_number().over(whole.orderBy("t")) - 1).alias("i"),
         F.count(F.lit(1)).over(whole).alias("n"))
     tail = indexed.filter((F.col("n") >= 2) & (F.col("i") >= F.floor(F.col("n") * 0.8)))
-    return tail.groupBy(*keys).agg(F.min("t").alias("start"), F.max("t").alias("end"))
+    spans = tail.groupBy(*keys).agg(F.min("t").alias("start"), F.max("t").alias("end"))
+    return spans.filter(F.col("start").isNotNull())
 
 
 def snap_ranges(ranges: DataFrame, start: str = "start", end: str = "end") -> DataFrame:
