@@ -434,7 +434,7 @@ def _(spark, sf):
     events = v.events(spark, sf).withColumn("grp", F.col("user_id") % 5)
     points = events.filter("event_type = 'error'").select("grp", ts.bucket("ts", timedelta(minutes=10)).alias("t")).distinct()
     probes = events.select("event_id", "grp", F.col("ts").alias("at"))
-    return lookups.nearest_points(points, probes, ["grp"])
+    return lookups.nearest_points(points, probes, ["grp"], timedelta(minutes=10))
 
 
 @check("ts_nearest", f"""
@@ -451,7 +451,7 @@ def _(spark, sf):
     probes = v.table(spark, sf, "lineitem").select(
         "l_orderkey", "l_linenumber",
         F.timestamp_seconds(seconds + 1704067200).cast("timestamp_ntz").alias("at")).distinct()
-    return lookups.nearest_points(points, probes, [])
+    return lookups.nearest_points(points, probes, [], timedelta(minutes=20))
 
 
 # --- class columns ----------------------------------------------------------

@@ -47,7 +47,7 @@ def test_nearest_against_brute_force(spark):
     probes = [(i, rng.choice("aaaabcd"), rng.randrange(-20_000, 220_000)) for i in range(2000)]
     p = spark.createDataFrame([(k, T0 + timedelta(seconds=s)) for k, v in points.items() for s in v], "key string, t timestamp_ntz")
     q = spark.createDataFrame([(i, k, T0 + timedelta(seconds=s)) for i, k, s in probes], "id int, key string, at timestamp_ntz")
-    out = {r.id: r.nearest for r in lookups.nearest_points(p, q, ["key"]).collect()}
+    out = {r.id: r.nearest for r in lookups.nearest_points(p, q, ["key"], timedelta(seconds=10)).collect()}
     assert len(out) == len(probes)
     for i, k, s in probes:
         best = min(points[k], key=lambda x: (abs(x - s), x), default=None)

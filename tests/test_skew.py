@@ -97,7 +97,7 @@ def test_drill_into_a_hot_minute(facts):
 def test_nearest_with_most_probes_in_one_block(facts):
     points = facts.filter("response_status = 503").select("host", ts.bucket("timestamp", timedelta(minutes=10)).alias("t")).distinct()
     probes = facts.select("host", F.col("timestamp").alias("at"), "id")
-    out = lookups.nearest_points(points, probes, ["host"])
+    out = lookups.nearest_points(points, probes, ["host"], timedelta(minutes=10))
     assert out.count() == N and out.select("id").distinct().count() == N
 
 

@@ -13,6 +13,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 from dataclasses import replace
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -210,35 +211,48 @@ def pick_source(df: DataFrame, rollup: DataFrame | None, table: LogTable, facet:
     return breakdown(df, table, facet, query, with_other=with_other)
 
 
-# --- many facets in one scan ------------------------------------------------
+# --- many facets ------------------------------------------------------------
+
+# Facets that share one scan. Each row fans out to one row per facet; beyond a
+# handful the generated code of the fan-out outgrows what the JVM compiles and
+# becomes several times slower than reading the shared columns again.
+FACETS_PER_SCAN = 6
 
-def _facet_entry(table: LogTable, facet: Facet, query: Query) -> Column:
-    """Array of the facet's values for a row; empty where the row does not count."""
-    value = F.expr(facet.dim)
-    values = value if facet.is_array else F.array(value.cast("string"))
-    counted = facet_filters(without_own(query.filters, facet.dim))
-    if facet.extra:
-        counted = counted & F.expr(facet.extra)
-    tagged = F.transform(values, lambda v: F.struct(F.lit(facet.name).alias("facet"), v.alias("dim")))
-    nothing = F.array().cast("array<struct<facet:string,dim:string>>")
-    return F.when(counted, tagged.cast("array<struct<facet:string,dim:string>>")).otherwise(nothing)
+
+def _shared_scan(base: DataFrame, table: LogTable, facets: Sequence[Facet], query: Query) -> DataFrame:
+    """(facet, dim, counters) groups of a few single-valued facets."""
+    entries = []
+    for facet in facets:
+        counted = facet_filters(without_own(query.filters, facet.dim))
+        if facet.extra:
+            counted = counted & F.expr(facet.extra)
+        entries.append(F.when(counted, F.struct(F.lit(facet.name).alias("facet"),
+                                                F.expr(facet.dim).cast("string").alias("dim"))))
+    counters = row_counters(table)
+    rows = base.select(F.explode(F.array(*entries)).alias("e"), *[c.alias(n) for n, c in counters.items()])
+    return (rows.filter(F.col("e").isNotNull())
+            .groupBy(F.col("e.facet").alias("facet"), F.col("e.dim").alias("dim")).agg(*resum()))
 
 
 def all_facets(df: DataFrame, table: LogTable, facets: Iterable[Facet], query: Query,
                with_other: bool = False) -> DataFrame:
-    """Breakdowns of many (unbucketed) facets from one scan of the rows.
+    """Breakdowns of many (unbucketed) facets, several per scan of the rows.
 
-    Each row fans out to its (facet, dim) pairs after column pruning and is
-    partially aggregated before the only shuffle. The cut per facet is a
-    row number limit, which Spark also applies before shuffling, so a facet
-    that holds most of the groups does not gather in one task.
+    Rows fan out after column pruning and are partially aggregated before the
+    shuffle. The cut per facet is a row number limit, which Spark also applies
+    before shuffling, so a facet that holds most of the groups does not gather
+    in one task.
     """
     facets = [f for f in facets if not f.buckets]
+    single = [f for f in facets if not f.is_array]
     base = df.filter(page_filter(df, table, query, filters=()))
-    counters = row_counters(table)
-    entries = F.flatten(F.array(*[_facet_entry(table, f, query) for f in facets]))
-    rows = base.select(F.explode(entries).alias("e"), *[c.alias(n) for n, c in counters.items()])
-    groups = rows.groupBy(F.col("e.facet").alias("facet"), F.col("e.dim").alias("dim")).agg(*resum())
+    parts = [_shared_scan(base, table, single[i:i + FACETS_PER_SCAN], query)
+             for i in range(0, len(single), FACETS_PER_SCAN)]
+    for facet in facets:
+        if facet.is_array:
+            groups = facet_groups(df, table, replace(facet, summary=None), query)
+            parts.append(groups.select(F.lit(facet.name).alias("facet"), "dim", *COUNTERS))
+    groups = reduce(DataFrame.unionByName, parts)
     # Facets without any value still get their (zero) totals row.
     names = df.sparkSession.range(0, 1, 1, 1).select(
         F.explode(F.array(*[F.lit(f.name) for f in facets])).alias("facet"))

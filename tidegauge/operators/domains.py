@@ -35,8 +35,10 @@ def domain_report(df: DataFrame, platform: Platform, as_of: datetime, age: timed
                   time: str = "timestamp", day: str | None = None) -> DataFrame:
     """Domain, owner, repo and CDN type with request rate, total and age.
 
-    Rows count one each. Conditions on the computed domain are plain predicates
-    on the group key, which move below the aggregation by themselves.
+    Rows count one each. They are first grouped by the raw header values, so
+    names are taken apart per group, not per row. The conditions on the domain
+    travel as an aggregate: as plain predicates on a group key they would be
+    pushed below both aggregations and evaluated for every row again.
     """
     host, forwarded = F.col("request_host"), F.col("request_headers_x_forwarded_host")
     kept = [
@@ -52,19 +54,21 @@ def domain_report(df: DataFrame, platform: Platform, as_of: datetime, age: timed
     at = F.instr(host, platform.live_suffix)
     site = F.concat(F.substring(host, F.lit(1), at - 1),
                     F.substring(host, at + len(platform.live_suffix), F.length(host)))
-    rows = df.filter(both(kept)).select(
+    raw = df.filter(both(kept)).groupBy(
+        "request_host", "request_headers_x_forwarded_host", "request_headers_x_byo_cdn_type").agg(
+        F.count(F.lit(1)).alias("n"), F.min(time).alias("first"), F.max(time).alias("last"))
+    named = raw.select(
         domain.alias("domain"),
         F.split_part(site, F.lit("--"), F.lit(3)).alias("owner"),
         F.split_part(site, F.lit("--"), F.lit(2)).alias("repo"),
-        F.col("request_headers_x_byo_cdn_type").alias("cdn_type"),
-        F.col(time).alias("time"))
-    groups = rows.groupBy("domain", "owner", "repo", "cdn_type").agg(
-        F.count(F.lit(1)).alias("total"), F.min("time").alias("first"), F.max("time").alias("last"))
-    groups = groups.filter(
-        ~F.col("domain").rlike(NUMERIC_HOST)
-        & ~F.col("domain").isin(*platform.own_domains)
-        & ~F.col("domain").like(f"%{platform.review_suffix}")
-        & F.col("domain").rlike(DOMAIN_NAME))
+        F.col("request_headers_x_byo_cdn_type").alias("cdn_type"), "n", "first", "last")
+    wanted = (~F.col("domain").rlike(NUMERIC_HOST)
+              & ~F.col("domain").isin(*platform.own_domains)
+              & ~F.col("domain").like(f"%{platform.review_suffix}")
+              & F.col("domain").rlike(DOMAIN_NAME))
+    groups = named.groupBy("domain", "owner", "repo", "cdn_type").agg(
+        F.sum("n").alias("total"), F.min("first").alias("first"), F.max("last").alias("last"),
+        F.max(wanted).alias("wanted")).filter("wanted")
     now = F.lit(as_of.isoformat(sep=" ")).cast(df.schema[time].dataType)
     hours = hours_crossed(F.col("first"), F.col("last")) + 1
     return groups.select(

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tidegauge.operators.aggregates import dim_count
 from tidegauge.operators.breakdown import by_count
-from tidegauge.operators.predicates import both, newer_than, page_filter
+from tidegauge.operators.predicates import both, moment, newer_than, page_filter
 from tidegauge.spec import Facet, LogTable, Query
 
 # Fixed values.
@@ -25,21 +25,29 @@ SUGGESTIONS_SHOWN = 20
 
 def log_page(df: DataFrame, table: LogTable, query: Query, page_rows: int = PAGE_ROWS,
              offset: int = 0, after: tuple[datetime, object] | None = None) -> DataFrame:
-    """Newest rows first, one page.
+    """Newest rows first, one page of whole rows.
 
-    ``after`` continues below the last row seen, (time, id): its cost does not
-    grow with the depth, unlike ``offset``, which has to pass all rows above.
+    A first pass over the filter columns finds the time of the page's last row;
+    the wide rows are then only read from there on, where that time prunes days
+    and row groups. ``after`` continues below the last row seen, (time, id):
+    its cost does not grow with the depth, unlike ``offset``, which has to pass
+    all rows above.
     """
+    time = F.col(table.time)
     rows = df.filter(page_filter(df, table, query))
-    order = [F.col(table.time).desc()]
+    order = [time.desc()]
     if table.id:
         order.append(F.col(table.id).desc())
     if after:
-        time, row_id = after
-        kind = df.schema[table.time].dataType.simpleString()
-        last = F.lit(time.isoformat(sep=" ")).cast(kind)
-        rows = rows.filter((F.col(table.time) < last)
-                           | ((F.col(table.time) == last) & (F.col(table.id) < F.lit(row_id))))
+        seen, row_id = after
+        last = moment(df, table.time, seen)
+        # The first condition alone reaches the scan.
+        rows = rows.filter((time <= last) & ((time < last) | (F.col(table.id) < F.lit(row_id))))
+    newest = rows.select(table.time).orderBy(time.desc()).limit(offset + page_rows)
+    oldest = newest.agg(F.min(table.time).alias("t"))
+    rows = rows.filter(time >= oldest.scalar())
+    if table.day:
+        rows = rows.filter(F.col(table.day) >= oldest.select(F.to_date("t")).scalar())
     rows = rows.orderBy(*order)
     if offset:
         rows = rows.offset(offset)

@@ -93,33 +93,30 @@ def release_overlay(series: DataFrame, releases: DataFrame, rng: TimeRange,
     return placed.join(series, "t", "left")
 
 
-def nearest_points(points: DataFrame, probes: DataFrame, keys: Sequence[str], time: str = "t",
-                   probe_time: str = "at", block: timedelta = timedelta(hours=1)) -> DataFrame:
-    """For every probe the nearest point of its series, the earlier one on a tie.
-
-    Time is cut into blocks. Each (series, block) keeps its distinct point times
-    in one array - bounded, as points are buckets - together with the closest
-    point before and after the block. Probes equi-join their block, so a series
-    that receives a third of all probes is split by block and by AQE.
+def nearest_points(points: DataFrame, probes: DataFrame, keys: Sequence[str], step: timedelta,
+                   time: str = "t", probe_time: str = "at") -> DataFrame:
+    """For every probe the nearest bucket of its series, the earlier one on a tie.
+
+    ``step`` is the series' bucket width. Each bucket that holds a point or a
+    probe learns the closest points at or before and after it - a series has no
+    more buckets than its range - and probes equi-join their bucket. A series
+    that receives a third of all probes is split by bucket, and a bucket that
+    does, by adaptive execution.
     """
-    width = block
-    by_block = points.select(*keys, bucket(time, width).alias("block"), F.col(time).alias("p"))
-    filled = by_block.groupBy(*keys, "block").agg(
-        F.sort_array(F.collect_set("p")).alias("ps"), F.min("p").alias("lo"), F.max("p").alias("hi"))
-    asked = probes.withColumn("block", bucket(probe_time, width))
-    empty = asked.select(*keys, "block").distinct()
-    spine = filled.join(empty, [*keys, "block"], "full")
-    along = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("block")
-    before = F.last("hi", ignorenulls=True).over(along.rowsBetween(Window.unboundedPreceding, -1))
-    after = F.first("lo", ignorenulls=True).over(along.rowsBetween(1, Window.unboundedFollowing))
-    around = spine.select(*keys, "block", F.array_compact(F.concat(
-        F.array(before), F.coalesce("ps", F.array().cast(spine.schema["ps"].dataType)), F.array(after),
-    )).alias("near"))
-    joined = asked.join(around, [*keys, "block"], "left")
-
-    def micros(c: Column) -> Column:
-        return F.unix_micros(c.cast("timestamp"))
-
-    gap = F.transform("near", lambda p: F.struct(
-        F.abs(micros(p) - micros(F.col(probe_time))).alias("gap"), p.alias("p")))
-    return joined.withColumn("nearest", F.array_min(gap)["p"]).drop("near", "block")
+    present = points.select(*keys, bucket(time, step).alias("slot")).distinct().withColumn("p", F.col("slot"))
+    asked = probes.withColumn("slot", bucket(probe_time, step))
+    slots = present.join(asked.select(*keys, "slot").distinct(), [*keys, "slot"], "full")
+    along = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("slot")
+    around = slots.select(
+        *keys, "slot",
+        F.last("p", ignorenulls=True).over(along.rowsBetween(Window.unboundedPreceding, 0)).alias("low"),
+        F.first("p", ignorenulls=True).over(along.rowsBetween(1, Window.unboundedFollowing)).alias("high"))
+
+    def micros(column: str) -> Column:
+        return F.unix_micros(F.col(column).cast("timestamp"))
+
+    take_low = F.col("high").isNull() | (
+        micros(probe_time) - micros("low") <= micros("high") - micros(probe_time))
+    nearest = F.when(F.coalesce(take_low, F.lit(False)), F.col("low")).otherwise(F.col("high"))
+    joined = asked.join(around, [*keys, "slot"], "left")
+    return joined.withColumn("nearest", nearest).drop("low", "high", "slot")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from datetime import timedelta
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -13,19 +14,28 @@ from tidegauge.operators.timeseries import bucket
 from tidegauge.spec import LogTable
 
 
-def minute_rollup(df: DataFrame, table: LogTable, facets: Mapping[str, str]) -> DataFrame:
-    """(minute, facet, dim) counters: each row fans out to its facet values,
-    which partial aggregation folds before the shuffle."""
+# Facets fanned out per scan; see the note on shared scans of breakdowns.
+FACETS_PER_SCAN = 5
+
+
+def _fanned(df: DataFrame, table: LogTable, facets: Sequence[tuple[str, str]]) -> DataFrame:
     counters = row_counters(table)
-    pair = "struct<facet:string,dim:string>"
-    pairs = F.array(*[F.struct(F.lit(name), F.coalesce(F.expr(dim), F.lit(""))).cast(pair)
-                      for name, dim in facets.items()])
+    pairs = F.array(*[F.struct(F.lit(name).alias("facet"), F.coalesce(F.expr(dim), F.lit("")).alias("dim"))
+                      for name, dim in facets])
     rows = df.select(bucket(table.time, timedelta(minutes=1)).alias("minute"),
                      *[c.alias(n) for n, c in counters.items()], pairs.alias("pairs"))
     fanned = rows.select("minute", F.inline("pairs"), *counters)
     return fanned.groupBy("minute", "facet", "dim").agg(*resum())
 
 
+def minute_rollup(df: DataFrame, table: LogTable, facets: Mapping[str, str]) -> DataFrame:
+    """(minute, facet, dim) counters: each row fans out to its facet values,
+    which partial aggregation folds before the shuffle."""
+    items = list(facets.items())
+    parts = [_fanned(df, table, items[i:i + FACETS_PER_SCAN]) for i in range(0, len(items), FACETS_PER_SCAN)]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def merge_rollups(*parts: DataFrame) -> DataFrame:
     """Additive merge of partial roll-ups; late rows are just another partial."""
     stacked = parts[0]
