@@ -160,6 +160,16 @@ def _(spark, sf):
     return _report(spark, sf)
 
 
+@check("flt_having", views("access", """
+    SELECT domain, count(*) AS n FROM (SELECT lower(rtrim(split_part(trim(split_part(request_headers_x_forwarded_host, ',', 1), ' '), ':', 1), '.')) AS domain FROM access)
+    GROUP BY 1 HAVING NOT regexp_full_match(domain, '[0-9.]+') AND domain NOT IN ('example.live', 'shop3.example.com')
+      AND domain NOT LIKE '%.example.reviews' AND regexp_full_match(domain, '[a-z0-9][a-z0-9.-]+\\.[a-z]{2,}')"""))
+def _(spark, sf):
+    counts = (v.access(spark, sf).groupBy(domains.forwarded_domain("request_headers_x_forwarded_host").alias("domain"))
+              .agg(F.count(F.lit(1)).alias("n")))
+    return counts.filter(domains.is_customer_domain(F.col("domain"), _PLATFORM))
+
+
 @check("min_max_rate", views("access", f"WITH {_DOMAINS} SELECT sum(total)::BIGINT AS total, round(sum(req_per_hour), 3) AS rate, max(age_days) AS oldest FROM report"))
 def _(spark, sf):
     return _report(spark, sf).agg(F.sum("total").cast("bigint").alias("total"), F.round(F.sum("req_per_hour"), 3).alias("rate"),

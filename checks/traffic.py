@@ -18,6 +18,7 @@ from tidegauge.functions.entities import with_entities
 from tidegauge.operators import breakdown as bd
 from tidegauge.operators import predicates as p
 from tidegauge.operators import timeseries as ts
+from tidegauge.operators.domains import Platform, customer_traffic
 from tidegauge.operators.aggregates import dim_count, share, traffic_counters
 from tidegauge.plans.dashboards import ADMIN, APP_LOGS, AUTHORING, AUTHORING_WORKERS, BACKEND, DELIVERY, MIXER
 from tidegauge.plans.facets import APP_LOG_ROLLUP, CDN_ROLLUP
@@ -112,7 +113,7 @@ def _(spark, sf):
     return bd.bar_percentages(bd.breakdown(v.access(spark, sf), DELIVERY, facet, MONTH))
 
 
-@check("missing_values", views("access", f"""
+@check("join_missing_values", views("access", f"""
     WITH g AS ({groups('access', 'request_url')}), f AS ({groups('access', 'request_url', MONTH_WHERE + " AND request_method = 'GET'")}),
     top AS (SELECT * FROM f ORDER BY cnt DESC, dim LIMIT 5)
     SELECT 'value' AS kind, dim, {', '.join(COUNTERS)} FROM top
@@ -295,6 +296,16 @@ def _(spark, sf):
     return _count(v.access(spark, sf).filter(F.col("request_url").isin("/click/1.js", "/view/3.html")))
 
 
+_UNWANTED = " AND ".join(f"request_headers_x_forwarded_host NOT LIKE '{x}'" for x in (
+    "%.example.page", "localhost%", "%.workers.dev%", "%<%", "%{%", "%/%", "%oast%"))
+
+
+@_counted("flt_like_set", "access", "request_host LIKE '%.example.live' AND request_headers_x_forwarded_host <> '' "
+          f"AND request_headers_x_forwarded_host <> request_host AND {_UNWANTED}")
+def _(spark, sf):
+    return _count(v.access(spark, sf).filter(customer_traffic(Platform())))
+
+
 @check("flt_category", views("access", """
     SELECT category, count(*) AS n FROM (SELECT unnest(['red', 'yellow', 'green', 'any']) AS category, response_status FROM access)
     WHERE CASE category WHEN 'red' THEN response_status >= 500 WHEN 'yellow' THEN response_status BETWEEN 400 AND 499
@@ -485,7 +496,7 @@ def _(spark, sf):
 def _(spark, sf):
     df = v.access(spark, sf)
     rollup = _stored(spark, minute_rollup(df, DELIVERY, CDN_ROLLUP))
-    parts = [bd.pick_source(df, rollup, DELIVERY, DELIVERY.facets[n], MONTH).select(F.lit(n).alias("facet"), "*")
+    parts = [bd.pick_source(df, rollup, DELIVERY, DELIVERY.facets[n], MONTH, rollup_day="dt").select(F.lit(n).alias("facet"), "*")
              for n in ("methods", "hosts")]
     return reduce(DataFrame.unionByName, parts)
 

@@ -1,6 +1,7 @@
 from datetime import datetime, timedelta
 from random import Random
 
+import pytest
 from pyspark.sql import functions as F
 
 from tidegauge.functions.json_patch import merge_patch
@@ -22,18 +23,22 @@ def test_latest_with_equal_versions_is_decidable(spark):
     assert lookups.latest(df.repartition(7), ["k"], ["v", "tie"]).first().tie == 49
 
 
-def test_request_ids_with_a_hot_id(spark):
+@pytest.mark.parametrize("broadcast_ids", [0, 1000])
+def test_request_ids_with_a_hot_id(spark, broadcast_ids):
     """A third of all rows share one id, another third carries none."""
     data = [("hot" if i % 3 == 0 else "0" if i % 3 == 1 else f"id{i % 50}", T0 + timedelta(seconds=i), i) for i in range(3000)]
     other = spark.createDataFrame(data, "ray_id string, timestamp timestamp_ntz, n int").repartition(8)
     ids = spark.createDataFrame([("hot",)] * 200 + [("0",), ("",), ("id2",), ("nowhere",)], "ray_id string")
-    out = lookups.matches_by_request_id(ids, other, ["n"], tie=["n"])
+    out = lookups.matches_by_request_id(ids, other, ["n"], tie=["n"], broadcast_ids=broadcast_ids)
     got = {}
     for r in out.orderBy("ray_id", "match").collect():
         got.setdefault(r.ray_id, []).append(r.n)
     assert got == {"hot": [0, 3, 6, 9, 12], "id2": sorted(i for i in range(3000) if i % 3 == 2 and i % 50 == 2)[:5]}
     plan = out._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("WindowGroupLimit") >= 2
+    # Partial limit below the shuffle, final one above it.
+    lines = [line.split("Exchange")[0] + "Exchange" if "Exchange hashpartitioning(ray_id" in line else line for line in plan.splitlines()]
+    limits = [i for i, line in enumerate(lines) if "WindowGroupLimit" in line]
+    assert len(limits) >= 2 and any("Exchange" in line for line in lines[limits[0]:limits[1]])
 
 
 def test_no_lookup_for_internal_ids(spark):

@@ -124,3 +124,21 @@ def test_a_hot_day_spreads_over_files(facts, tmp_path):
     per_file = stored.groupBy("dt", F.input_file_name().alias("f")).count()
     assert per_file.filter("dt = '2026-01-01'").count() >= 3
     assert stored.count() == N
+
+
+def test_a_hot_bucket_is_split_when_nothing_can_be_broadcast(facts):
+    spark = facts.sparkSession
+    tight = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "50k",
+             "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "50k",
+             "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5"}
+    before = {k: spark.conf.get(k, None) for k in tight}
+    for k, value in tight.items():
+        spark.conf.set(k, value)
+    try:
+        points = facts.filter("response_status = 503").select("host", ts.bucket("timestamp", timedelta(minutes=10)).alias("t")).distinct()
+        out = lookups.nearest_points(points, facts.select("host", F.col("timestamp").alias("at"), "id"), ["host"], timedelta(minutes=10))
+        assert len(out.collect()) == N
+        assert "SortMergeJoin(skew=true)" in out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, value in before.items():
+            spark.conf.unset(k) if value is None else spark.conf.set(k, value)

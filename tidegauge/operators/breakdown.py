@@ -201,13 +201,13 @@ def rollup_covers(table: LogTable, facet: Facet, query: Query) -> bool:
 
 
 def pick_source(df: DataFrame, rollup: DataFrame | None, table: LogTable, facet: Facet, query: Query,
-                source: str = "auto", with_other: bool = False) -> DataFrame:
+                source: str = "auto", with_other: bool = False, rollup_day: str | None = None) -> DataFrame:
     """Breakdown from the roll-up where it has the answer, else from the rows."""
     covered = rollup is not None and rollup_covers(table, facet, query)
     if source == "rollup" and not covered:
         raise ValueError(f"the roll-up does not cover facet {facet.name!r} under this query")
     if source != "raw" and covered:
-        return rollup_breakdown(rollup, facet, query, with_other=with_other)
+        return rollup_breakdown(rollup, facet, query, rollup_day, with_other)
     return breakdown(df, table, facet, query, with_other=with_other)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from datetime import datetime, timedelta
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidegauge.functions.scalars import days_crossed, first_item, hours_crossed
@@ -31,6 +31,29 @@ class Platform:
     own_domains: tuple[str, ...] = ("example.live",)
 
 
+def customer_traffic(platform: Platform) -> Column:
+    """Requests to a live host that came through another, well-formed host."""
+    host, forwarded = F.col("request_host"), F.col("request_headers_x_forwarded_host")
+    return both([
+        host.like(f"%{platform.live_suffix}"),
+        forwarded != "", forwarded != host,
+        ~forwarded.like(f"%{platform.preview_suffix}"),
+        *[~forwarded.like(p) for p in UNWANTED_FORWARDED],
+    ])
+
+
+def forwarded_domain(column: str) -> Column:
+    """First host of the list, without port and trailing dots, in lower case."""
+    first = F.trim(first_item(F.col(column), ","))
+    return F.lower(F.rtrim(first_item(first, ":"), F.lit(".")))
+
+
+def is_customer_domain(domain: Column, platform: Platform) -> Column:
+    """A domain name that is neither an address nor the platform's own."""
+    return (~domain.rlike(NUMERIC_HOST) & ~domain.isin(*platform.own_domains)
+            & ~domain.like(f"%{platform.review_suffix}") & domain.rlike(DOMAIN_NAME))
+
+
 def domain_report(df: DataFrame, platform: Platform, as_of: datetime, age: timedelta = REPORT_AGE,
                   time: str = "timestamp", day: str | None = None) -> DataFrame:
     """Domain, owner, repo and CDN type with request rate, total and age.
@@ -40,35 +63,22 @@ def domain_report(df: DataFrame, platform: Platform, as_of: datetime, age: timed
     travel as an aggregate: as plain predicates on a group key they would be
     pushed below both aggregations and evaluated for every row again.
     """
-    host, forwarded = F.col("request_host"), F.col("request_headers_x_forwarded_host")
-    kept = [
-        host.like(f"%{platform.live_suffix}"),
-        forwarded != "", forwarded != host,
-        ~forwarded.like(f"%{platform.preview_suffix}"),
-        *[~forwarded.like(p) for p in UNWANTED_FORWARDED],
-        newer_than(df, age, as_of, time, day),
-    ]
-    first_forwarded = F.trim(first_item(forwarded, ","))
-    domain = F.lower(F.rtrim(first_item(first_forwarded, ":"), F.lit(".")))
+    host = F.col("request_host")
     # The suffix is cut where it occurs first; the host ends with it.
     at = F.instr(host, platform.live_suffix)
     site = F.concat(F.substring(host, F.lit(1), at - 1),
                     F.substring(host, at + len(platform.live_suffix), F.length(host)))
-    raw = df.filter(both(kept)).groupBy(
+    raw = df.filter(customer_traffic(platform) & newer_than(df, age, as_of, time, day)).groupBy(
         "request_host", "request_headers_x_forwarded_host", "request_headers_x_byo_cdn_type").agg(
         F.count(F.lit(1)).alias("n"), F.min(time).alias("first"), F.max(time).alias("last"))
     named = raw.select(
-        domain.alias("domain"),
+        forwarded_domain("request_headers_x_forwarded_host").alias("domain"),
         F.split_part(site, F.lit("--"), F.lit(3)).alias("owner"),
         F.split_part(site, F.lit("--"), F.lit(2)).alias("repo"),
         F.col("request_headers_x_byo_cdn_type").alias("cdn_type"), "n", "first", "last")
-    wanted = (~F.col("domain").rlike(NUMERIC_HOST)
-              & ~F.col("domain").isin(*platform.own_domains)
-              & ~F.col("domain").like(f"%{platform.review_suffix}")
-              & F.col("domain").rlike(DOMAIN_NAME))
     groups = named.groupBy("domain", "owner", "repo", "cdn_type").agg(
         F.sum("n").alias("total"), F.min("first").alias("first"), F.max("last").alias("last"),
-        F.max(wanted).alias("wanted")).filter("wanted")
+        F.max(is_customer_domain(F.col("domain"), platform)).alias("wanted")).filter("wanted")
     now = F.lit(as_of.isoformat(sep=" ")).cast(df.schema[time].dataType)
     hours = hours_crossed(F.col("first"), F.col("last")) + 1
     return groups.select(

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tidegauge.operators.aggregates import resum, row_counters
 from tidegauge.operators.timeseries import bucket
+from tidegauge.sources.writers import write_facts
 from tidegauge.spec import LogTable
 
 
@@ -44,6 +45,12 @@ def merge_rollups(*parts: DataFrame) -> DataFrame:
     return stacked.groupBy("minute", "facet", "dim").agg(*resum())
 
 
+def compact_rollup(partials: DataFrame, path: str) -> None:
+    """Periodic compaction: one row per (minute, facet, dim), by day, written to
+    another place than the partials are read from."""
+    write_facts(merge_rollups(partials), path, time="minute", sort=("facet",), mode="overwrite")
+
+
 def sample_key(*columns: str) -> Column:
     """The stored sample hash, from the request id or from time and address."""
     return F.xxhash64(*[F.col(c) for c in columns])
