@@ -483,7 +483,7 @@ _ST_ROLLUP = " UNION ALL ".join(
 def _(spark, sf):
     path = shared_folder(spark, "stream-rollup")
     jobs.start_rollup(_access_stream(spark, sf), DELIVERY, FACETS, f"{path}/rows", f"{path}/checkpoint").awaitTermination()
-    return rollup.merge_rollups(spark.read.parquet(f"{path}/rows").drop(jobs.BATCH))
+    return rollup.merge_rollups(jobs.read_batches(spark, f"{path}/rows"))
 
 
 @check("st_ingest", views("access", f"""

@@ -14,7 +14,7 @@ from checks.traffic import DUCK_STATUS_RANGE
 from tidegauge.operators import anomaly as an
 from tidegauge.operators import timeseries as ts
 from tidegauge.plans.dashboards import DELIVERY
-from tidegauge.spec import Query, TimeRange
+from tidegauge.spec import Query
 
 # Six-hour buckets over the month, one series per organisation.
 STEP = timedelta(hours=6)

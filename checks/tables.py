@@ -424,7 +424,7 @@ def _(spark, sf):
   s AS (SELECT time_bucket(to_seconds(600), timestamp, TIMESTAMP '1970-01-01') AS t, CAST(sum(CASE WHEN response_status < 400 THEN weight ELSE 0 END) AS BIGINT) AS cnt_ok
         FROM access WHERE timestamp >= TIMESTAMP '2024-01-03' AND timestamp < TIMESTAMP '2024-01-31 00:01:00' GROUP BY 1)
   SELECT repo, tag, t, coalesce(cnt_ok, 0) AS cnt_ok, repo = 'certificate-rotation' AS maintenance,
-         round((epoch_ms(published) - epoch_ms(TIMESTAMP '2024-01-03')) / 2419200000.0, 6) AS position FROM vis LEFT JOIN s USING (t)"""))
+         round((epoch_us(published) - epoch_us(TIMESTAMP '2024-01-03')) / CAST(2419200000000 AS DOUBLE), 6) AS position FROM vis LEFT JOIN s USING (t)"""))
 def _(spark, sf):
     series = ts.classes_over_time(v.access(spark, sf), DELIVERY, Query(_RANGE))
     placed = lookups.release_overlay(series, v.releases(spark, sf), _RANGE, v.SPECIAL_REPOS)

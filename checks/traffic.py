@@ -19,7 +19,7 @@ from tidegauge.operators import breakdown as bd
 from tidegauge.operators import predicates as p
 from tidegauge.operators import timeseries as ts
 from tidegauge.operators.domains import Platform, customer_traffic
-from tidegauge.operators.aggregates import dim_count, share, traffic_counters
+from tidegauge.operators.aggregates import dim_count, traffic_counters
 from tidegauge.plans.dashboards import ADMIN, APP_LOGS, AUTHORING, AUTHORING_WORKERS, BACKEND, DELIVERY, MIXER
 from tidegauge.plans.facets import APP_LOG_ROLLUP, CDN_ROLLUP
 from tidegauge.session import shared_folder

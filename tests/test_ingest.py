@@ -1,4 +1,5 @@
 import json
+from dataclasses import replace
 from datetime import datetime, timedelta
 
 import xxhash
@@ -163,6 +164,16 @@ def test_facts_prune_days(spark, tmp_path):
     assert {r.dt.day for r in facts.select("dt").distinct().collect()} <= {3, 4}
 
 
+def test_loading_a_day_again_replaces_it(spark, tmp_path):
+    path = str(tmp_path / "facts")
+    days = spark.createDataFrame([(datetime(2026, 1, d), "h", d) for d in (1, 2)], "timestamp timestamp_ntz, request_host string, n int")
+    writers.write_facts(days, path)
+    writers.write_facts(days.filter("n = 2"), path, mode="overwrite", only_days=True)
+    assert sorted(values(spark.read.parquet(path).select("n"))) == [1, 2]
+    writers.write_facts(days.filter("n = 2"), path, mode="overwrite")
+    assert values(spark.read.parquet(path).select("n")) == [2]
+
+
 def test_export(spark, tmp_path):
     path = str(tmp_path / "tsv")
     df = spark.createDataFrame([("value", "", 5, 3, 1, 1), ("value", 'a "b"', 2, 2, 0, 0), ("total", None, 7, 5, 1, 1)],
@@ -212,7 +223,7 @@ def test_streamed_rollup_equals_batch_over_several_batches(spark, rows, tmp_path
     jobs.start_rollup(stream, DELIVERY, ci.FACETS, out, str(tmp_path / "cp")).awaitTermination()
     stored = spark.read.parquet(out)
     assert stored.select(jobs.BATCH).distinct().count() == 3
-    assert rows(rollup.merge_rollups(stored.drop(jobs.BATCH))) == rows(rollup.minute_rollup(df, DELIVERY, ci.FACETS))
+    assert rows(rollup.merge_rollups(jobs.read_batches(spark, out))) == rows(rollup.minute_rollup(df, DELIVERY, ci.FACETS))
 
 
 def test_a_batch_that_runs_twice_counts_once(spark, tmp_path):
@@ -224,6 +235,34 @@ def test_a_batch_that_runs_twice_counts_once(spark, tmp_path):
     assert spark.read.parquet(out).count() == 20
 
 
+def test_days_of_a_batch_are_replaced_as_a_whole(spark, tmp_path):
+    out = str(tmp_path / "out")
+    days = spark.createDataFrame([(datetime(2026, 1, d), d) for d in (1, 2, 3)], "timestamp timestamp_ntz, n int")
+    jobs.write_batch(days, 0, out, "timestamp")
+    jobs.write_batch(days.filter("n < 3"), 0, out, "timestamp")
+    stored = jobs.read_batches(spark, out)
+    assert stored.count() == 2
+    pruned = stored.filter("dt = DATE '2026-01-02'")
+    assert values(pruned.select("n")) == [2] and "PartitionFilters: [isnotnull(dt" in pruned._jdf.queryExecution().toString()
+
+
+def test_json_lines_stream_through_normaliser_to_facts_and_rollup(spark, rows, tmp_path):
+    source = str(tmp_path / "in")
+    raw = ci.raw_service(spark, SF, "generic").repartition(3)
+    raw.write.option("compression", "gzip").json(source)
+    stream = readers.stream_json_lines(spark, source, staging_schema("generic"), files_per_batch=1)
+    plain = replace(DELIVERY, weight=None)
+    targets = {t: str(tmp_path / t) for t in ("delivery", "delivery_errors", "backend")}
+    jobs.start_ingest(stream, lambda b: normalize.normalise_service(b, "generic"), targets, rollup.routes((), ()),
+                      str(tmp_path / "cp"), "delivery", str(tmp_path / "minutes"), plain, ci.FACETS).awaitTermination()
+    want = normalize.normalise_service(raw, "generic")
+    stored = {t: jobs.read_batches(spark, p) for t, p in targets.items()}
+    assert stored["delivery"].count() + stored["backend"].count() == want.count() == 1000
+    assert stored["delivery_errors"].count() == want.filter("cdn_is_edge AND response_status >= 500").count() > 0
+    minutes = rollup.merge_rollups(jobs.read_batches(spark, str(tmp_path / "minutes")))
+    assert rows(minutes) == rows(rollup.minute_rollup(want.filter("cdn_is_edge"), plain, ci.FACETS))
+
+
 def test_restart_continues_where_it_stopped(spark, tmp_path):
     source, out, cp = (str(tmp_path / x) for x in ("in", "out", "cp"))
     df = views.access(spark, SF).select("event_id", "client_asn")

@@ -35,11 +35,15 @@ def latest(df: DataFrame, keys: Sequence[str], version: str | Sequence[str]) ->
 
 
 def name_of_number(rows: DataFrame, number: str, name: str, seen: str) -> DataFrame:
-    """Dictionary number -> newest non-empty name, from log rows."""
-    named = rows.filter((F.col(name) != "") & (F.col(number) > 0))
-    order = F.struct(F.col(seen), F.col(name))
-    return named.groupBy(F.col(number).alias("asn")).agg(
-        F.max_by(F.col(name), order).alias("name"), F.max(seen).alias("last_seen"))
+    """Dictionary number -> newest non-empty name, from log rows.
+
+    Pairs are counted down by hash aggregation first; only they, not the log
+    rows, are ordered by age.
+    """
+    pairs = (rows.filter((F.col(name) != "") & (F.col(number) > 0))
+             .groupBy(F.col(number).alias("asn"), F.col(name).alias("name")).agg(F.max(seen).alias("seen")))
+    return pairs.groupBy("asn").agg(
+        F.max_by(F.col("name"), F.struct("seen", "name")).alias("name"), F.max("seen").alias("last_seen"))
 
 
 def matches_by_request_id(ids: DataFrame, rows: DataFrame, columns: Sequence[str], key: str = "ray_id",
@@ -96,8 +100,8 @@ def release_overlay(series: DataFrame, releases: DataFrame, rng: TimeRange,
     span = (rng.end - rng.start).total_seconds()
     placed = releases_in(releases, rng).withColumns({
         "t": bucket("published", rng.step),
-        "position": (F.unix_millis(F.col("published").cast("timestamp"))
-                     - F.unix_millis(F.lit(rng.start.isoformat(sep=" ")).cast("timestamp"))) / (span * 1000),
+        "position": (F.unix_micros(F.col("published").cast("timestamp"))
+                     - F.unix_micros(F.lit(rng.start.isoformat(sep=" ")).cast("timestamp"))) / (span * 1e6),
         "maintenance": F.col("repo").isin(*special_repos) if special_repos else F.lit(False),
     })
     return placed.join(series, "t", "left")

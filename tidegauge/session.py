@@ -19,7 +19,6 @@ SETTINGS = {
     # The JVM never compiles methods above 8000 bytes: wide projections run
     # faster through split functions than as one such method.
     "spark.sql.codegen.hugeMethodLimit": "8000",
-    "spark.sql.sources.partitionOverwriteMode": "dynamic",
 }
 
 

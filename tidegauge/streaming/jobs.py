@@ -2,7 +2,8 @@
 
 Every micro-batch writes below a folder named by its batch id and overwrites
 it, so a batch that is run again after a failure replaces itself instead of
-counting twice. Readers see one table, partitioned by batch.
+counting twice. Readers see one table, partitioned by batch and, where rows
+have a time, by day.
 """
 
 from __future__ import annotations
@@ -10,20 +11,30 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping
 from datetime import timedelta
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tidegauge.operators.aggregates import COUNTERS, row_counters
 from tidegauge.operators.lookups import latest
 from tidegauge.sources.rollup import minute_rollup
+from tidegauge.sources.writers import with_day
 from tidegauge.spec import LogTable
 
-BATCH = "batch"
+BATCH, DAY = "batch", "dt"
 
 
-def write_batch(df: DataFrame, batch_id: int, path: str) -> None:
-    df.write.mode("overwrite").parquet(f"{path}/{BATCH}={batch_id}")
+def write_batch(df: DataFrame, batch_id: int, path: str, time: str | None = None) -> None:
+    target = f"{path}/{BATCH}={batch_id}"
+    if time:
+        with_day(df, time, DAY).write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy(DAY).parquet(target)
+    else:
+        df.write.mode("overwrite").parquet(target)
+
+
+def read_batches(spark: SparkSession, path: str) -> DataFrame:
+    """All batches as one table with its day column."""
+    return spark.read.parquet(path).drop(BATCH)
 
 
 def _start(stream: DataFrame, handler: Callable[[DataFrame, int], None], checkpoint: str,
@@ -37,7 +48,7 @@ def start_ingest(stream: DataFrame, normalise: Callable[[DataFrame], DataFrame],
                  rules: Mapping[str, Column], checkpoint: str, rollup_of: str | None = None,
                  rollup_path: str | None = None, table: LogTable | None = None,
                  facets: Mapping[str, str] | None = None, once: bool = True,
-                 every: str = "1 minute") -> StreamingQuery:
+                 every: str = "1 minute", time: str = "timestamp") -> StreamingQuery:
     """Normalise, split by rule into target folders, and add the roll-up partials
     of one target.
 
@@ -48,10 +59,10 @@ def start_ingest(stream: DataFrame, normalise: Callable[[DataFrame], DataFrame],
         rows = normalise(batch).persist()
         try:
             for name, path in targets.items():
-                write_batch(rows.filter(rules[name]), batch_id, path)
+                write_batch(rows.filter(rules[name]), batch_id, path, time)
             if rollup_of and rollup_path:
                 partial = minute_rollup(rows.filter(rules[rollup_of]), table, facets)
-                write_batch(partial, batch_id, rollup_path)
+                write_batch(partial, batch_id, rollup_path, "minute")
         finally:
             rows.unpersist()
 
@@ -62,7 +73,7 @@ def start_rollup(stream: DataFrame, table: LogTable, facets: Mapping[str, str],
                  once: bool = True, every: str = "1 minute") -> StreamingQuery:
     """Roll-up partials per micro-batch; any lateness, re-summed on read."""
     def handle(batch: DataFrame, batch_id: int) -> None:
-        write_batch(minute_rollup(batch, table, facets), batch_id, path)
+        write_batch(minute_rollup(batch, table, facets), batch_id, path, "minute")
 
     return _start(stream, handle, checkpoint, once, every)
 
