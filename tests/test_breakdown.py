@@ -12,7 +12,7 @@ from tidegauge.operators import breakdown as bd
 from tidegauge.plans.dashboards import APP_LOGS, AUTHORING_WORKERS, DASHBOARDS, DELIVERY, MIXER
 from tidegauge.plans.facets import APP_LOG_ROLLUP, CDN_ROLLUP
 from tidegauge.sources.rollup import merge_rollups, minute_rollup
-from tidegauge.spec import Facet, LogTable, Query, TimeRange
+from tidegauge.spec import Facet, FacetFilter, LogTable, Query, TimeRange
 
 SF = "/root/testdata/sf0.001"
 DAY = datetime(2026, 1, 1)
@@ -167,11 +167,13 @@ def test_rollup_answers_like_the_rows(spark, rows, table, columns, load):
         assert rows(raw) == rows(bd.rollup_breakdown(rollup, facet, PLAIN, with_other=True)), facet.name
 
 
-@pytest.mark.parametrize("table,load", [(DELIVERY, views.access), (MIXER, views.worker)])
-def test_one_pass_over_all_facets_equals_single_breakdowns(spark, rows, table, load):
+@pytest.mark.parametrize("table,load,by_bytes", [
+    (DELIVERY, views.access, False), (DELIVERY, views.access, True), (MIXER, views.worker, False)])
+def test_all_facets_equal_single_breakdowns(spark, rows, table, load, by_bytes):
     df = load(spark, SF).persist()
     facets = [f for f in table.facets.values() if not f.buckets]
-    query = replace(PLAIN, filters=(table.facets["status"].filter("200"),))
+    filters = (table.facets["status"].filter("200"), FacetFilter("unknown_column", "x"))
+    query = replace(PLAIN, filters=filters, by_bytes=by_bytes)
     combined = bd.all_facets(df, table, facets, query, with_other=True).persist()
     for facet in facets:
         single = bd.breakdown(df, table, facet, query, with_other=True).select("kind", "dim", "cnt", "cnt_ok", "cnt_4xx", "cnt_5xx")

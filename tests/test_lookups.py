@@ -150,3 +150,20 @@ def test_pages_by_offset_and_by_key_agree(spark):
     last = first[-1]
     by_key = listing.log_page(df, table, MONTH, 100, after=(last.timestamp, last.event_id)).select("event_id").collect()
     assert second == by_key and not {r.event_id for r in first} & {r.event_id for r in second}
+
+
+def test_pages_of_day_partitioned_facts(spark, tmp_path):
+    from dataclasses import replace
+    from checks import views
+    from checks.traffic import MONTH
+    from tidegauge.sources.writers import write_facts
+    df = views.access(spark, "/root/testdata/sf0.001")
+    write_facts(df, str(tmp_path / "facts"))
+    stored = spark.read.parquet(str(tmp_path / "facts"))
+    table = replace(DELIVERY, id="event_id")
+    for offset in (0, 40):
+        page = listing.log_page(stored, replace(table, day="dt"), MONTH, 30, offset)
+        assert [r.event_id for r in page.collect()] == [r.event_id for r in listing.log_page(df, table, MONTH, 30, offset).collect()]
+    scans = [line for line in page._jdf.queryExecution().executedPlan().toString().splitlines() if "PartitionFilters: [isnotnull(dt" in line]
+    assert len(scans) >= 2
+    assert listing.log_page(stored.filter("false"), replace(table, day="dt"), MONTH, 30).count() == 0

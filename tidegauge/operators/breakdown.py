@@ -19,7 +19,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidegauge.operators.aggregates import COUNTERS, resum, row_amount, row_counters, share
-from tidegauge.operators.predicates import facet_filters, minutes_between, page_filter, without_own
+from tidegauge.operators.predicates import (
+    facet_filters, known_columns, minutes_between, page_filter, without_own,
+)
 from tidegauge.spec import Facet, LogTable, Query, TimeRange
 
 VALUE, TOTAL, OTHER, SELECTED = "value", "total", "other", "selected"
@@ -219,16 +221,18 @@ def pick_source(df: DataFrame, rollup: DataFrame | None, table: LogTable, facet:
 FACETS_PER_SCAN = 6
 
 
-def _shared_scan(base: DataFrame, table: LogTable, facets: Sequence[Facet], query: Query) -> DataFrame:
+def _shared_scan(base: DataFrame, table: LogTable, facets: Sequence[Facet], query: Query,
+                 by_bytes: bool) -> DataFrame:
     """(facet, dim, counters) groups of a few single-valued facets."""
     entries = []
+    known = known_columns(table) or None
     for facet in facets:
-        counted = facet_filters(without_own(query.filters, facet.dim))
+        counted = facet_filters(without_own(query.filters, facet.dim), known)
         if facet.extra:
             counted = counted & F.expr(facet.extra)
         entries.append(F.when(counted, F.struct(F.lit(facet.name).alias("facet"),
                                                 F.expr(facet.dim).cast("string").alias("dim"))))
-    counters = row_counters(table)
+    counters = row_counters(table, by_bytes)
     rows = base.select(F.explode(F.array(*entries)).alias("e"), *[c.alias(n) for n, c in counters.items()])
     return (rows.filter(F.col("e").isNotNull())
             .groupBy(F.col("e.facet").alias("facet"), F.col("e.dim").alias("dim")).agg(*resum()))
@@ -244,10 +248,12 @@ def all_facets(df: DataFrame, table: LogTable, facets: Iterable[Facet], query: Q
     in one task.
     """
     facets = [f for f in facets if not f.buckets]
-    single = [f for f in facets if not f.is_array]
     base = df.filter(page_filter(df, table, query, filters=()))
-    parts = [_shared_scan(base, table, single[i:i + FACETS_PER_SCAN], query)
-             for i in range(0, len(single), FACETS_PER_SCAN)]
+    parts = []
+    for by_bytes in (False, True):
+        alike = [f for f in facets if not f.is_array and (query.by_bytes and f.by_bytes) is by_bytes]
+        parts += [_shared_scan(base, table, alike[i:i + FACETS_PER_SCAN], query, by_bytes)
+                  for i in range(0, len(alike), FACETS_PER_SCAN)]
     for facet in facets:
         if facet.is_array:
             groups = facet_groups(df, table, replace(facet, summary=None), query)

@@ -164,9 +164,20 @@ RELEASES = (
     "published timestamp, repo string, tag string, url string, body string, _version bigint")
 ASN_NAMES = (
     "asn bigint, name string, last_seen timestamp")
+USER_SHIFTS = "user string, ical_url string"
 SHIFTS = (
     "user string, shift_start timestamp, shift_end timestamp, summary string, uid string, _version bigint")
 
+# Versioned configuration tables.
+_SETTINGS = (
+    "version int, created timestamp, last_modified timestamp, code_owner string, code_repo string, "
+    "code_source_type string, code_source_url string, content_bus_id string, content_source_type string, "
+    "content_source_url string, content_source_overlay_type string, content_source_overlay_url string, "
+    "cdn_prod_host string, cdn_prod_type string, folders boolean, features string, limits string, _version bigint")
+SITE_CONFIGS = f"org string, site string, profile string, {_SETTINGS}"
+PROFILE_CONFIGS = f"org string, profile string, {_SETTINGS}"
+ORG_CONFIGS = "org string, version int, created timestamp, last_modified timestamp, _version bigint"
+
 # The normalised request table: column -> (type, default). Group prefixes are
 # the dotted groups of the log format with "_" for ".".
 _TEXT, _INT, _DOUBLE, _BOOL = ("string", ""), ("bigint", 0), ("double", 0.0), ("boolean", False)
