@@ -559,6 +559,23 @@ def _(spark, sf):
     return reduce(DataFrame.unionByName, parts)
 
 
+_FILLED_AS_OF = datetime(2024, 1, 30, 12, 34, 56)
+
+
+@check("ts_fill_bounds", views("access", " UNION ALL ".join(
+    f"SELECT '{k}' AS preset, min(t) AS first, max(t) AS last, count(*) AS buckets, CAST(sum(cnt_ok + cnt_4xx + cnt_5xx) AS BIGINT) AS total "
+    f"FROM ({_series_sql('access', _preset(k, _FILLED_AS_OF), DELIVERY.counters, 'weight')})" for k in RANGE_PRESETS)))
+def _(spark, sf):
+    df = v.access(spark, sf)
+    parts = []
+    for k in RANGE_PRESETS:
+        series = ts.classes_over_time(df, DELIVERY, _preset(k, _FILLED_AS_OF))
+        total = F.sum(F.col("cnt_ok") + F.col("cnt_4xx") + F.col("cnt_5xx")).cast("bigint").alias("total")
+        parts.append(series.agg(F.min("t").alias("first"), F.max("t").alias("last"), F.count(F.lit(1)).alias("buckets"), total)
+                     .select(F.lit(k).alias("preset"), "*"))
+    return reduce(DataFrame.unionByName, parts)
+
+
 @check("ts_gapfill_by_key", views("access", f"""
     WITH d AS (SELECT platform_org, time_bucket(to_seconds(600), timestamp, TIMESTAMP '1970-01-01') AS t, {counters()} FROM access WHERE {MONTH_WHERE} GROUP BY 1, 2),
     spine AS (SELECT platform_org, unnest(generate_series(TIMESTAMP '2024-01-01', TIMESTAMP '2024-01-30 23:50:00', to_seconds(600))) AS t FROM (SELECT DISTINCT platform_org FROM d))
