@@ -164,6 +164,28 @@ def test_facts_prune_days(spark, tmp_path):
     assert {r.dt.day for r in facts.select("dt").distinct().collect()} <= {3, 4}
 
 
+def test_bloom_filters_skip_row_groups(spark, tmp_path):
+    df = spark.range(0, 4000, 2).select(F.lit(datetime(2026, 1, 1)).cast("timestamp_ntz").alias("timestamp"),
+                                        F.sha1(F.col("id").cast("string")).alias("request_host"))
+    absent = spark.range(1).select(F.sha1(F.lit("7"))).first()[0]
+
+    def rows_read(name, **options):
+        path = str(tmp_path / name)
+        spark.conf.set("parquet.enable.dictionary", "false")
+        try:
+            writers.write_facts(df, path, **options)
+        finally:
+            spark.conf.unset("parquet.enable.dictionary")
+        found = spark.read.parquet(path).filter(F.col("request_host") == absent)
+        assert found.collect() == []
+        plan = found._jdf.queryExecution().executedPlan()
+        while not plan.nodeName().startswith("Scan"):
+            plan = plan.executedPlan() if plan.nodeName() == "AdaptiveSparkPlan" else plan.children().head()
+        return plan.metrics().apply("numOutputRows").value()
+
+    assert rows_read("plain") > 0 and rows_read("bloom", bloom=("request_host",)) == 0
+
+
 def test_loading_a_day_again_replaces_it(spark, tmp_path):
     path = str(tmp_path / "facts")
     days = spark.createDataFrame([(datetime(2026, 1, d), "h", d) for d in (1, 2)], "timestamp timestamp_ntz, request_host string, n int")

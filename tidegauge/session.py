@@ -19,9 +19,25 @@ SETTINGS = {
     # The JVM never compiles methods above 8000 bytes: wide projections run
     # faster through split functions than as one such method.
     "spark.sql.codegen.hugeMethodLimit": "8000",
+    # Log text compresses well; zstd is what the fact tables are meant to use.
+    "spark.sql.parquet.compression.codec": "zstd",
 }
 
 
+def cluster_settings(cores: int) -> dict[str, str]:
+    """Sizes for a cluster with that many cores, to pass as ``extra``.
+
+    Shuffles start with several partitions per core and are coalesced by
+    adaptive execution. Scans split by file size although most queries read a
+    few of some hundred columns, so splits are larger than Spark's default.
+    """
+    return {
+        "spark.sql.shuffle.partitions": str(max(200, 4 * cores)),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "128m",
+        "spark.sql.files.maxPartitionBytes": "512m",
+    }
+
+
 def build_session(app: str = "tidegauge", master: str | None = None,
                   extra: dict[str, str] | None = None) -> SparkSession:
     builder = SparkSession.builder.appName(app)

@@ -22,18 +22,23 @@ def with_day(df: DataFrame, time: str = "timestamp", day: str = "dt") -> DataFra
 
 
 def write_facts(df: DataFrame, path: str, time: str = "timestamp", sort: Sequence[str] = ("request_host",),
-                day: str = "dt", mode: str = "append", only_days: bool = False) -> None:
+                day: str = "dt", mode: str = "append", only_days: bool = False,
+                bloom: Sequence[str] = ()) -> None:
     """Day folders, rows sorted so that row-group statistics prune.
 
     Range partitioning includes the time, so a day or host with a third of all
     rows is spread over many tasks and files. ``mode="overwrite"`` replaces the
     table, or with ``only_days`` just the days present, which makes a repeated
-    load of a day harmless.
+    load of a day harmless. ``bloom`` names id columns looked up by equality:
+    their bloom filters skip row groups that statistics cannot.
     """
     dated = with_day(df, time, day)
     order = [day, *sort, time]
-    (dated.repartitionByRange(*order).sortWithinPartitions(*order).write.mode(mode)
-     .option("partitionOverwriteMode", "dynamic" if only_days else "static").partitionBy(day).parquet(path))
+    writer = dated.repartitionByRange(*order).sortWithinPartitions(*order).write.mode(mode)
+    writer = writer.option("partitionOverwriteMode", "dynamic" if only_days else "static")
+    for column in bloom:
+        writer = writer.option(f"parquet.bloom.filter.enabled#{column}", "true")
+    writer.partitionBy(day).parquet(path)
 
 
 def append_rows(df: DataFrame, path: str) -> None:
