@@ -6,11 +6,13 @@ import os
 import duckdb
 import pytest
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
+from checks import load_all
+from checks.registry import ORACLES, QUERIES
 from tools.check_oracle import rows as comparable
 
 SF = "/root/testdata/sf0.001"
-QUERIES, ORACLES = queries(), oracle_sql()
+load_all()
 
 
 @pytest.fixture(scope="module")
