@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegauge.llm import simhash
+from tidegauge.llm import binary, packing, sharding, simhash
 from tidegauge.llm.common import table
+from tidegauge.session import shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -27,3 +29,22 @@ def query(name: str, sql: str | None = None):
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+@query("op4_binary_orc")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_folder(spark, "ids")
+    binary.write_ids(table(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"), spaced=False, end_id=2)
+    return binary.with_checksums(binary.read_ids(spark, path))
+
+
+@query("op8_packing_nnls")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), spaced=True, end_id=1)
+
+
+@query("op5_sharding_vector")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = sharding.shard(table(spark, sf_dir, "documents"), shards=24)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
+                         F.lit(None).cast("int").alias("grown_shard"), "tokens")

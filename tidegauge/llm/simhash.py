@@ -134,8 +134,13 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
 def keep_one(docs: DataFrame) -> DataFrame:
     """Rows of ``docs`` without near copies: of each component the document with the smallest id stays.
 
-    Rows that repeat an id stay together with it; NULL ids stay only where no other id is in the component.
+    Rows equal in id and text stay once. Different texts under one id count as
+    one document and stay together. NULL ids stay only where their component
+    has no other id.
     """
-    found = near_duplicates(docs)
-    stay = found.where(same(F.col("doc_id"), F.col("component_id"))).select(F.col("doc_id").alias("_stay")).distinct()
-    return docs.join(stay, same(docs["doc_id"], stay["_stay"]), "left_semi")
+    found = written(near_duplicates(docs), "classes")
+    stay = found.where(same(F.col("doc_id"), F.col("component_id"))).groupBy(F.col("doc_id").alias("_id")).agg(F.count("*").alias("_n"))
+    stay = written(stay, "stay")
+    once, again = (stay.where(c).select("_id") for c in ("_n = 1", "_n > 1"))
+    kept = docs.join(once, same(docs["doc_id"], once["_id"]), "left_semi")
+    return kept.union(docs.join(again, same(docs["doc_id"], again["_id"]), "left_semi").dropDuplicates(["doc_id", "text"]))
