@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegauge.llm import binary, packing, sharding, simhash
+from tidegauge.llm import binary, decontaminate, packing, sharding, simhash
 from tidegauge.llm.common import table
 from tidegauge.session import shared_folder
 
@@ -48,3 +48,18 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.shard(table(spark, sf_dir, "documents"), shards=24)
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
                          F.lit(None).cast("int").alias("grown_shard"), "tokens")
+
+
+@query("op1_decontamination", """
+WITH w AS (SELECT 'd' AS side, doc_id AS id, list_filter(string_split_regex(lower(text), '[ \\t-\\r]+'), lambda x: x <> '') AS words FROM documents
+           UNION ALL
+           SELECT 'i', item_id, list_filter(string_split_regex(lower(text), '[ \\t-\\r]+'), lambda x: x <> '') FROM benchmark),
+s AS (SELECT DISTINCT side, id, array_to_string(words[i:i + 4], ' ') AS shingle
+      FROM (SELECT side, id, words, unnest(range(1, len(words) - 3)) AS i FROM w WHERE len(words) >= 5)),
+n AS (SELECT id, count(*) AS n FROM s WHERE side = 'i' GROUP BY id)
+SELECT d.id AS doc_id, i.id AS item_id, count(*) / n.n AS containment
+FROM s d JOIN s i ON d.shingle = i.shingle AND d.side = 'd' AND i.side = 'i' JOIN n ON n.id = i.id
+GROUP BY d.id, i.id, n.n HAVING count(*) / n.n >= 0.8
+""")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidegauge.llm.common import WORD, map_batches, same, written
+from tidegauge.llm.common import WORD, map_batches, partitions, same, written
 from tidegauge.llm.components import components
 
 SHINGLE_WORDS = 3
@@ -109,13 +109,15 @@ def _refined(crowded: DataFrame) -> DataFrame:
 def links(fps: DataFrame) -> DataFrame:
     """Edges ``a``, ``b`` that connect exactly what fingerprints at two or fewer differing bits connect.
 
-    ``fps`` holds each fingerprint once.
+    ``fps`` holds each fingerprint once. They are dealt out evenly before each
+    becomes 64 rows: as they are, they may lie in a few small partitions.
     """
-    variants = _variants(fps)
+    variants = _variants(fps.repartition(partitions(fps.sparkSession)))
     met = written(variants.groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b"))
                   .where("n > 1"), "variants")
     pairs = met.where("n = 2").where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= 2).select("a", "b")
-    crowded = variants.join(met.where("n > 2").select("key"), "key", "left_semi")
+    # Merged at every size: how many variants are crowded follows the copies in the data.
+    crowded = variants.join(met.where("n > 2").select("key").hint("merge"), "key", "left_semi")
     return pairs.union(_refined(crowded)).distinct()
 
 
