@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegauge.llm import binary, decontaminate, packing, sharding, simhash
+from tidegauge.llm import binary, decontaminate, packing, pseudonyms, quality, sharding, simhash
 from tidegauge.llm.common import table
 from tidegauge.session import shared_folder
 
@@ -63,3 +63,15 @@ GROUP BY d.id, i.id, n.n HAVING count(*) / n.n >= 0.8
 """)
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op3_quality_weak_labels")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.scored(docs, quality.fit(docs, table(spark, sf_dir, "labels"))).withColumns(
+        {name: F.round(name, 6) for name in ("broken", "abusive")})
+
+
+@query("op7_pii_feistel")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudonyms.pseudonymised(table(spark, sf_dir, "documents"))
