@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegauge.llm import binary, decontaminate, packing, pseudonyms, quality, sharding, simhash
+from tidegauge.llm import binary, decontaminate, fingerprints, packing, pseudonyms, quality, repeats, sharding, simhash
 from tidegauge.llm.common import table
 from tidegauge.session import shared_folder
 
@@ -75,3 +75,13 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_pii_feistel")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pseudonyms.pseudonymised(table(spark, sf_dir, "documents"))
+
+
+@query("op2_fingerprints_oph")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.edit_likeness(table(spark, sf_dir, "documents"))
+
+
+@query("op10_suffix_array_repeats")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.repeated_spans(table(spark, sf_dir, "documents"))
