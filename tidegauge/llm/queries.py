@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegauge.llm import binary, decontaminate, fingerprints, packing, pseudonyms, quality, repeats, sharding, simhash
+from tidegauge.llm import binary, decontaminate, fingerprints, packing, pseudonyms, quality, quotations, repeats, sharding, simhash
 from tidegauge.llm.common import table
 from tidegauge.session import shared_folder
 
@@ -85,3 +86,23 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_suffix_array_repeats")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.repeated_spans(table(spark, sf_dir, "documents"))
+
+
+@query("op9_chat_quotations", r"""
+WITH RECURSIVE m AS (
+  SELECT *, lag(text) OVER w AS before, row_number() OVER w - 1 AS nth FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text)),
+o AS (SELECT conv_id, trim(regexp_replace(lower(text), '\s+', ' ', 'g')) AS said, min(turn) AS first_turn FROM conversations GROUP BY ALL),
+p AS (SELECT m.*, o.first_turn AS parent_turn FROM m LEFT JOIN o
+      ON o.conv_id = m.conv_id AND o.said = trim(regexp_replace(lower(m.before), '\s+', ' ', 'g')) AND o.first_turn < m.turn),
+t AS (SELECT conv_id, turn, turn AS root_turn, 0 AS depth FROM p WHERE parent_turn IS NULL
+      UNION ALL
+      SELECT p.conv_id, p.turn, t.root_turn, t.depth + 1 FROM p JOIN t ON p.conv_id = t.conv_id AND p.parent_turn = t.turn)
+SELECT conv_id, root_turn, row_number() OVER (PARTITION BY conv_id, root_turn ORDER BY depth, turn) - 1 AS position,
+       turn, parent_turn, depth, least(nth, 2) AS levels, role, text
+FROM p JOIN t USING (conv_id, turn)
+""")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quotations.conversations(quotations.as_mail(table(spark, sf_dir, "conversations")))
+
+
+QUERIES["pipeline"] = corpus_pipeline.run
