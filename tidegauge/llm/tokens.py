@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from tidegauge.llm.common import map_batches
 
 #: Pieces a worker remembers, and the length of those worth remembering.
-REMEMBERED = 700_000
+REMEMBERED = 1_000_000
 LONGEST = 64
 #: New pieces given to the library in one text.
 JOINED = 512
@@ -29,7 +29,9 @@ JOINED = 512
 PART = "\x00"
 #: A space is a cut only between characters that are no white space.
 INNER = re.compile(r"(?<=\S) (?=\S)")
-UNEVEN = re.compile(r"  | [^\S ]|[^\S ] |^ | $|[^\S \n]")
+RARE_SPACE = re.compile(r"[^\S \n]")
+#: Both pre-tokenizers part a letter from such a mark, and keep a run of them together.
+MARKS = ".,;:!?*#$%&|()\"-"
 
 
 class Encoder:
@@ -47,6 +49,8 @@ class Encoder:
         self.library.encode_special_tokens = True
         self.spaced = spaced
         self.known: dict[str, bytes] = {}
+        self.heads: dict[str, bytes] = {}
+        self.marks: dict[str, bytes] = {}
         self.part = self._whole(PART)
 
     def _whole(self, text: str) -> bytes:
@@ -56,35 +60,51 @@ class Encoder:
         """Joined with a space they are the text (without ``spaced``: but for white space)."""
         if not self.spaced:
             return text.replace("\n", " ").split(" ")
-        return INNER.split(text) if UNEVEN.search(text) else text.split(" ")
+        uneven = "  " in text or " \n" in text or "\n " in text or text[:1] == " " or text[-1:] == " " or RARE_SPACE.search(text)
+        return INNER.split(text) if uneven else text.split(" ")
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        split = []
-        for text in texts:
-            text = (text or "").encode("utf-8", "replace").decode() if text and not text.isascii() and _lone(text) else text or ""
-            first, *rest = self.pieces(text)
-            split.append([first, *[" " + p for p in rest]] if self.spaced else [first, *rest])
-        self._learn(set(chain.from_iterable(split)))
+        split = [self.pieces(_plain(text)) for text in texts]
+        heads = [pieces.pop(0) if self.spaced else "" for pieces in split]  # the only ones without a space before them
+        for head in set(heads).difference(self.heads):
+            self.heads[head] = self._whole(head)
+        self._learn(set(chain.from_iterable(split)).difference(self.known))
         get = self.known.__getitem__
-        out = [b"".join(map(get, pieces)) for pieces in split]
-        if len(self.known) > REMEMBERED:
-            self.known = {}
+        out = [self.heads[head] + b"".join(map(get, pieces)) for head, pieces in zip(heads, split, strict=True)]
+        if len(self.known) + len(self.heads) + len(self.marks) > REMEMBERED:
+            self.known, self.heads, self.marks = {}, {}, {}
         return out
 
-    def _learn(self, pieces: set[str]) -> None:
-        new = [p for p in pieces if p not in self.known]
-        plain = [p for p in new if PART not in p and len(p) <= LONGEST and p.strip() and p == p.rstrip() and p.removeprefix(" ") == p.lstrip()]
-        for p in set(new).difference(plain):
-            self.known[p] = self._whole(p)
-        gap = "\n" + PART + "\n" if self.spaced else " " + PART + " "
+    def _learn(self, new: set[str]) -> None:
+        """Words with marks behind them are the word and the marks; the library sees each word once."""
+        known, cores = self.known, {}
+        for piece in new:
+            core = piece.rstrip(MARKS)
+            if core != piece and core and core[-1].lower()[-1].isalpha():
+                cores[piece] = core
+        asked = new.difference(cores).union(c for c in cores.values() if c not in known)
+        plain = [p for p in asked if PART not in p and len(p) <= LONGEST and p and p == p.strip()]
+        lead = " " if self.spaced else ""
+        for p in asked.difference(plain):
+            known[p] = self._whole(lead + p)
+        gap = "\n" + PART + "\n " if self.spaced else " " + PART + " "
         mark, edge = np.frombuffer(self.part, "<u4")[0], 1 if self.spaced else 0
-        groups = [plain[i:i + JOINED] for i in range(0, len(plain), JOINED)]
-        for group, found in zip(groups, self.library.encode_batch_fast([gap.join(g) for g in groups], add_special_tokens=False), strict=True):
-            ids = np.asarray(found.ids, "<u4")
+        for marks in {p[len(c):] for p, c in cores.items()}.difference(self.marks):
+            self.marks[marks] = self._whole(marks)
+        joined = [plain[i:i + JOINED] for i in range(0, len(plain), JOINED)]
+        found = self.library.encode_batch_fast([lead + gap.join(g) for g in joined], add_special_tokens=False)
+        for group, one in zip(joined, found, strict=True):
+            ids = np.asarray(one.ids, "<u4")
             cuts = np.flatnonzero(ids == mark)
-            starts, stops = [0, *(cuts + 1 + edge)], [*(cuts - edge), ids.size]
+            starts, stops = [0, *(cuts + 1 + edge).tolist()], [*(cuts - edge).tolist(), ids.size]
             raw = ids.tobytes()
-            self.known.update(zip(group, (raw[4 * a:4 * b] for a, b in zip(starts, stops, strict=True)), strict=True))
+            known.update(zip(group, (raw[4 * a:4 * b] for a, b in zip(starts, stops, strict=True)), strict=True))
+        for piece, core in cores.items():
+            known[piece] = known[core] + self.marks[piece[len(core):]]
+
+
+def _plain(text: str | None) -> str:
+    return text.encode("utf-8", "replace").decode() if text and not text.isascii() and _lone(text) else text or ""
 
 
 def _lone(text: str) -> bool:
