@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import datetime, timedelta
+from datetime import date, datetime, timedelta
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -482,25 +482,64 @@ _ST_ROLLUP = " UNION ALL ".join(
 @check("st_rollup", views("access", _ST_ROLLUP.format(where="")))
 def _(spark, sf):
     path = shared_folder(spark, "stream-rollup")
-    jobs.start_rollup(_access_stream(spark, sf), DELIVERY, FACETS, f"{path}/rows", f"{path}/checkpoint").awaitTermination()
+    jobs.start_rollup(_access_stream(spark, sf), DELIVERY, FACETS, f"{path}/rows", f"{path}/checkpoint", "edge").awaitTermination()
     return rollup.merge_rollups(jobs.read_batches(spark, f"{path}/rows"))
 
 
-@check("st_ingest", views("access", f"""
-    SELECT 'rollup' AS target, sum(cnt)::BIGINT AS n FROM ({_ST_ROLLUP.format(where=" WHERE cdn_is_edge")})
-    UNION ALL SELECT 'delivery', sum(weight)::BIGINT FROM access WHERE cdn_is_edge
-    UNION ALL SELECT 'delivery_errors', sum(weight)::BIGINT FROM access WHERE cdn_is_edge AND response_status >= 500
-    UNION ALL SELECT 'backend', sum(weight)::BIGINT FROM access WHERE NOT cdn_is_edge"""))
-def _(spark, sf):
+_ROUTED = {"delivery": "cdn_is_edge", "delivery_errors": "cdn_is_edge AND response_status > 499", "backend": "NOT cdn_is_edge"}
+_ST_COLUMNS = ", ".join(v.ACCESS)
+
+
+def _ingested(spark, sf) -> str:
+    """Two sources, each with its own checkpoint, feed the same tables."""
     path = shared_folder(spark, "stream-ingest")
-    rules = rollup.routes((), ())
-    targets = {t: f"{path}/{t}" for t in ("delivery", "delivery_errors", "backend")}
-    jobs.start_ingest(_event_stream(spark, sf), lambda rows: v._view(rows, v.ACCESS), targets, rules, f"{path}/checkpoint",
-                      "delivery", f"{path}/rollup", DELIVERY, FACETS).awaitTermination()
-    parts = [spark.read.parquet(p).agg(F.sum("weight").cast("bigint").alias("n")).select(F.lit(t).alias("target"), "n")
-             for t, p in targets.items()]
-    parts.append(spark.read.parquet(f"{path}/rollup").agg(F.sum("cnt").cast("bigint").alias("n")).select(F.lit("rollup").alias("target"), "n"))
-    return reduce(DataFrame.unionByName, parts)
+    rules = {t: r for t, r in rollup.routes((), ()).items() if t in _ROUTED}
+    for source, condition in (("errors", "event_type = 'error'"), ("others", "event_type <> 'error'")):
+        jobs.start_ingest(_event_stream(spark, sf).filter(condition), lambda rows: v._view(rows, v.ACCESS), f"{path}/facts", rules,
+                          f"{path}/checkpoint-{source}", source, "delivery", f"{path}/rollup", DELIVERY, FACETS).awaitTermination()
+    return path
+
+
+@check("st_ingest", views("access", " UNION ALL ".join(f"SELECT '{t}' AS target, {_ST_COLUMNS} FROM access WHERE {c}" for t, c in _ROUTED.items())))
+def _(spark, sf):
+    path = _ingested(spark, sf)
+    rows = [jobs.read_batches(spark, f"{path}/facts", t).select(F.lit(t).alias("target"), *v.ACCESS) for t in _ROUTED]
+    return reduce(DataFrame.unionByName, rows)
+
+
+@check("st_ingest_rollup", views("access", _ST_ROLLUP.format(where=" WHERE cdn_is_edge")))
+def _(spark, sf):
+    return rollup.merge_rollups(jobs.read_batches(spark, f"{_ingested(spark, sf)}/rollup"))
+
+
+_COMPACTED = [date(2024, 1, d) for d in range(1, 13)]
+
+
+@check("st_compacted", views("access", f"SELECT {_ST_COLUMNS} FROM access WHERE cdn_is_edge AND CAST(timestamp AS DATE) BETWEEN '2024-01-01' AND '2024-01-12'"))
+def _(spark, sf):
+    """The streamed batches of some days rewritten as facts, one day of them twice."""
+    path = _ingested(spark, sf)
+    for days in (_COMPACTED, _COMPACTED[3:4]):
+        jobs.compact_batches(spark, f"{path}/facts", f"{path}/days", days, "delivery")
+    return spark.read.parquet(f"{path}/days").select(*v.ACCESS)
+
+
+@check("st_rollup_compacted", views("access", f"SELECT * FROM ({_ST_ROLLUP.format(where='')}) WHERE CAST(minute AS DATE) BETWEEN '2024-01-01' AND '2024-01-12'"))
+def _(spark, sf):
+    path = shared_folder(spark, "stream-rollup")
+    jobs.start_rollup(_access_stream(spark, sf), DELIVERY, FACETS, f"{path}/rows", f"{path}/checkpoint", "edge").awaitTermination()
+    for days in (_COMPACTED, _COMPACTED[:1]):
+        rollup.compact_rollup(jobs.read_batches(spark, f"{path}/rows"), f"{path}/days", days)
+    return spark.read.parquet(f"{path}/days").drop("dt")
+
+
+@check("retention_drop", views("access", f"SELECT {_ST_COLUMNS} FROM access WHERE CAST(timestamp AS DATE) >= DATE '2024-01-17'"))
+def _(spark, sf):
+    path = shared_folder(spark, "retention")
+    writers.write_facts(v.access(spark, sf), path)
+    for _ in range(2):
+        writers.drop_expired(spark, path, readers.RETENTION["facts"], v.AS_OF)
+    return spark.read.parquet(path).select(*v.ACCESS)
 
 
 @check("st_latest", """
@@ -508,7 +547,7 @@ def _(spark, sf):
 def _(spark, sf):
     path = shared_folder(spark, "stream-versions")
     stream = _event_stream(spark, sf).select("user_id", "event_id", "event_type")
-    jobs.start_versions(stream, f"{path}/rows", f"{path}/checkpoint").awaitTermination()
+    jobs.start_versions(stream, f"{path}/rows", f"{path}/checkpoint", "users").awaitTermination()
     return jobs.read_versions(spark.read.parquet(f"{path}/rows"), ["user_id"], "event_id")
 
 
@@ -521,7 +560,7 @@ def _(spark, sf):
         return v.table(spark, sf, "nation").select(F.col("n_nationkey").cast("bigint").alias("client_asn"), F.col("n_name").alias("name"))
 
     stream = _access_stream(spark, sf).select("event_id", "client_asn")
-    jobs.start_enriched(stream, names, "client_asn", f"{path}/rows", f"{path}/checkpoint").awaitTermination()
+    jobs.start_enriched(stream, names, "client_asn", f"{path}/rows", f"{path}/checkpoint", "edge").awaitTermination()
     return spark.read.parquet(f"{path}/rows").groupBy("client_asn", "name").agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -13,8 +13,9 @@ from checks.sqltext import MONTH_WHERE, counters
 from checks.traffic import DUCK_STATUS_RANGE
 from tidegauge.operators import anomaly as an
 from tidegauge.operators import timeseries as ts
-from tidegauge.plans.dashboards import DELIVERY
-from tidegauge.spec import Query
+from tidegauge.plans.dashboards import APP_LOGS, DELIVERY
+from tidegauge.plans.page import Page
+from tidegauge.spec import Query, TimeRange
 
 # Six-hour buckets over the month, one series per organisation.
 STEP = timedelta(hours=6)
@@ -172,6 +173,46 @@ def _(spark, sf):
                            {"platform_org": "platform_org"})
 
 
+# The same over one series without a key: the SQL keeps its key column, filled with a constant.
+def _one_series(view: str, columns: str, body: str) -> str:
+    one = f"one AS (SELECT 'all' AS platform_org, {columns} FROM {view}), "
+    return v.with_views(view, "WITH " + one + body.replace("FROM access", "FROM one"))
+
+
+_ACCESS_COLUMNS = "timestamp, weight, response_status, request_host"
+_APP_COLUMNS = ("timestamp, 1 AS weight, function_name, "
+                "CASE WHEN lower(level) = 'error' THEN 500 WHEN lower(level) IN ('warn', 'warning') THEN 400 ELSE 200 END AS response_status")
+
+
+@check("an_detect_total", _one_series("access", _ACCESS_COLUMNS, selection_sql(CLASSES, an.KINDS, 5).replace(
+    "i < n - 2", f"i < n - (SELECT count(*) FROM s z WHERE z.t >= TIMESTAMP '{FRESH - timedelta(minutes=3)}')")
+    + f" SELECT {PICKED.replace('platform_org, ', '')} FROM picked"))
+def _(spark, sf):
+    page = Page(DELIVERY, v.access(spark, sf))
+    return rounded(page.anomalies(QUERY, FRESH), "peak_deviation", "score")
+
+
+# The application log is dense in its first hours only.
+HALF_DAY = Query(TimeRange(datetime(2024, 1, 1), datetime(2024, 1, 1, 12), timedelta(minutes=30)))
+
+
+def _half_day(body: str) -> str:
+    return (body.replace("to_seconds(21600)", "to_seconds(1800)").replace("TIMESTAMP '2024-01-30 18:00:00'", "TIMESTAMP '2024-01-01 11:30:00'")
+            .replace(MONTH_WHERE, "timestamp >= TIMESTAMP '2024-01-01' AND timestamp < TIMESTAMP '2024-01-01 12:01:00'"))
+
+
+@check("an_drill_app_logs", _one_series("app_log", _APP_COLUMNS, _half_day(selection_sql(CLASSES, an.KINDS, 5) + f""",
+    f AS (SELECT platform_org, time_bucket(to_seconds(21600), timestamp, TIMESTAMP '1970-01-01') AS t, regexp_replace(function_name, '/[^/]+$', '') AS dim,
+                 response_status, weight FROM one WHERE {MONTH_WHERE})
+    SELECT rank, dim, {counters()} FROM f JOIN picked p ON f.t BETWEEN p.start_time AND p.end_time
+      AND f.response_status = CASE p.category WHEN 'red' THEN 500 WHEN 'yellow' THEN 400 ELSE 200 END
+    GROUP BY 1, 2""")))
+def _(spark, sf):
+    lines = v.app_log_in(spark, sf)
+    found = an.detect(ts.classes_over_time(lines, APP_LOGS, HALF_DAY), [], MARGIN)
+    return an.anomaly_rows(lines, APP_LOGS, APP_LOGS.facets["function-name"], HALF_DAY, found, {})
+
+
 SPANS = [(datetime(2024, 1, 5, 6), datetime(2024, 1, 6, 17, 59)), (datetime(2024, 1, 20), datetime(2024, 1, 20, 23, 30))]
 HIT = " OR ".join(f"date_trunc('minute', timestamp) BETWEEN TIMESTAMP '{a}' AND TIMESTAMP '{b}'" for a, b in SPANS)
 

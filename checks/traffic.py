@@ -11,7 +11,10 @@ from pyspark.sql import functions as F
 
 from checks import views as v
 from checks.registry import check
-from checks.sqltext import COUNTERS, MONTH_WHERE, breakdown as sql_breakdown, counters, groups, resum, top_and_totals
+from checks.sqltext import (
+    COUNTERS, LEVEL_COUNTERS, MONTH_WHERE, OUTCOME_COUNTERS, STATUS_COUNTERS, breakdown as sql_breakdown, counters, groups, resum,
+    top_and_totals,
+)
 from tidegauge.functions import buckets as bk
 from tidegauge.functions import classify
 from tidegauge.functions.entities import with_entities
@@ -22,12 +25,11 @@ from tidegauge.operators.domains import Platform, customer_traffic
 from tidegauge.operators.aggregates import dim_count, traffic_counters
 from tidegauge.plans.dashboards import ADMIN, APP_LOGS, AUTHORING, AUTHORING_WORKERS, BACKEND, DELIVERY, MIXER
 from tidegauge.plans.facets import APP_LOG_ROLLUP, CDN_ROLLUP
+from tidegauge.plans.page import Page
 from tidegauge.session import shared_folder
 from tidegauge.sources.rollup import minute_rollup
 from tidegauge.sources.writers import write_facts
-from tidegauge.spec import (
-    FacetFilter, LEVEL_COUNTERS, LogTable, OUTCOME_COUNTERS, Query, RANGE_PRESETS, TimeRange,
-)
+from tidegauge.spec import FacetFilter, LogTable, Query, RANGE_PRESETS, TimeRange
 
 MONTH = Query(v.MONTH, top=10)
 UNWEIGHTED = replace(DELIVERY, weight=None)
@@ -48,6 +50,17 @@ DUCK_DIMS = {
 }
 
 
+CONDITIONS = {APP_LOGS.name: LEVEL_COUNTERS, AUTHORING_WORKERS.name: OUTCOME_COUNTERS, MIXER.name: OUTCOME_COUNTERS}
+
+
+# Summaries whose SQL differs between the engines.
+DUCK_SUMMARIES: dict[str, str] = {}
+
+
+def conditions_of(table: LogTable) -> dict[str, str]:
+    return CONDITIONS.get(table.name, STATUS_COUNTERS)
+
+
 def duck_dim(facet) -> str:
     return DUCK_DIMS.get(facet.name, facet.dim)
 
@@ -320,17 +333,18 @@ def _(spark, sf):
 
 def _one_facet_sql(view: str, facet, amount: str, conditions, n: int) -> str:
     dim = f"unnest({facet.dim})" if facet.is_array else duck_dim(facet)
-    body = groups(view, dim, duck_where(facet), amount=amount, conditions=conditions)
-    names = ", ".join(COUNTERS)
+    summary = DUCK_SUMMARIES.get(facet.name, facet.summary)
+    body = groups(view, dim, duck_where(facet), amount=amount, conditions=conditions, summary=summary)
+    names = ", ".join([*COUNTERS, "summary_cnt" if summary else "CAST(NULL AS BIGINT) AS summary_cnt"])
     return (f"(WITH g AS ({body}) SELECT '{facet.name}' AS facet, kind, dim, {names} FROM "
-            f"({top_and_totals('g', n, other=True)}))")
+            f"({top_and_totals('g', n, other=True, summary=bool(summary))}))")
 
 
 def _all_facets(name: str, view: str, table: LogTable, load, amount: str = "1"):
     facets = [f for f in table.facets.values() if not f.buckets]
 
     @check(name, views(view, " UNION ALL ".join(
-        _one_facet_sql(view, f, amount, table.counters, MONTH.top) for f in facets)))
+        _one_facet_sql(view, f, amount, conditions_of(table), MONTH.top) for f in facets)))
     def _(spark, sf):
         return bd.all_facets(load(spark, sf), table, facets, MONTH, with_other=True)
 
@@ -366,19 +380,90 @@ _PART = "timestamp >= TIMESTAMP '2024-01-10' AND timestamp < TIMESTAMP '2024-01-
 _PREVIEWED = ("status-range", "methods", "tier", "errors")
 
 
+def _page_facet_sql(name: str, where: str, n: int = 10, other: bool = False, bucket: str = "") -> str:
+    """One facet of a delivery page: its groups, its top rows and totals."""
+    facet = DELIVERY.facets[name]
+    summary = facet.summary
+    names = ", ".join([*COUNTERS, "summary_cnt" if summary else "CAST(NULL AS BIGINT) AS summary_cnt"])
+    where = duck_where(facet, where)
+    if bucket:
+        body = f"SELECT {bucket} AS dim, {counters(summary=summary)}, min({facet.raw}) AS low FROM access WHERE {where} GROUP BY 1"
+        return f"(WITH g AS ({body}) SELECT '{name}' AS facet, kind, dim, {names} FROM ({top_and_totals('g', n, 'low', summary=bool(summary))}))"
+    body = groups("access", duck_dim(facet), where, summary=summary)
+    return f"(WITH g AS ({body}) SELECT '{name}' AS facet, kind, dim, {names} FROM ({top_and_totals('g', n, other=other, summary=bool(summary))}))"
+
+
+_ASN_PREVIEW = (
+    f"(WITH g AS (SELECT CAST(client_asn AS VARCHAR) || ' ' || coalesce(n_name, '') AS dim, CAST(client_asn AS VARCHAR) AS asn, {counters()} "
+    f"FROM access LEFT JOIN nation ON client_asn = n_nationkey WHERE {_PART} AND client_asn <> 0 GROUP BY 1, 2) "
+    f"SELECT 'asn' AS facet, kind, dim, {', '.join(COUNTERS)}, CAST(NULL AS BIGINT) AS summary_cnt FROM "
+    f"({top_and_totals('g', 10, 'cnt DESC, asn').replace('SELECT * FROM g', 'SELECT dim, cnt, cnt_ok, cnt_4xx, cnt_5xx FROM g')}))")
+# Ten rows: nine bounds of the response times, spread evenly over the list of bounds.
+_ELAPSED_TEN = """CASE WHEN cdn_time_elapsed_msec < 1 THEN '< 1ms' WHEN cdn_time_elapsed_msec < 5 THEN '1ms-5ms' WHEN cdn_time_elapsed_msec < 20 THEN '5ms-20ms'
+    WHEN cdn_time_elapsed_msec < 70 THEN '20ms-70ms' WHEN cdn_time_elapsed_msec < 300 THEN '70ms-300ms' WHEN cdn_time_elapsed_msec < 1000 THEN '300ms-1s'
+    WHEN cdn_time_elapsed_msec < 3000 THEN '1s-3s' WHEN cdn_time_elapsed_msec < 15000 THEN '3s-15s' WHEN cdn_time_elapsed_msec < 60000 THEN '15s-60s' ELSE '≥ 60s' END"""
+
+
+def _names(spark, sf) -> DataFrame:
+    return v.table(spark, sf, "nation").select(F.col("n_nationkey").alias("asn"), F.col("n_name").alias("name"))
+
+
 @check("breakdown_preview", views("access", " UNION ALL ".join(
-    [f"(WITH g AS ({groups('access', duck_dim(DELIVERY.facets[n]), duck_where(DELIVERY.facets[n], _PART))}) "
-     f"SELECT '{n}' AS facet, kind, dim, {', '.join(COUNTERS)} FROM ({top_and_totals('g', 10)}))" for n in _PREVIEWED]
-    + [f"(WITH g AS (SELECT CAST(client_asn AS VARCHAR) || ' ' || coalesce(n_name, '') AS dim, CAST(client_asn AS VARCHAR) AS asn, {counters()} "
-       f"FROM access LEFT JOIN nation ON client_asn = n_nationkey WHERE {_PART} AND client_asn <> 0 GROUP BY 1, 2) "
-       f"SELECT 'asn', kind, dim, {', '.join(COUNTERS)} FROM ({top_and_totals('g', 10, 'cnt DESC, asn').replace('SELECT * FROM g', 'SELECT dim, cnt, cnt_ok, cnt_4xx, cnt_5xx FROM g')}))",
-       f"(WITH g AS (SELECT {bk.elapsed_buckets(10, 'cdn_time_elapsed_msec')} AS dim, {counters()}, min(cdn_time_elapsed_msec) AS low "
-       f"FROM access WHERE {_PART} GROUP BY 1) SELECT 'time-elapsed', kind, dim, {', '.join(COUNTERS)} FROM ({top_and_totals('g', 10, 'low')}))"])))
+    [*[_page_facet_sql(n, _PART) for n in _PREVIEWED], _ASN_PREVIEW, _page_facet_sql("time-elapsed", _PART, bucket=_ELAPSED_TEN)])))
 def _(spark, sf):
     facets = [DELIVERY.facets[n] for n in (*_PREVIEWED, "asn", "time-elapsed")]
-    names = v.table(spark, sf, "nation").select(F.col("n_nationkey").alias("asn"), F.col("n_name").alias("name"))
     part = TimeRange.free(datetime(2024, 1, 10), datetime(2024, 1, 12))
-    return bd.preview(v.access(spark, sf), DELIVERY, facets, MONTH, part, names)
+    return bd.preview(v.access(spark, sf), DELIVERY, facets, MONTH, part, _names(spark, sf))
+
+
+_FROM_ROLLUP = ("status-range", "methods", "tier", "datacenters", "source")
+_FROM_ROWS = ("paths", "referers")
+
+
+def _rolled_page(spark, sf) -> Page:
+    rows = v.access(spark, sf)
+    return Page(DELIVERY, rows, _stored(spark, minute_rollup(rows, DELIVERY, CDN_ROLLUP)), rollup_day="dt")
+
+
+@check("page_rollup", views("access", " UNION ALL ".join(
+    [*[_page_facet_sql(n, MONTH_WHERE, other=True) for n in (*_FROM_ROLLUP, *_FROM_ROWS)], _page_facet_sql("time-elapsed", MONTH_WHERE, bucket=_ELAPSED_TEN)])))
+def _(spark, sf):
+    return _rolled_page(spark, sf).breakdowns(MONTH, (*_FROM_ROLLUP, *_FROM_ROWS, "time-elapsed"))
+
+
+@check("preview_rollup", views("access", " UNION ALL ".join(_page_facet_sql(n, _PART, other=True) for n in (*_FROM_ROLLUP, *_FROM_ROWS))))
+def _(spark, sf):
+    part = TimeRange.free(datetime(2024, 1, 10), datetime(2024, 1, 12))
+    return _rolled_page(spark, sf).breakdowns(MONTH, (*_FROM_ROLLUP, *_FROM_ROWS), part=part)
+
+
+_CHOSEN = ("main--site7--org2.example.live", "3 NATION_3")
+_CHOSEN_BOTH = f"request_host = '{_CHOSEN[0]}' AND client_asn = 3"
+
+
+def _selected_sql(facet: str, dim: str, others: str, value: str, extra: str = "true", joined: str = "access") -> str:
+    """Top rows under the other facets' filters; the value itself, if not among them, under none."""
+    top = groups(joined, dim, f"{MONTH_WHERE} AND {extra} AND {others}")
+    every = groups(joined, dim, f"{MONTH_WHERE} AND {extra}")
+    null = "CAST(NULL AS BIGINT) AS summary_cnt"
+    summary = DELIVERY.facets[facet].summary
+    if summary:
+        top, every, null = groups(joined, dim, f"{MONTH_WHERE} AND {extra} AND {others}", summary=summary), groups(joined, dim, f"{MONTH_WHERE} AND {extra}", summary=summary), "summary_cnt"
+    names = ", ".join([*COUNTERS, null])
+    return (f"(WITH g AS ({top}), e AS ({every}), page AS ({top_and_totals('g', 3, other=True, summary=bool(summary))}) "
+            f"SELECT '{facet}' AS facet, kind, dim, {names} FROM page UNION ALL SELECT '{facet}', 'selected', dim, {names} FROM e "
+            f"WHERE dim = '{value}' AND dim NOT IN (SELECT dim FROM page WHERE kind = 'value'))")
+
+
+@check("page_selected", views("access", " UNION ALL ".join([
+    _selected_sql("hosts", "request_host", "client_asn = 3", _CHOSEN[0]),
+    _selected_sql("asn", "CAST(client_asn AS VARCHAR) || ' ' || coalesce(n_name, '')", f"request_host = '{_CHOSEN[0]}'", _CHOSEN[1], "client_asn <> 0",
+                  "access LEFT JOIN nation ON client_asn = n_nationkey"),
+    _selected_sql("methods", "request_method", _CHOSEN_BOTH, "-")])))
+def _(spark, sf):
+    filters = (DELIVERY.facets["hosts"].filter(_CHOSEN[0]), DELIVERY.facets["asn"].filter(_CHOSEN[1]))
+    page = Page(DELIVERY, v.access(spark, sf), names=_names(spark, sf))
+    return page.breakdowns(replace(MONTH, top=3, filters=filters), ("hosts", "asn", "methods"))
 
 
 def _bucket_case(facet, n: int) -> str:
@@ -389,7 +474,7 @@ def _bucketed(name: str, view: str, table: LogTable, facet_name: str, load, n: i
               summary: str | None = None):
     facet = table.facets[facet_name]
     raw = duck_dim(facet)
-    inner = (f"SELECT {raw} AS raw, {counters(amount, table.counters, summary)} FROM {view} "
+    inner = (f"SELECT {raw} AS raw, {counters(amount, conditions_of(table), summary)} FROM {view} "
              f"WHERE {duck_where(facet)} GROUP BY 1")
     names = COUNTERS + (["summary_cnt"] if summary else [])
     sql = (f"WITH i AS ({inner}), g AS (SELECT {_bucket_case(facet, n)} AS dim, {resum(names)}, min(raw) AS low FROM i GROUP BY 1) "
@@ -446,7 +531,7 @@ _APP_DUCK = {**APP_LOG_ROLLUP, "function_name": DUCK_DIMS["function-name"],
              "function_version": DUCK_DIMS["function-version"], "admin_method": DUCK_DIMS["admin-method"]}
 
 
-@check("rollup_cdn", views("access", _rollup_sql("access", _CDN_DUCK, "weight", DELIVERY.counters)))
+@check("rollup_cdn", views("access", _rollup_sql("access", _CDN_DUCK, "weight", STATUS_COUNTERS)))
 def _(spark, sf):
     return minute_rollup(v.access(spark, sf), DELIVERY, CDN_ROLLUP)
 
@@ -521,7 +606,7 @@ def _preset(key: str, as_of: datetime = v.AS_OF) -> Query:
 
 
 def _time_series(name: str, view: str, table: LogTable, load, query: Query, amount: str = "1", fill: bool = True):
-    @check(name, views(view, _series_sql(view, query, table.counters, amount, fill=fill)))
+    @check(name, views(view, _series_sql(view, query, conditions_of(table), amount, fill=fill)))
     def _(spark, sf):
         return ts.classes_over_time(load(spark, sf), table, query, fill=fill)
 
@@ -550,7 +635,7 @@ _SPANS = [timedelta(minutes=15), timedelta(minutes=60), timedelta(hours=12), tim
 
 @check("ts_bucket_custom", views("access", " UNION ALL ".join(
     "SELECT {0} AS span, * FROM ({1})".format(int(span.total_seconds()), _series_sql(
-        "access", Query(TimeRange.free(datetime(2024, 1, 15), datetime(2024, 1, 15) + span)), DELIVERY.counters, "weight"))
+        "access", Query(TimeRange.free(datetime(2024, 1, 15), datetime(2024, 1, 15) + span)), STATUS_COUNTERS, "weight"))
     for span in _SPANS)))
 def _(spark, sf):
     df = v.access(spark, sf)
@@ -564,7 +649,7 @@ _FILLED_AS_OF = datetime(2024, 1, 30, 12, 34, 56)
 
 @check("ts_fill_bounds", views("access", " UNION ALL ".join(
     f"SELECT '{k}' AS preset, min(t) AS first, max(t) AS last, count(*) AS buckets, CAST(sum(cnt_ok + cnt_4xx + cnt_5xx) AS BIGINT) AS total "
-    f"FROM ({_series_sql('access', _preset(k, _FILLED_AS_OF), DELIVERY.counters, 'weight')})" for k in RANGE_PRESETS)))
+    f"FROM ({_series_sql('access', _preset(k, _FILLED_AS_OF), STATUS_COUNTERS, 'weight')})" for k in RANGE_PRESETS)))
 def _(spark, sf):
     df = v.access(spark, sf)
     parts = []
@@ -586,7 +671,7 @@ def _(spark, sf):
 
 @check("ts_stack", views("access", f"""
     SELECT *, cnt_ok AS stack_ok, cnt_ok + cnt_4xx AS stack_4xx, cnt_ok + cnt_4xx + cnt_5xx AS stack_5xx
-    FROM ({_series_sql('access', _preset('7d'), DELIVERY.counters, 'weight')})"""))
+    FROM ({_series_sql('access', _preset('7d'), STATUS_COUNTERS, 'weight')})"""))
 def _(spark, sf):
     return ts.stacked(ts.classes_over_time(v.access(spark, sf), DELIVERY, _preset("7d")))
 
@@ -594,7 +679,7 @@ def _(spark, sf):
 @check("chart_total", views("access", f"""
     SELECT CAST(sum(cnt_ok + cnt_4xx + cnt_5xx) AS BIGINT) AS total,
            greatest(4, CAST(ceil(max(cnt_ok + cnt_4xx + cnt_5xx) / 4.0) * 4 AS BIGINT)) AS y_max
-    FROM ({_series_sql('access', _preset('14d'), DELIVERY.counters, 'weight')})"""))
+    FROM ({_series_sql('access', _preset('14d'), STATUS_COUNTERS, 'weight')})"""))
 def _(spark, sf):
     return ts.chart_total(ts.classes_over_time(v.access(spark, sf), DELIVERY, _preset("14d")))
 

@@ -242,7 +242,7 @@ def test_streamed_rollup_equals_batch_over_several_batches(spark, rows, tmp_path
     df = access_files(spark, source)
     stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(source)
     out = str(tmp_path / "out")
-    jobs.start_rollup(stream, DELIVERY, ci.FACETS, out, str(tmp_path / "cp")).awaitTermination()
+    jobs.start_rollup(stream, DELIVERY, ci.FACETS, out, str(tmp_path / "cp"), "edge").awaitTermination()
     stored = spark.read.parquet(out)
     assert stored.select(jobs.BATCH).distinct().count() == 3
     assert rows(rollup.merge_rollups(jobs.read_batches(spark, out))) == rows(rollup.minute_rollup(df, DELIVERY, ci.FACETS))
@@ -251,17 +251,17 @@ def test_streamed_rollup_equals_batch_over_several_batches(spark, rows, tmp_path
 def test_a_batch_that_runs_twice_counts_once(spark, tmp_path):
     out = str(tmp_path / "out")
     df = spark.range(10)
-    jobs.write_batch(df, 0, out)
-    jobs.write_batch(df, 1, out)
-    jobs.write_batch(df, 1, out)
+    jobs.write_batch(df, 0, out, "edge", "q1")
+    for _ in range(2):
+        jobs.write_batch(df, 1, out, "edge", "q1")
     assert spark.read.parquet(out).count() == 20
 
 
 def test_days_of_a_batch_are_replaced_as_a_whole(spark, tmp_path):
     out = str(tmp_path / "out")
     days = spark.createDataFrame([(datetime(2026, 1, d), d) for d in (1, 2, 3)], "timestamp timestamp_ntz, n int")
-    jobs.write_batch(days, 0, out, "timestamp")
-    jobs.write_batch(days.filter("n < 3"), 0, out, "timestamp")
+    jobs.write_batch(days, 0, out, "edge", "q1", "timestamp")
+    jobs.write_batch(days.filter("n < 3"), 0, out, "edge", "q1", "timestamp")
     stored = jobs.read_batches(spark, out)
     assert stored.count() == 2
     pruned = stored.filter("dt = DATE '2026-01-02'")
@@ -274,11 +274,11 @@ def test_json_lines_stream_through_normaliser_to_facts_and_rollup(spark, rows, t
     raw.write.option("compression", "gzip").json(source)
     stream = readers.stream_json_lines(spark, source, staging_schema("generic"), files_per_batch=1)
     plain = replace(DELIVERY, weight=None)
-    targets = {t: str(tmp_path / t) for t in ("delivery", "delivery_errors", "backend")}
-    jobs.start_ingest(stream, lambda b: normalize.normalise_service(b, "generic"), targets, rollup.routes((), ()),
-                      str(tmp_path / "cp"), "delivery", str(tmp_path / "minutes"), plain, ci.FACETS).awaitTermination()
+    facts = str(tmp_path / "facts")
+    jobs.start_ingest(stream, lambda b: normalize.normalise_service(b, "generic"), facts, rollup.routes((), ()),
+                      str(tmp_path / "cp"), "generic", "delivery", str(tmp_path / "minutes"), plain, ci.FACETS).awaitTermination()
     want = normalize.normalise_service(raw, "generic")
-    stored = {t: jobs.read_batches(spark, p) for t, p in targets.items()}
+    stored = {t: jobs.read_batches(spark, facts, t) for t in ("delivery", "delivery_errors", "backend")}
     assert stored["delivery"].count() + stored["backend"].count() == want.count() == 1000
     assert stored["delivery_errors"].count() == want.filter("cdn_is_edge AND response_status >= 500").count() > 0
     minutes = rollup.merge_rollups(jobs.read_batches(spark, str(tmp_path / "minutes")))
@@ -291,10 +291,34 @@ def test_restart_continues_where_it_stopped(spark, tmp_path):
     for half in (0, 1):
         df.filter(F.col("event_id") % 2 == half).coalesce(1).write.mode("append").parquet(source)
         stream = spark.readStream.schema(df.schema).parquet(source)
-        jobs.start_versions(stream, out, cp).awaitTermination()
+        jobs.start_versions(stream, out, cp, "users").awaitTermination()
     assert spark.read.parquet(out).count() == df.count()
 
 
+def test_streams_do_not_overwrite_each_other(spark, tmp_path):
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    spark.range(10).write.parquet(source)
+
+    def run(name, checkpoint):
+        stream = spark.readStream.schema("id long").parquet(source)
+        jobs.start_versions(stream, out, str(tmp_path / checkpoint), name).awaitTermination()
+    run("first", "cp1")
+    run("second", "cp2")  # another source into the same table
+    assert spark.read.parquet(out).count() == 20
+    run("second", "cp3")  # a fresh checkpoint starts at batch 0 again
+    assert spark.read.parquet(out).groupBy(jobs.SOURCE).count().collect() and spark.read.parquet(out).count() == 30
+
+
+def test_expired_days_are_dropped_at_any_depth(spark, tmp_path):
+    days = spark.createDataFrame([(datetime(2026, 1, d), d) for d in range(1, 8)], "timestamp timestamp_ntz, n int")
+    out = str(tmp_path / "out")
+    for batch in (0, 1):
+        jobs.write_batch(days, batch, out, "edge", "q1", "timestamp")
+    for gone in (["dt=2026-01-01", "dt=2026-01-02"], []):
+        assert writers.drop_expired(spark, out, timedelta(days=4), datetime(2026, 1, 7, 12)) == gone
+    assert sorted(values(jobs.read_batches(spark, out).select("n"))) == sorted([3, 4, 5, 6, 7] * 2)
+
+
 def test_windowed_rollup_drops_nothing_in_time(spark, tmp_path):
     source = str(tmp_path / "in")
     df = access_files(spark, source, 1)

@@ -47,8 +47,9 @@ def _spans(bounds: list[int], label) -> list[str]:
 
 
 def _case(bounds: list[int], labels: list[str], column: str, first: str = "") -> str:
+    """A NULL number has no label."""
     whens = " ".join(f"WHEN {column} < {b} THEN '{text}'" for b, text in zip(bounds, labels))
-    return f"CASE {first}{whens} ELSE '{labels[-1]}' END"
+    return f"CASE WHEN {column} IS NULL THEN NULL {first}{whens} ELSE '{labels[-1]}' END"
 
 
 def size_labels(rows: int) -> list[str]:

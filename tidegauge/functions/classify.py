@@ -163,7 +163,7 @@ def path_class(value: Column) -> Column:
     path = F.lower(F.split_part(value, F.lit("?"), F.lit(1)))
     segment = F.substring_index(path, "/", -1)
     extension = F.substring_index(segment, ".", -1)
-    hidden_or_none = ~F.substring(segment, 2, 1_000_000).contains(".")
+    hidden_or_none = ~F.substr(segment, F.lit(2)).contains(".")
     return _ordered(value, [(path.endswith("/"), "directory"), (hidden_or_none, "clean"),
                             *[(extension.isin(*known), kind) for kind, known in EXTENSIONS.items()]])
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -49,10 +51,21 @@ def double_or_zero_sql(column: str) -> str:
 
 
 def date_or_epoch(column: Column) -> Column:
-    """Timestamp from the usual header and ISO layouts; the epoch if none fits."""
-    bare = F.regexp_replace(F.trim(column), "^[A-Za-z]+, *", "")
-    tries = [F.try_to_timestamp(bare, F.lit(layout)) for layout in DATE_LAYOUTS]
-    return F.coalesce(*tries, F.lit(EPOCH).cast("timestamp"))
+    """Timestamp from the usual header and ISO layouts; the epoch if none fits.
+
+    The shape of the text chooses the layouts worth trying, and an absent text,
+    which is the usual case, none. The text is trimmed once: a lambda binds it.
+    """
+    epoch = F.lit(EPOCH).cast("timestamp")
+
+    def parsed(bare: Column) -> Column:
+        def first(layouts: Sequence[str]) -> Column:
+            return F.coalesce(*[F.try_to_timestamp(bare, F.lit(layout)) for layout in layouts], epoch)
+        named, dashed, timed = DATE_LAYOUTS[:1], DATE_LAYOUTS[1:2], DATE_LAYOUTS[2:]
+        return (F.when(bare.rlike("^[0-9]{4}-"), first(timed)).when(bare.rlike("^[0-9]+ "), first(named))
+                .when(bare.rlike("^[0-9]+-"), first(dashed)).otherwise(epoch))
+    trimmed = F.regexp_replace(F.trim(column), "^[A-Za-z]+, *", "")
+    return F.when(F.coalesce(column, F.lit("")) == "", epoch).otherwise(F.transform(F.array(trimmed), parsed)[0])
 
 
 def from_epoch_millis(column: Column) -> Column:
@@ -60,9 +73,9 @@ def from_epoch_millis(column: Column) -> Column:
 
 
 def from_epoch_nanos(column: Column) -> Column:
-    """Milliseconds are what the fact tables keep."""
+    """Milliseconds are what the fact tables keep; integers throughout, rounded down."""
     whole = column - F.pmod(column, F.lit(1_000_000))
-    return F.timestamp_millis(F.round(whole / F.lit(1_000_000)).cast("bigint"))
+    return F.timestamp_millis(F.call_function("div", whole, F.lit(1_000_000).cast("bigint")))
 
 
 def hours_crossed(first: Column, last: Column) -> Column:

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from tidegauge.operators.aggregates import resum, row_counters, sums
 from tidegauge.operators.predicates import moment, page_filter, without_own
 from tidegauge.operators.timeseries import bucket
-from tidegauge.spec import MINUTE, Facet, LogTable, Query, floor_to
+from tidegauge.spec import MINUTE, STATUS_COUNTERS, Facet, LogTable, Query, floor_to
 
 # Fixed values.
 START_MARGIN = 2
@@ -61,7 +61,7 @@ def end_margin(series: DataFrame, keys: Sequence[str], as_of: datetime) -> DataF
 
 def _numbered(series: DataFrame, keys: Sequence[str], margin: Column) -> DataFrame:
     """Bucket index, series length and the flag of buckets between the margins."""
-    whole = Window.partitionBy(*keys)
+    whole = Window.partitionBy(*(keys or [F.lit(0)]))
     numbered = series.withColumns({
         "i": F.row_number().over(whole.orderBy("t")) - 1,
         "n": F.count(F.lit(1)).over(whole),
@@ -161,9 +161,17 @@ def detect(series: DataFrame, keys: Sequence[str], margin: int | Column = 2,
 
 def detect_fresh(series: DataFrame, keys: Sequence[str], as_of: datetime,
                  most: int = MOST_SELECTED) -> DataFrame:
-    """``detect`` with each series' own end margin; too short spans are skipped."""
-    margins = end_margin(series, keys, as_of).filter("long_enough").drop("long_enough")
-    marked = series.join(margins.withColumnRenamed("end_margin", "fresh"), list(keys))
+    """``detect`` with each series' own end margin; too short spans are skipped.
+
+    The margin is a window over the series, whose buckets meet in one task for
+    the detection anyway; without keys all buckets are one series.
+    """
+    whole = Window.partitionBy(*(keys or [F.lit(0)]))
+    fresh = F.col("t") >= moment(series, "t", as_of - SETTLING_TIME)
+    seconds = F.unix_seconds(F.col("t").cast("timestamp"))
+    marked = (series.withColumn("span", F.max(seconds).over(whole) - F.min(seconds).over(whole))
+              .withColumn("fresh", F.count_if(fresh).over(whole).cast("bigint"))
+              .filter(F.col("span") >= int(SHORTEST_SPAN.total_seconds())).drop("span"))
     return detect(marked, keys, F.col("fresh"), most)
 
 
@@ -176,32 +184,43 @@ def detect_single(series: DataFrame, keys: Sequence[str], margin: int | Column =
     return best.drop("rank")
 
 
+def drill_class(table: LogTable) -> Column:
+    """The category (red, yellow, green) a row is shown under when drilling down.
+
+    Tables with a response status go by its hundreds, green being answers of the
+    200s; others by the table's own classes.
+    """
+    if dict(table.counters) == STATUS_COUNTERS:
+        hundreds = F.expr("concat(response_status div 100, 'xx')")
+        return F.element_at(F.create_map(*[F.lit(x) for category, status in DRILL_STATUS.items() for x in (status, category)]), hundreds)
+    return (F.when(F.expr(table.counters["5xx"]), "red").when(F.expr(table.counters["4xx"]), "yellow")
+            .when(F.expr(table.counters["ok"]), "green"))
+
+
 def anomaly_rows(df: DataFrame, table: LogTable, facet: Facet, query: Query, anomalies: DataFrame,
                  series_keys: dict[str, str]) -> DataFrame:
     """What is behind each anomaly: counters per facet value in its buckets,
-    restricted to its status class.
+    restricted to its class.
 
     ``series_keys`` maps the key columns of ``anomalies`` to fact expressions.
-    The facts are reduced to (series, bucket, status class, dim) before they
-    meet the anomalies, each spread over its buckets; no range join is needed.
+    The facts are reduced to (series, bucket, class, dim) before they meet the
+    anomalies, each spread over its buckets; no range join is needed.
     """
     step = query.range.step
     width = F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(step.total_seconds()))
     windows = anomalies.select(
         *series_keys, "rank", "category",
         F.explode(F.sequence("start_time", "end_time", width)).alias("t"))
-    windows = windows.withColumn("status_class", F.element_at(
-        F.create_map(*[F.lit(x) for pair in DRILL_STATUS.items() for x in pair]), F.col("category")))
     kept = page_filter(df, table, query, without_own(query.filters, facet.dim))
     rows = df.filter(kept & F.expr(facet.extra or "true"))
     counters = row_counters(table)
     grouped = (rows.select(
         *[F.expr(e).alias(k) for k, e in series_keys.items()],
-        bucket(table.time, step).alias("t"),
-        F.expr("concat(response_status div 100, 'xx')").alias("status_class"),
+        bucket(table.time, step).alias("t"), drill_class(table).alias("category"),
         F.expr(facet.dim).alias("dim"), *[c.alias(n) for n, c in counters.items()])
-        .groupBy(*series_keys, "t", "status_class", "dim").agg(*resum()))
-    joined = grouped.join(windows, [*series_keys, "t", "status_class"])
+        .filter(F.col("category").isNotNull())
+        .groupBy(*series_keys, "t", "category", "dim").agg(*resum()))
+    joined = grouped.join(windows, [*series_keys, "t", "category"])
     return joined.groupBy(*series_keys, "rank", "dim").agg(*resum())
 
 

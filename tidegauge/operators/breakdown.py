@@ -47,14 +47,15 @@ def _kinded(df: DataFrame, kind: str, dim: Column | None = None) -> DataFrame:
 
 
 def top_and_totals(groups: DataFrame, n: int, order: Sequence[Column] | None = None,
-                   with_other: bool = False) -> DataFrame:
+                   with_other: bool = False, hide_null: bool = False) -> DataFrame:
     """Cut aggregated ``(dim, counters)`` rows to the top ``n``; add the totals row.
 
     The other row is totals minus the rows shown and only exists if it counts
     anything.
     """
     names = _measures(groups)
-    top = groups.orderBy(*(order or by_count())).limit(n)
+    shown = groups.filter(F.col("dim").isNotNull()) if hide_null else groups
+    top = shown.orderBy(*(order or by_count())).limit(n)
     total = groups.agg(*resum(names))
     parts = _kinded(top, VALUE, F.col("dim")).unionByName(_kinded(total, TOTAL))
     if with_other:
@@ -97,7 +98,8 @@ def bucketed_breakdown(df: DataFrame, table: LogTable, facet: Facet, query: Quer
     """Breakdown by label of a numeric expression, ordered by the smallest value.
 
     There are no more labels than rows asked for, so nothing is cut and the
-    totals are one more group of the few label rows.
+    totals are one more group of the few label rows. Rows whose number is NULL
+    have no label: they count in the totals only.
     """
     rows = _facet_rows(df, table, facet, query, dim=facet.raw).withColumnRenamed("dim", "raw")
     names = _measures(rows)
@@ -105,12 +107,12 @@ def bucketed_breakdown(df: DataFrame, table: LogTable, facet: Facet, query: Quer
         *resum(names), F.min("raw").alias("lowest"))
     order = [F.col("lowest").asc(), F.col("dim").asc()]
     if len(facet.labels(query.top)) > query.top:
-        return top_and_totals(groups, query.top, order)
+        return top_and_totals(groups, query.top, order, hide_null=True)
     empty = groups.schema["lowest"].dataType
     fan = F.array(F.struct(F.lit(VALUE).alias("kind"), F.col("dim"), F.col("lowest")),
                   F.struct(F.lit(TOTAL).alias("kind"), F.lit(None).cast("string").alias("dim"),
                            F.lit(None).cast(empty).alias("lowest")))
-    both = groups.select(F.inline(fan), *names)
+    both = groups.select(F.inline(fan), *names).filter((F.col("kind") == TOTAL) | F.col("dim").isNotNull())
     # An empty selection still has a totals row.
     none = df.sparkSession.range(0, 1, 1, 1).select(
         F.lit(TOTAL).alias("kind"), F.lit(None).cast("string").alias("dim"),
@@ -146,11 +148,34 @@ def add_selected(result: DataFrame, groups: DataFrame, values: Iterable[str]) ->
     return result.unionByName(_kinded(missing, SELECTED, F.col("dim")), allowMissingColumns=True)
 
 
-def missing_selected(df: DataFrame, table: LogTable, facet: Facet, query: Query) -> DataFrame:
+def own_values(facet: Facet, query: Query) -> list[str]:
+    """The facet's values that the query selects or excludes."""
+    return [str(f.value) for f in query.filters if f.col == facet.dim]
+
+
+def selected_groups(df: DataFrame, table: LogTable, facet: Facet, query: Query,
+                    names: DataFrame | None = None) -> DataFrame:
+    """Counters of the facet's selected values without any facet's filter.
+
+    Only rows of these values are shuffled. Values of dictionary facets read
+    "<number> <name>", and their number is what rows hold.
+    """
+    values, rows = own_values(facet, query), _facet_rows(df, table, facet, replace(query, filters=()))
+    looked_up = facet.dictionary and names is not None
+    wanted = [v.split(" ", 1)[0] for v in values] if looked_up else values
+    groups = (rows.withColumn("dim", F.col("dim").cast("string")).filter(F.col("dim").isin(wanted))
+              .groupBy("dim").agg(*resum(_measures(rows))))
+    return _named(groups, names) if looked_up else groups
+
+
+def missing_selected(df: DataFrame, table: LogTable, facet: Facet, query: Query, with_other: bool = False,
+                     names: DataFrame | None = None) -> DataFrame:
     """Breakdown plus the selected values outside the top rows."""
-    own = [f for f in query.filters if f.col == facet.dim]
-    unfiltered = facet_groups(df, table, facet, replace(query, filters=()))
-    return add_selected(breakdown(df, table, facet, query), unfiltered, [str(f.value) for f in own])
+    if facet.dictionary and names is not None:
+        result = dictionary_breakdown(df, names, table, facet, query, with_other=with_other)
+    else:
+        result = breakdown(df, table, facet, query, with_other=with_other)
+    return add_selected(result, selected_groups(df, table, facet, query, names), own_values(facet, query))
 
 
 def summary_share(result: DataFrame) -> DataFrame:
@@ -191,7 +216,7 @@ def rollup_breakdown(rollup: DataFrame, facet: Facet, query: Query, day: str | N
 
 def rollup_covers(table: LogTable, facet: Facet, query: Query) -> bool:
     """Can the roll-up answer this facet? Only unrestricted, unbucketed queries."""
-    if not table.rollup or not facet.rollup or facet.raw:
+    if not table.has_rollup or not facet.rollup or facet.raw:
         return False
     if query.host or query.filters or query.where:
         return False
@@ -219,116 +244,171 @@ def pick_source(df: DataFrame, rollup: DataFrame | None, table: LogTable, facet:
 # handful the generated code of the fan-out outgrows what the JVM compiles and
 # becomes several times slower than reading the shared columns again.
 FACETS_PER_SCAN = 6
+ALL_COUNTERS = (*COUNTERS, "summary_cnt")
 
 
 def _shared_scan(base: DataFrame, table: LogTable, facets: Sequence[Facet], query: Query,
                  by_bytes: bool) -> DataFrame:
-    """(facet, dim, counters) groups of a few single-valued facets."""
+    """(facet, dim, counters, summary) groups of a few single-valued facets."""
     entries = []
     known = known_columns(table) or None
+    # A bucket's label asks for its number many times: it is computed before.
+    numbers = {f.name: f"_number_{i}" for i, f in enumerate(facets) if f.buckets}
+    base = base.withColumns({numbers[f.name]: F.expr(f.raw) for f in facets if f.buckets})
     for facet in facets:
         counted = facet_filters(without_own(query.filters, facet.dim), known)
         if facet.extra:
             counted = counted & F.expr(facet.extra)
-        entries.append(F.when(counted, F.struct(F.lit(facet.name).alias("facet"),
-                                                F.expr(facet.dim).cast("string").alias("dim"))))
+        dim = facet.buckets(query.top, numbers[facet.name]) if facet.buckets else facet.dim
+        entries.append(F.when(counted, F.struct(
+            F.lit(facet.name).alias("facet"), F.expr(dim).cast("string").alias("dim"),
+            F.expr(facet.summary or "false").alias("summary"))))
     counters = row_counters(table, by_bytes)
-    rows = base.select(F.explode(F.array(*entries)).alias("e"), *[c.alias(n) for n, c in counters.items()])
-    return (rows.filter(F.col("e").isNotNull())
-            .groupBy(F.col("e.facet").alias("facet"), F.col("e.dim").alias("dim")).agg(*resum()))
+    rows = base.select(F.explode(F.array(*entries)).alias("e"), row_amount(table).alias("amount"),
+                       *[c.alias(n) for n, c in counters.items()])
+    rows = rows.filter(F.col("e").isNotNull()).withColumn(
+        "summary_cnt", F.when(F.col("e.summary"), F.col("amount")).otherwise(F.lit(0).cast("bigint")))
+    return (rows.groupBy(F.col("e.facet").alias("facet"), F.col("e.dim").alias("dim"))
+            .agg(*resum(ALL_COUNTERS)))
 
 
-def all_facets(df: DataFrame, table: LogTable, facets: Iterable[Facet], query: Query,
-               with_other: bool = False) -> DataFrame:
-    """Breakdowns of many (unbucketed) facets, several per scan of the rows.
+def _rollup_groups(rollup: DataFrame, facets: Sequence[Facet], query: Query, day: str | None) -> DataFrame:
+    """The same groups of covered facets from one filtered scan of the roll-up."""
+    kept, summary = F.lit(False), F.lit(False)
+    for facet in facets:
+        own = F.col("facet") == facet.rollup
+        kept = kept | (own & (F.col("dim") != "") if facet.extra else own)
+        if facet.dim_summary:
+            summary = summary | (own & F.expr(facet.dim_summary))
+    page_name = F.create_map(*[F.lit(x) for f in facets for x in (f.rollup, f.name)])
+    rows = rollup.filter(F.col("facet").isin([f.rollup for f in facets]) & minutes_between(rollup, query.range, day=day) & kept)
+    rows = rows.withColumn("summary_cnt", F.when(summary, F.col("cnt")).otherwise(F.lit(0).cast("bigint")))
+    return rows.groupBy(page_name[F.col("facet")].alias("facet"), "dim").agg(*resum(ALL_COUNTERS))
+
 
-    Rows fan out after column pruning and are partially aggregated before the
-    shuffle. The cut per facet is a row number limit, which Spark also applies
-    before shuffling, so a facet that holds most of the groups does not gather
-    in one task.
+def all_facets(df: DataFrame, table: LogTable, facets: Iterable[Facet], query: Query,
+               with_other: bool = False, rollup: DataFrame | None = None, rollup_day: str | None = None) -> DataFrame:
+    """Breakdowns of many facets, several per scan of the rows; what the roll-up
+    covers comes from one scan of it.
+
+    Columns: facet, kind, dim, counters and ``summary_cnt``, which is NULL for
+    facets without a summary. Rows fan out after column pruning and are
+    partially aggregated before the shuffle. The cut per facet is a row number
+    limit, which Spark also applies before shuffling, so a facet that holds most
+    of the groups does not gather in one task.
     """
-    facets = [f for f in facets if not f.buckets]
+    facets = list(facets)
+    covered = [f for f in facets if rollup is not None and rollup_covers(table, f, query)]
+    parts = [_rollup_groups(rollup, covered, query, rollup_day)] if covered else []
+    rest = [f for f in facets if f not in covered]
     base = df.filter(page_filter(df, table, query, filters=()))
-    parts = []
     for by_bytes in (False, True):
-        alike = [f for f in facets if not f.is_array and (query.by_bytes and f.by_bytes) is by_bytes]
+        alike = [f for f in rest if not f.is_array and (query.by_bytes and f.by_bytes) is by_bytes]
         parts += [_shared_scan(base, table, alike[i:i + FACETS_PER_SCAN], query, by_bytes)
                   for i in range(0, len(alike), FACETS_PER_SCAN)]
-    for facet in facets:
+    for facet in rest:
         if facet.is_array:
-            groups = facet_groups(df, table, replace(facet, summary=None), query)
-            parts.append(groups.select(F.lit(facet.name).alias("facet"), "dim", *COUNTERS))
+            groups = facet_groups(df, table, replace(facet, summary=facet.summary or "false"), query)
+            parts.append(groups.select(F.lit(facet.name).alias("facet"), "dim", *ALL_COUNTERS))
     groups = reduce(DataFrame.unionByName, parts)
     # Facets without any value still get their (zero) totals row.
     names = df.sparkSession.range(0, 1, 1, 1).select(
         F.explode(F.array(*[F.lit(f.name) for f in facets])).alias("facet"))
-    return top_and_totals_by(groups, ["facet"], query.top, with_other, names)
+    bucketed = [f for f in facets if f.buckets]
+    unlabelled = F.col("facet").isin([f.name for f in bucketed]) & F.col("dim").isNull()
+    # Buckets come in the order of their labels, all else by count.
+    places = [F.lit(x) for f in bucketed for i, label in enumerate(f.labels(query.top)) for x in (f"{f.name} {label}", i)]
+    place = F.coalesce(F.create_map(*places)[F.concat_ws(" ", "facet", "dim")], F.lit(0)) if places else None
+    result = top_and_totals_by(groups, ["facet"], query.top, with_other, names, unlabelled, place)
+    summed = F.col("facet").isin([f.name for f in facets if f.summary])
+    return result.withColumn("summary_cnt", F.when(summed, F.col("summary_cnt")))
 
 
 def top_and_totals_by(groups: DataFrame, keys: list[str], n: int, with_other: bool = False,
-                      known: DataFrame | None = None) -> DataFrame:
-    """``top_and_totals`` for every key at once, and for all ``known`` keys."""
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*by_count()))
+                      known: DataFrame | None = None, hidden: Column | None = None, first: Column | None = None) -> DataFrame:
+    """``top_and_totals`` for every key at once, and for all ``known`` keys.
+
+    Rows rank by ``first``, if given, and then by count; ``hidden`` rows count in
+    the totals only.
+    """
+    measures = _measures(groups)
+    # Hidden rows rank last and go after ranking: a filter before it would move below
+    # the aggregate, and top rows and totals would no longer read the same exchange.
+    order = [c for c in (hidden, first) if c is not None]
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order, *by_count()))
     top = groups.withColumn("rank", rank).filter(F.col("rank") <= n).drop("rank")
-    counted = groups.select(*keys, *COUNTERS)
+    top = top if hidden is None else top.filter(~hidden)
+    counted = groups.select(*keys, *measures)
     if known is not None:
-        zeros = [F.lit(0).cast("bigint").alias(c) for c in COUNTERS]
+        zeros = [F.lit(0).cast("bigint").alias(c) for c in measures]
         counted = counted.unionByName(known.select(*keys, *zeros))
-    total = counted.groupBy(*keys).agg(*resum())
+    total = counted.groupBy(*keys).agg(*resum(measures))
     null_dim = F.lit(None).cast("string")
 
     def labelled(df: DataFrame, kind: str, dim: Column) -> DataFrame:
-        return df.select(*keys, F.lit(kind).alias("kind"), dim.alias("dim"), *COUNTERS)
+        return df.select(*keys, F.lit(kind).alias("kind"), dim.alias("dim"), *measures)
 
     parts = labelled(top, VALUE, F.col("dim")).unionByName(labelled(total, TOTAL, null_dim))
     if with_other:
-        shown = top.select(*keys, *[(-F.col(c)).alias(c) for c in COUNTERS])
-        rest = total.unionByName(shown).groupBy(*keys).agg(*resum()).filter("cnt > 0")
+        less = top.select(*keys, *[(-F.col(c)).alias(c) for c in measures])
+        rest = total.unionByName(less).groupBy(*keys).agg(*resum(measures)).filter("cnt > 0")
         parts = parts.unionByName(labelled(rest, OTHER, null_dim))
     return parts
 
 
 def page_breakdowns(df: DataFrame, table: LogTable, facets: Iterable[Facet], query: Query,
-                    names: DataFrame | None = None, with_other: bool = False) -> DataFrame:
-    """All facets of a page in one result: (facet, kind, dim, counters).
-
-    The unbucketed facets share one scan; each bucketed facet has its own order
-    and runs by itself. ``names`` (asn, name) completes the shown rows of
-    dictionary facets, after the cut.
+                    names: DataFrame | None = None, with_other: bool = False,
+                    rollup: DataFrame | None = None, rollup_day: str | None = None) -> DataFrame:
+    """All facets of a page in one result: (facet, kind, dim, counters, summary_cnt).
+
+    Facets the roll-up covers under this query are read from it, all others from
+    the rows, ``FACETS_PER_SCAN`` to a scan and array facets one by one. ``names``
+    (asn, name) completes the shown rows of dictionary facets, after the cut.
+    Selected values outside the top rows follow as kind ``selected``. Buckets
+    have no other row: their labels are all shown.
     """
     facets = list(facets)
-    columns = ["facet", "kind", "dim", *COUNTERS]
-    result = all_facets(df, table, facets, query, with_other).select(*columns)
+    columns = ["facet", "kind", "dim", *ALL_COUNTERS]
+    result = all_facets(df, table, facets, query, with_other, rollup, rollup_day)
+    bucketed = [f.name for f in facets if f.buckets and len(f.labels(query.top)) <= query.top]
+    result = result.filter(~(F.col("facet").isin(bucketed) & (F.col("kind") == OTHER))).select(*columns)
     looked_up = [f.name for f in facets if f.dictionary]
     if names is not None and looked_up:
-        known = names.select(F.col("asn").cast("string").alias("dim"), "name")
         use = F.col("facet").isin(*looked_up) & (F.col("kind") == VALUE)
-        label = F.concat("dim", F.lit(" "), F.coalesce("name", F.lit("")))
-        result = (result.join(known, "dim", "left")
-                  .withColumn("dim", F.when(use, label).otherwise(F.col("dim"))).select(*columns))
+        result = result.filter(~use).unionByName(_named(result.filter(use), names).select(*columns))
+    picked = []
     for facet in facets:
-        if facet.buckets:
-            single = bucketed_breakdown(df, table, facet, query)
-            result = result.unionByName(single.select(F.lit(facet.name).alias("facet"), "kind", "dim", *COUNTERS))
+        if own_values(facet, query) and not facet.buckets:
+            groups = selected_groups(df, table, facet, query, names)
+            summary = F.col("summary_cnt") if facet.summary else F.lit(None).cast("bigint")
+            picked.append(groups.select(F.lit(facet.name).alias("facet"), F.lit(SELECTED).alias("kind"), "dim", *COUNTERS, summary.alias("summary_cnt")))
+    if picked:
+        shown = result.filter(F.col("kind") == VALUE).select("facet", "dim")
+        result = result.unionByName(reduce(DataFrame.unionByName, picked).join(shown, ["facet", "dim"], "left_anti").select(*columns))
     return result
 
 
 def preview(df: DataFrame, table: LogTable, facets: Iterable[Facet], query: Query, part: TimeRange,
-            names: DataFrame | None = None, with_other: bool = False) -> DataFrame:
-    """Every facet over a part of the chart's range."""
-    return page_breakdowns(df, table, facets, replace(query, range=part), names, with_other)
+            names: DataFrame | None = None, with_other: bool = False,
+            rollup: DataFrame | None = None, rollup_day: str | None = None) -> DataFrame:
+    """Every facet over a part of the chart's range, from the same sources as the page."""
+    return page_breakdowns(df, table, facets, replace(query, range=part), names, with_other, rollup, rollup_day)
 
 
 # --- dictionary facets ------------------------------------------------------
 
-def dictionary_breakdown(df: DataFrame, names: DataFrame, table: LogTable, facet: Facet, query: Query,
-                         key: str = "asn", with_other: bool = False) -> DataFrame:
-    """Breakdown by ``"<key> <name>"``: aggregate by key first, look names up after.
+def _named(groups: DataFrame, names: DataFrame, key: str = "asn") -> DataFrame:
+    """``dim`` numbers become ``"<number> <name>"``; a number has one name, and without one an empty one.
 
-    Keys without a name keep an empty one. No broadcast hint: the dictionary
-    side is joined by measured size.
+    No broadcast hint: the dictionary side is joined by measured size.
     """
-    groups = facet_groups(df, table, facet, query)
-    named = groups.join(names.select(F.col(key).cast("string").alias("dim"), "name"), "dim", "left")
+    one = names.select(F.col(key).cast("string").alias("dim"), "name").groupBy("dim").agg(F.max("name").alias("name"))
     label = F.concat(F.col("dim"), F.lit(" "), F.coalesce("name", F.lit("")))
-    return top_and_totals(named.withColumn("dim", label).drop("name"), query.top, with_other=with_other)
+    return groups.join(one, "dim", "left").withColumn("dim", label).drop("name")
+
+
+def dictionary_breakdown(df: DataFrame, names: DataFrame, table: LogTable, facet: Facet, query: Query,
+                         key: str = "asn", with_other: bool = False) -> DataFrame:
+    """Breakdown by ``"<key> <name>"``: aggregate by key first, look names up after."""
+    groups = facet_groups(df, table, facet, query)
+    return top_and_totals(_named(groups.withColumn("dim", F.col("dim").cast("string")), names, key), query.top, with_other=with_other)

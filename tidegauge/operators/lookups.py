@@ -16,9 +16,6 @@ from tidegauge.spec import TimeRange
 MATCHES_PER_ID = 5
 NO_REQUEST_ID = ("", "0")
 
-# Most request ids (some ten bytes each) that are broadcast.
-BROADCAST_IDS = 1_000_000
-
 
 def latest(df: DataFrame, keys: Sequence[str], version: str | Sequence[str]) -> DataFrame:
     """The last version of every key.
@@ -47,27 +44,21 @@ def name_of_number(rows: DataFrame, number: str, name: str, seen: str) -> DataFr
 
 
 def matches_by_request_id(ids: DataFrame, rows: DataFrame, columns: Sequence[str], key: str = "ray_id",
-                          time: str = "timestamp", most: int = MATCHES_PER_ID,
-                          tie: Sequence[str] = (), broadcast_ids: int = BROADCAST_IDS) -> DataFrame:
+                          time: str = "timestamp", most: int = MATCHES_PER_ID, tie: Sequence[str] = ()) -> DataFrame:
     """For every request id on one side, the first ``most`` rows of the other.
 
     Ids that mark internal calls are dropped and the rest reduced to distinct
-    ones. Their number is counted: up to ``broadcast_ids`` they are broadcast
-    and thin out the rows where those are read. More ids join by shuffle, but
-    only after the rows were cut to ``most`` per id. Either way the row number
-    limit applies within the map tasks before anything is shuffled per id, so
-    an id that holds a third of all rows ships ``most`` rows per task.
+    ones. Rows are joined to them by their measured size: adaptive execution
+    broadcasts few ids and splits an id that holds a third of all rows. The row
+    number limit then applies before anything is shuffled per id, so such an id
+    ships ``most`` rows per task.
     """
     usable = ~F.col(key).isin(*NO_REQUEST_ID)
     wanted = ids.filter(usable).select(key).distinct()
-    few = wanted.limit(broadcast_ids + 1).count() <= broadcast_ids
     found = rows.filter(usable).select(key, time, *columns, *[t for t in tie if t not in columns])
-    if few:
-        found = found.join(F.broadcast(wanted), key, "left_semi")
     order = Window.partitionBy(key).orderBy(time, *tie)
-    first = found.withColumn("match", F.row_number().over(order).cast("bigint")).filter(F.col("match") <= most)
-    if not few:
-        first = first.join(wanted, key, "left_semi")
+    match = F.row_number().over(order).cast("bigint")
+    first = found.join(wanted, key, "left_semi").withColumn("match", match).filter(F.col("match") <= most)
     return first.select(key, "match", time, *columns)
 
 

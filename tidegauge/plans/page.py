@@ -27,18 +27,21 @@ class Page:
         """Gap-filled traffic per class, per series key if keys are given."""
         return timeseries.classes_over_time(self.facts, self.table, query, keys)
 
-    def anomalies(self, query: Query, as_of: datetime, keys: Sequence[str]) -> DataFrame:
-        """Ranked anomalies of every series, ignoring buckets that still fill."""
+    def anomalies(self, query: Query, as_of: datetime, keys: Sequence[str] = ()) -> DataFrame:
+        """Ranked anomalies of every series, or without keys of the whole traffic,
+        ignoring buckets that still fill."""
         return anomaly.detect_fresh(self.series(query, keys), keys, as_of)
 
     def breakdown(self, facet_name: str, query: Query, source: str = "auto", with_other: bool = True) -> DataFrame:
         """Top values of one facet with totals, from the cheapest source that has them."""
         facet = self.table.facets[facet_name]
+        if breakdown.own_values(facet, query) and not facet.buckets:
+            if source == "rollup":
+                raise ValueError(f"the roll-up does not cover facet {facet.name!r} under its own filter")
+            return breakdown.missing_selected(self.facts, self.table, facet, query, with_other, self.names)
         if facet.dictionary and self.names is not None:
             return breakdown.dictionary_breakdown(self.facts, self.names, self.table, facet, query,
                                                   with_other=with_other)
-        if any(f.col == facet.dim for f in query.filters) and not facet.buckets:
-            return breakdown.missing_selected(self.facts, self.table, facet, query)
         return breakdown.pick_source(self.facts, self.rollup, self.table, facet, query, source, with_other,
                                      self.rollup_day)
 
@@ -47,7 +50,8 @@ class Page:
         """All (or the named) facets in one result, optionally for a part of the range."""
         facets = [self.table.facets[n] for n in (facet_names or self.table.facets)]
         query = replace(query, range=part) if part else query
-        return breakdown.page_breakdowns(self.facts, self.table, facets, query, self.names, with_other)
+        return breakdown.page_breakdowns(self.facts, self.table, facets, query, self.names, with_other,
+                                         self.rollup, self.rollup_day)
 
     def labelled(self, facet_name: str, query: Query) -> DataFrame:
         """A bucketed facet with a row for every label."""

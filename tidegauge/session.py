@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -49,15 +48,8 @@ def build_session(app: str = "tidegauge", master: str | None = None,
 
 
 def shared_folder(spark: SparkSession, purpose: str) -> str:
-    """A fresh folder below the cluster's shared ``spark.checkpoint.dir``.
-
-    Only a local master, where driver and executors are one process, may fall
-    back to a temporary folder; on a cluster an unset folder is an error.
-    """
+    """A fresh folder below the shared ``spark.checkpoint.dir``, which the session must name."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder all executors can reach")
-        root = tempfile.mkdtemp(prefix="tidegauge-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from datetime import timedelta
+from datetime import date, timedelta
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -45,10 +45,18 @@ def merge_rollups(*parts: DataFrame) -> DataFrame:
     return stacked.groupBy("minute", "facet", "dim").agg(*resum())
 
 
-def compact_rollup(partials: DataFrame, path: str) -> None:
+def compact_rollup(partials: DataFrame, path: str, days: Sequence[date] | None = None) -> None:
     """Periodic compaction: one row per (minute, facet, dim), by day, written to
-    another place than the partials are read from."""
-    write_facts(merge_rollups(partials), path, time="minute", sort=("facet",), mode="overwrite")
+    another place than the partials are read from.
+
+    With ``days`` only those are read and replaced, so the work does not grow
+    with the table and may be repeated when late partials came.
+    """
+    if days is None:
+        write_facts(merge_rollups(partials), path, time="minute", sort=("facet",), mode="overwrite")
+        return
+    chosen = partials.filter(F.col("dt").isin(list(days))) if "dt" in partials.columns else partials.filter(F.to_date("minute").isin(list(days)))
+    write_facts(merge_rollups(chosen), path, time="minute", sort=("facet",), mode="overwrite", only_days=True)
 
 
 def sample_key(*columns: str) -> Column:

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 from datetime import datetime, timedelta
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidegauge.operators.breakdown import EMPTY_LABEL, VALUE
@@ -26,15 +26,16 @@ def write_facts(df: DataFrame, path: str, time: str = "timestamp", sort: Sequenc
                 bloom: Sequence[str] = ()) -> None:
     """Day folders, rows sorted so that row-group statistics prune.
 
-    Range partitioning includes the time, so a day or host with a third of all
-    rows is spread over many tasks and files. ``mode="overwrite"`` replaces the
+    Rows are brought together by day and rebalanced by measured size: adaptive
+    execution splits a large day over many tasks and files and joins small ones,
+    without reading the input twice for ranges. ``mode="overwrite"`` replaces the
     table, or with ``only_days`` just the days present, which makes a repeated
     load of a day harmless. ``bloom`` names id columns looked up by equality:
     their bloom filters skip row groups that statistics cannot.
     """
     dated = with_day(df, time, day)
     order = [day, *sort, time]
-    writer = dated.repartitionByRange(*order).sortWithinPartitions(*order).write.mode(mode)
+    writer = dated.hint("rebalance", day).sortWithinPartitions(*order).write.mode(mode)
     writer = writer.option("partitionOverwriteMode", "dynamic" if only_days else "static")
     for column in bloom:
         writer = writer.option(f"parquet.bloom.filter.enabled#{column}", "true")
@@ -59,6 +60,25 @@ def expire(df: DataFrame, keep: timedelta, as_of: datetime, time: str = "timesta
     return df.filter(kept & (F.col(day) >= F.lit(cut.date()))) if day else df.filter(kept)
 
 
+def drop_expired(spark: SparkSession, path: str, keep: timedelta, as_of: datetime, day: str = "dt") -> list[str]:
+    """Deletes the day folders of a table that lie before the retention, at any depth; gives their names.
+
+    Only whole days go: the day the retention begins in stays. A second run finds nothing to do.
+    """
+    cut = f"{day}={(as_of - keep).date()}"
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = root.getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def expired(folder) -> list:
+        inside = [f.getPath() for f in system.listStatus(folder) if f.isDirectory()]
+        days = [p for p in inside if p.getName().startswith(f"{day}=")]
+        return [p for p in days if p.getName() < cut] + [q for p in inside if p not in days for q in expired(p)]
+    gone = expired(root)
+    for folder in gone:
+        system.delete(folder, True)
+    return sorted({p.getName() for p in gone})
+
+
 def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 

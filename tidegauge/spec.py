@@ -168,7 +168,7 @@ class LogTable:
     message: str | None = None
     request_id: str | None = None
     facets: Mapping[str, Facet] = field(default_factory=dict)
-    rollup: str | None = None
+    has_rollup: bool = False
     rollup_high_cardinality: bool = False
 
 

@@ -1,15 +1,18 @@
 """Continuous ingest: staging -> normalised facts -> per-minute roll-up.
 
-Every micro-batch writes below a folder named by its batch id and overwrites
-it, so a batch that is run again after a failure replaces itself instead of
-counting twice. Readers see one table, partitioned by batch and, where rows
-have a time, by day.
+Every micro-batch writes below a folder of its own, named by the stream's
+source, by the query that runs it and by the batch, and overwrites it: a batch
+that is run again after a failure replaces itself instead of counting twice.
+Streams of different sources share a table, and a stream that starts over with a
+new checkpoint is another query, so neither can touch what others wrote. Readers
+see one table, partitioned by these names and, where rows have a time, by day.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
-from datetime import timedelta
+import json
+from collections.abc import Callable, Mapping, Sequence
+from datetime import date, timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,62 +21,82 @@ from pyspark.sql.streaming import StreamingQuery
 from tidegauge.operators.aggregates import COUNTERS, row_counters
 from tidegauge.operators.lookups import latest
 from tidegauge.sources.rollup import minute_rollup
-from tidegauge.sources.writers import with_day
+from tidegauge.sources.writers import with_day, write_facts
 from tidegauge.spec import LogTable
 
-BATCH, DAY = "batch", "dt"
+SOURCE, RUN, BATCH, TARGET, DAY = "stream_source", "stream_run", "batch", "target", "dt"
 
 
-def write_batch(df: DataFrame, batch_id: int, path: str, time: str | None = None) -> None:
-    target = f"{path}/{BATCH}={batch_id}"
-    if time:
-        with_day(df, time, DAY).write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy(DAY).parquet(target)
-    else:
-        df.write.mode("overwrite").parquet(target)
+def write_batch(df: DataFrame, batch_id: int, path: str, source: str, run: str, time: str | None = None,
+                by: Sequence[str] = ()) -> None:
+    """Replaces the folder of one batch of one query, by day if rows have a ``time``."""
+    folder = f"{path}/{SOURCE}={source}/{RUN}={run}/{BATCH}={batch_id}"
+    rows, parts = (with_day(df, time, DAY), [*by, DAY]) if time else (df, list(by))
+    writer = rows.write.mode("overwrite").option("partitionOverwriteMode", "static")
+    (writer.partitionBy(*parts) if parts else writer).parquet(folder)
 
 
-def read_batches(spark: SparkSession, path: str) -> DataFrame:
-    """All batches as one table with its day column."""
-    return spark.read.parquet(path).drop(BATCH)
+def read_batches(spark: SparkSession, path: str, target: str | None = None) -> DataFrame:
+    """All batches of all streams as one table with its day column; of one ``target`` if they were split."""
+    rows = spark.read.parquet(path)
+    if target is not None:
+        rows = rows.filter(F.col(TARGET) == target)
+    return rows.drop(SOURCE, RUN, BATCH, TARGET)
 
 
-def _start(stream: DataFrame, handler: Callable[[DataFrame, int], None], checkpoint: str,
+def compact_batches(spark: SparkSession, path: str, to: str, days: Sequence[date], target: str | None = None,
+                    time: str = "timestamp", sort: Sequence[str] = ("request_host",)) -> None:
+    """Rewrites the small files of some days as a fact table, to another place.
+
+    Only these days are read and replaced there, so a run is as large as the
+    days it is given and may be repeated, also when late rows came.
+    """
+    rows = read_batches(spark, path, target).filter(F.col(DAY).isin(list(days))).drop(DAY)
+    write_facts(rows, to, time=time, sort=sort, mode="overwrite", only_days=True)
+
+
+def _query_id(spark: SparkSession, checkpoint: str) -> str:
+    """The id a checkpoint gives its query for as long as the checkpoint lives."""
+    return json.loads(spark.read.text(f"{checkpoint}/metadata").first()[0])["id"]
+
+
+def _start(stream: DataFrame, handler: Callable[[DataFrame, int, str], None], checkpoint: str,
            once: bool, every: str) -> StreamingQuery:
-    writer = stream.writeStream.foreachBatch(handler).option("checkpointLocation", checkpoint)
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        handler(batch, batch_id, _query_id(batch.sparkSession, checkpoint))
+
+    writer = stream.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
     writer = writer.trigger(availableNow=True) if once else writer.trigger(processingTime=every)
     return writer.start()
 
 
-def start_ingest(stream: DataFrame, normalise: Callable[[DataFrame], DataFrame], targets: Mapping[str, str],
-                 rules: Mapping[str, Column], checkpoint: str, rollup_of: str | None = None,
+def start_ingest(stream: DataFrame, normalise: Callable[[DataFrame], DataFrame], path: str,
+                 rules: Mapping[str, Column], checkpoint: str, source: str, rollup_of: str | None = None,
                  rollup_path: str | None = None, table: LogTable | None = None,
                  facets: Mapping[str, str] | None = None, once: bool = True,
                  every: str = "1 minute", time: str = "timestamp") -> StreamingQuery:
-    """Normalise, split by rule into target folders, and add the roll-up partials
-    of one target.
+    """Normalise, split by rule into targets, and add the roll-up partials of one.
 
-    The normalised micro-batch is persisted while its targets are written; the
-    roll-up needs no watermark because partials of any age simply add up.
+    ``source`` names the stream for good. A batch is written in one pass: every
+    row once for each target whose rule it meets, in that target's folders. The
+    roll-up reads the target just written; it needs no watermark because
+    partials of any age simply add up.
     """
-    def handle(batch: DataFrame, batch_id: int) -> None:
-        rows = normalise(batch).persist()
-        try:
-            for name, path in targets.items():
-                write_batch(rows.filter(rules[name]), batch_id, path, time)
-            if rollup_of and rollup_path:
-                partial = minute_rollup(rows.filter(rules[rollup_of]), table, facets)
-                write_batch(partial, batch_id, rollup_path, "minute")
-        finally:
-            rows.unpersist()
+    def handle(batch: DataFrame, batch_id: int, run: str) -> None:
+        met = F.filter(F.array(*[F.when(rule, F.lit(name)) for name, rule in rules.items()]), lambda t: t.isNotNull())
+        write_batch(normalise(batch).withColumn(TARGET, F.explode(met)), batch_id, path, source, run, time, [TARGET])
+        if rollup_of and rollup_path:
+            rows = batch.sparkSession.read.parquet(f"{path}/{SOURCE}={source}/{RUN}={run}/{BATCH}={batch_id}").filter(F.col(TARGET) == rollup_of)
+            write_batch(minute_rollup(rows, table, facets), batch_id, rollup_path, source, run, "minute")
 
     return _start(stream, handle, checkpoint, once, every)
 
 
 def start_rollup(stream: DataFrame, table: LogTable, facets: Mapping[str, str], path: str, checkpoint: str,
-                 once: bool = True, every: str = "1 minute") -> StreamingQuery:
+                 source: str, once: bool = True, every: str = "1 minute") -> StreamingQuery:
     """Roll-up partials per micro-batch; any lateness, re-summed on read."""
-    def handle(batch: DataFrame, batch_id: int) -> None:
-        write_batch(minute_rollup(batch, table, facets), batch_id, path, "minute")
+    def handle(batch: DataFrame, batch_id: int, run: str) -> None:
+        write_batch(minute_rollup(batch, table, facets), batch_id, path, source, run, "minute")
 
     return _start(stream, handle, checkpoint, once, every)
 
@@ -91,25 +114,25 @@ def windowed_rollup(stream: DataFrame, table: LogTable, facets: Mapping[str, str
             .select(F.col("w.start").alias("minute"), "facet", "dim", *COUNTERS))
 
 
-def start_versions(stream: DataFrame, path: str, checkpoint: str, once: bool = True,
+def start_versions(stream: DataFrame, path: str, checkpoint: str, source: str, once: bool = True,
                    every: str = "1 minute") -> StreamingQuery:
     """Append versioned rows as they come; readers take the latest per key."""
-    return _start(stream, lambda batch, batch_id: write_batch(batch, batch_id, path), checkpoint, once, every)
+    return _start(stream, lambda batch, batch_id, run: write_batch(batch, batch_id, path, source, run), checkpoint, once, every)
 
 
 def read_versions(df: DataFrame, keys: list[str], version: str) -> DataFrame:
-    return latest(df.drop(BATCH), keys, version)
+    return latest(df.drop(SOURCE, RUN, BATCH), keys, version)
 
 
 def start_enriched(stream: DataFrame, names: Callable[[], DataFrame], key: str, path: str, checkpoint: str,
-                   once: bool = True, every: str = "1 minute") -> StreamingQuery:
+                   source: str, once: bool = True, every: str = "1 minute") -> StreamingQuery:
     """Add dictionary names to rows; the dictionary is read anew for every batch.
 
     The names are joined by their measured size: small dictionaries broadcast,
     large ones shuffle. Rows without a name get an empty one.
     """
-    def handle(batch: DataFrame, batch_id: int) -> None:
+    def handle(batch: DataFrame, batch_id: int, run: str) -> None:
         joined = batch.join(names(), key, "left").withColumn("name", F.coalesce("name", F.lit("")))
-        write_batch(joined, batch_id, path)
+        write_batch(joined, batch_id, path, source, run)
 
     return _start(stream, handle, checkpoint, once, every)
