@@ -111,7 +111,7 @@ _CACHE = "cdn_cache_status cdn_cache_ttl cdn_is_edge"
 _ADMIN = (f"{_CACHE} request_backend request_qs request_is_mixed_case request_restarts request_headers_cdn_loop {_NO_HEADERS} "
           "response_headers_cache_control response_headers_vary response_headers_x_surrogate_key response_headers_edge_cache_tag "
           "response_headers_edge_control")
-# Per service: columns its records cannot fill.
+# Per service, the columns its records cannot fill.
 ABSENT = {
     "generic": "",
     "www": f"platform_contentbus_prefix platform_request_type request_is_mixed_case request_headers_cdn_loop {_NO_HEADERS} "
@@ -133,6 +133,7 @@ ABSENT = {
             "response_headers_cache_control response_headers_content_type response_headers_content_encoding response_headers_vary "
             "response_headers_location response_headers_x_surrogate_key response_headers_edge_cache_tag response_headers_edge_control",
 }
+# Display names of the services.
 LABELS = {"www": "WWW", "admin": "Admin", "api": "API", "config": "Config", "media": "Image Optimizer",
           "pipeline": "Pipeline", "static": "Static", "form": "Forms"}
 OVERRIDES = {

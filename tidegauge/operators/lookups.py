@@ -21,7 +21,8 @@ def latest(df: DataFrame, keys: Sequence[str], version: str | Sequence[str]) ->
     """The last version of every key.
 
     An aggregate, so versions are reduced before the shuffle and a key with very
-    many of them costs one row per task. List further ordering columns to make
+    many of them costs one row per task. Spark sorts each task's rows by key for
+    it, which spills to disk where memory is short. List further ordering columns to make
     equal versions decidable.
     """
     versions = [version] if isinstance(version, str) else list(version)

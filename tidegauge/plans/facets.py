@@ -85,6 +85,9 @@ def _rate(name: str, column: str, raw: str) -> Facet:
     return Facet(name, raw, extra=f"{column} != ''", raw=raw, buckets=rate_buckets, labels=rate_labels)
 
 
+# The facets of each table, in the order pages show them, with
+# their columns, conditions and roll-up names.
+
 def cdn_facets(live_suffix: str = LIVE_SUFFIX) -> dict[str, Facet]:
     """Facets of the delivery, backend and admin tables."""
     return _catalogue([
