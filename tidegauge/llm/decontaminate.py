@@ -76,7 +76,7 @@ def shingles(text: Column, width: Column | int = WIDTH) -> Column:
 
 def _items(benchmark: DataFrame) -> DataFrame:
     text = F.col("text").cast("string")
-    sized = benchmark.select(F.col("item_id").cast("long").alias("item_id"), text.alias("text"), F.least(F.size(words(text)), F.lit(WIDTH)).alias("width"))
+    sized = benchmark.where(F.col("text").isNotNull()).select(F.col("item_id").cast("long").alias("item_id"), text.alias("text"), F.least(F.size(words(text)), F.lit(WIDTH)).alias("width"))
     return sized.where("width > 0").withColumn("shingles", shingles(F.col("text"), F.col("width")))
 
 
