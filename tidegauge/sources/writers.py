@@ -17,6 +17,10 @@ from tidegauge.operators.predicates import moment
 EXPORT_HEADER = {"dim": "Value", "cnt": "Count", "cnt_ok": "OK (2xx/3xx)", "cnt_4xx": "4xx", "cnt_5xx": "5xx"}
 
 
+# Parts a day is dealt into before sizes are known.
+FILES_PER_DAY = 16
+
+
 def with_day(df: DataFrame, time: str = "timestamp", day: str = "dt") -> DataFrame:
     return df.withColumn(day, F.to_date(time))
 
@@ -26,16 +30,18 @@ def write_facts(df: DataFrame, path: str, time: str = "timestamp", sort: Sequenc
                 bloom: Sequence[str] = ()) -> None:
     """Day folders, rows sorted so that row-group statistics prune.
 
-    Rows are brought together by day and rebalanced by measured size: adaptive
-    execution splits a large day over many tasks and files and joins small ones,
-    without reading the input twice for ranges. ``mode="overwrite"`` replaces the
+    Rows are dealt by day and by a hash of what they are sorted by and the hour,
+    so a day or host with a third of all rows is spread over tasks and files;
+    adaptive execution splits what is still large and joins what is small. The
+    input is read once, as no ranges have to be sampled. ``mode="overwrite"`` replaces the
     table, or with ``only_days`` just the days present, which makes a repeated
     load of a day harmless. ``bloom`` names id columns looked up by equality:
     their bloom filters skip row groups that statistics cannot.
     """
     dated = with_day(df, time, day)
     order = [day, *sort, time]
-    writer = dated.hint("rebalance", day).sortWithinPartitions(*order).write.mode(mode)
+    dealt = dated.withColumn("_dealt", F.pmod(F.xxhash64(*sort, F.date_trunc("hour", F.col(time))), F.lit(FILES_PER_DAY)))
+    writer = dealt.hint("rebalance", day, "_dealt").drop("_dealt").sortWithinPartitions(*order).write.mode(mode)
     writer = writer.option("partitionOverwriteMode", "dynamic" if only_days else "static")
     for column in bloom:
         writer = writer.option(f"parquet.bloom.filter.enabled#{column}", "true")
