@@ -94,17 +94,22 @@ def replies(messages: DataFrame) -> DataFrame:
 
 
 def threads(messages: DataFrame, parents: DataFrame) -> DataFrame:
-    """``message``, ``parent``, ``root``, ``depth`` of every message, by pointer jumping."""
-    linked = messages.select("message").join(parents, "message", "left")
-    state = written(linked.select("message", "parent", F.coalesce("parent", "message").alias("root"), F.when(F.col("parent").isNull(), 0).otherwise(1).cast("long").alias("depth")), "threads")
-    while True:
-        ahead = state.where("depth > 0").select(F.col("message").alias("_m"), F.col("root").alias("_root"), F.col("depth").alias("_depth"))
-        new = written(state.join(ahead, state["root"] == ahead["_m"], "left").select(
-            "message", "parent", F.coalesce("_root", "root").alias("root"), (F.col("depth") + F.coalesce("_depth", F.lit(0))).alias("depth"),
-            F.col("_m").isNotNull().alias("moved")), "threads")
-        state = new.drop("moved")
-        if new.where("moved").isEmpty():
-            return state
+    """``message``, ``parent``, ``root``, ``depth`` of every message, by pointer jumping.
+
+    Only messages whose pointer moved take part in the next round; one whose
+    pointer meets no other has reached its root. Joins are merged at every size,
+    as both sides grow with the messages.
+    """
+    pointers = written(parents.select("message", F.col("parent").alias("root"), F.lit(1).cast("long").alias("depth"), F.lit(True).alias("moved")), "threads")
+    while not pointers.where("moved").isEmpty():
+        ahead = pointers.select(F.col("message").alias("_m"), F.col("root").alias("_root"), F.col("depth").alias("_depth")).hint("merge")
+        jumped = pointers.where("moved").join(ahead, F.col("root") == F.col("_m"), "left").select(
+            "message", F.coalesce("_root", "root").alias("root"), (F.col("depth") + F.coalesce("_depth", F.lit(0))).alias("depth"),
+            F.col("_m").isNotNull().alias("moved"))
+        pointers = written(jumped.union(pointers.where("NOT moved")), "threads")
+    found = pointers.drop("moved").hint("merge")
+    return (messages.select("message").join(parents, "message", "left").join(found, "message", "left")
+            .select("message", "parent", F.coalesce("root", "message").alias("root"), F.coalesce("depth", F.lit(0)).alias("depth")))
 
 
 def conversations(messages: DataFrame) -> DataFrame:
@@ -115,7 +120,7 @@ def conversations(messages: DataFrame) -> DataFrame:
     ``role``, ``text``.
     """
     found = written(parsed(messages), "messages")
-    placed = threads(found, replies(found))
+    placed = threads(found, written(replies(found), "replies"))
     turns = found.select(F.col("message").alias("_m"), F.col("turn").alias("_turn"))
     named = (found.drop("passages").join(placed, "message")
              .join(turns.withColumnsRenamed({"_m": "_r", "_turn": "root_turn"}), F.col("root") == F.col("_r"))
