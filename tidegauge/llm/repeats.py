@@ -9,6 +9,10 @@ in ranges over all tasks, neighbours are compared, and a match is extended to
 the right and to the left. It counts from 50 words up, and the matches of a
 document are united to spans.
 
+Neighbours share the longest run to the right, but another suffix may share more
+to the left. The suffixes are therefore sorted a second time by the words before
+them, read backwards, and compared with those neighbours too.
+
 A word is a run of characters other than white space; spans count words. What
 repeats within one document only is not a repeat. Contexts are compared by 32-bit
 hashes of words.
@@ -136,7 +140,7 @@ def _contexts(docs: DataFrame, places: DataFrame) -> DataFrame:
                                                pa.array(ids, pa.int64()), pa.array(places_, pa.int32()), pa.array(firsts, pa.int64())],
                                               ["key", "right", "left", "doc_id", "place", "first"])
         return one
-    listed = places.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_list(F.struct("key", "place", "first")).alias("found"))
+    listed = places.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set(F.struct("key", "place", "first")).alias("found"))
     rows = _rows(docs)
     joined = rows.join(listed, rows["doc_id"] == listed["_id"]).select("doc_id", "text", "found")
     return map_batches(joined, "key long, right binary, left binary, doc_id long, place int, first long", make)
@@ -189,6 +193,16 @@ def _compare(edges: bool):
     return run
 
 
+def _neighbours(around: DataFrame, order: list[str]) -> DataFrame:
+    """Spans from comparing neighbours in one sort order; ``around`` is a written table."""
+    columns = ["key", "right", "left", "doc_id", "place", "first"]
+    ranges = around.repartitionByRange(partitions(around.sparkSession), *order).sortWithinPartitions(*order).select(*columns)
+    found = written(ranges.mapInArrow(_compare(True), SPANS), "spans")
+    beside = (found.where("edge > 0").select(*columns).distinct().coalesce(1).sortWithinPartitions(*order)  # two rows per partition
+              .mapInArrow(_compare(False), SPANS))
+    return found.where("edge = 0").union(beside)
+
+
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """``doc_id``, ``start_word``, ``end_word``, ``first_doc_id``, ``copy`` of passages that two documents share.
 
@@ -196,18 +210,12 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     tells whether that is another document. Spans with and without ``copy`` are
     united apart.
     """
-    spark = docs.sparkSession
     kept = written(suffixes(docs), "suffixes")
     shared = (kept.groupBy("key").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("key", "first"))
-    places = kept.join(shared.hint("merge"), "key").distinct()
+    places = kept.join(shared.hint("merge"), "key")  # a key in very many documents is split by adaptive execution
     around = written(_contexts(docs, places), "contexts")
-    order = ["key", "right", "left", "doc_id", "place"]
-    columns = [*order, "first"]
-    ranges = around.repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order).select(*columns)
-    found = written(ranges.mapInArrow(_compare(True), SPANS), "spans")
-    beside = (found.where("edge > 0").select(*columns).distinct().coalesce(1).sortWithinPartitions(*order)  # two rows per partition
-              .mapInArrow(_compare(False), SPANS))
-    spans = found.where("edge = 0").union(beside).select("doc_id", "start", "end", "first", (F.col("first") < F.col("doc_id")).alias("copy")).distinct()
+    spans = (_neighbours(around, ["key", "right", "left", "doc_id", "place"]).union(_neighbours(around, ["key", "left", "right", "doc_id", "place"]))
+             .select("doc_id", "start", "end", "first", (F.col("first") < F.col("doc_id")).alias("copy")).distinct())
     before = Window.partitionBy("doc_id", "copy").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
     running = Window.partitionBy("doc_id", "copy").orderBy("start", "end")
     return (spans.withColumn("new", (F.col("start") > F.coalesce(F.max("end").over(before), F.lit(-1))).cast("int"))
@@ -220,12 +228,12 @@ def without_repeats(docs: DataFrame, spans: DataFrame) -> DataFrame:
     """``docs`` with the words of ``copy`` spans cut out of ``text``; other columns as they are."""
     listed = spans.where("copy").groupBy(F.col("doc_id").alias("_id")).agg(F.sort_array(F.collect_list(F.struct("start_word", "end_word"))).alias("_spans"))
     joined = docs.join(listed, docs["doc_id"] == listed["_id"], "left").drop("_id")
-    at = docs.columns.index("text")
+    names, at = docs.columns, docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [cut(t, s) for t, s in zip(batch.column(at).to_pylist(), batch.column(batch.num_columns - 1).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if i == at else c for i, c in enumerate(batch.columns[:-1])], docs.columns)
+            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if i == at else c for i, c in enumerate(batch.columns[:-1])], names)
     return joined.mapInArrow(run, docs.schema)
 
 
