@@ -211,8 +211,9 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     united apart.
     """
     kept = written(suffixes(docs), "suffixes")
-    shared = (kept.groupBy("key").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("key", "first"))
-    places = kept.join(shared.hint("merge"), "key")  # a key in very many documents is split by adaptive execution
+    # Written, so that the join shuffles both sides itself and can split a key that very many documents hold.
+    shared = written(kept.groupBy("key").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("key", "first"), "shared")
+    places = kept.join(shared.hint("merge"), "key")
     around = written(_contexts(docs, places), "contexts")
     spans = (_neighbours(around, ["key", "right", "left", "doc_id", "place"]).union(_neighbours(around, ["key", "left", "right", "doc_id", "place"]))
              .select("doc_id", "start", "end", "first", (F.col("first") < F.col("doc_id")).alias("copy")).distinct())
