@@ -17,6 +17,8 @@ its smallest id that is not NULL (NULL if it has none).
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -133,14 +135,14 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     return rows.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
-    """Rows of ``docs`` without near copies: of each component the document with the smallest id stays.
+def keep_one(docs: DataFrame, near: Callable[[DataFrame], DataFrame] = near_duplicates) -> DataFrame:
+    """Rows of ``docs`` without near copies: of each component of ``near`` the document with the smallest id stays.
 
     Rows equal in id and text stay once. Different texts under one id count as
     one document and stay together. NULL ids stay only where their component
     has no other id.
     """
-    found = written(near_duplicates(docs), "classes")
+    found = written(near(docs), "classes")
     stay = found.where(same(F.col("doc_id"), F.col("component_id"))).groupBy(F.col("doc_id").alias("_id")).agg(F.count("*").alias("_n"))
     stay = written(stay, "stay")
     once, again = (stay.where(c).select("_id") for c in ("_n = 1", "_n > 1"))
