@@ -35,6 +35,17 @@ def test_what_is_not_valid_stays(text):
     assert replace(text) == (text, [])
 
 
+@pytest.mark.parametrize("kind, value, before, behind", [
+    ("card", "4111 1111 1111 1111", "card ", " 12/27"), ("card", "4111 1111 1111 1111", "", " 123"), ("card", "4111-1111-1111-1111", "", "-12 x"),
+    ("card", "4111111111111111", "", " 12 3"), ("card", "4111 1111 1111 1111", "no 12 ", ""), ("card", "4222222222222", "", " 2027"),
+    ("iban", "AT61 1904 3002 3457 3201", "to ", " BIC"), ("iban", "AT611904300234573201", "", " BIC CODE"), ("iban", "BE68 5390 0754 7034", "", " EUR 12"),
+    ("iban", "ES91 2100 0418 4502 0005 1332", "", " UND 5"), ("iban", "SE45 5000 0000 0583 9825 7466", "", " SWIFT"), ("iban", "DE89 3704 0044 0532 0130 00", "", " BIC")])
+def test_values_before_what_looks_like_a_part_of_them(kind, value, before, behind):
+    new, spans = replace(before + value + behind)
+    assert spans == [(kind, len(before), len(before + value))]
+    assert new == before + replace(value)[0] + behind and value not in new
+
+
 def test_equal_numbers_are_linked_over_formats_and_case():
     card, grouped = replace("4532015112830366")[0], replace("4532 0151 1283 0366")[0]
     assert grouped.replace(" ", "") == card

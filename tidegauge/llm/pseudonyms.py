@@ -18,6 +18,10 @@ Recognised, each only if its validation holds:
 * e-mail addresses: the local part and the domain but for its last label;
 * secrets: 32 to 128 hexadecimal digits in a row.
 
+A card number or IBAN may be followed by groups that look like a part of it. Where
+the longest match is not valid, its shorter runs of whole groups are tried, and the
+longest valid one is taken (an IBAN's only at the length its country has, if known).
+
 Defined cases: NULL text stays NULL, an empty text empty; a document's pseudonyms
 do not depend on its id, its other columns or its neighbours, so repeated rows
 stay equal; an empty table gives no rows.
@@ -55,6 +59,14 @@ FOUND = re.compile(r"""
 KINDS = ("email", "ip", "iban", "secret", "ssn", "date", "card", "phone")
 #: What every match holds; texts without it are not searched.
 ANY = re.compile(r"\d|@|[0-9a-fA-F]{32}")
+#: Characters of an IBAN by country.
+IBAN_LENGTHS = {
+    "AD": 24, "AE": 23, "AL": 28, "AT": 20, "AZ": 28, "BA": 20, "BE": 16, "BG": 22, "BH": 22, "BR": 29, "BY": 28, "CH": 21, "CR": 22, "CY": 28, "CZ": 24,
+    "DE": 22, "DK": 18, "DO": 28, "EE": 20, "EG": 29, "ES": 24, "FI": 18, "FO": 18, "FR": 27, "GB": 22, "GE": 22, "GI": 23, "GL": 18, "GR": 27, "GT": 28,
+    "HR": 21, "HU": 28, "IE": 22, "IL": 23, "IQ": 23, "IS": 26, "IT": 27, "JO": 30, "KW": 30, "KZ": 20, "LB": 28, "LI": 21, "LT": 20, "LU": 20, "LV": 21,
+    "MC": 27, "MD": 24, "ME": 22, "MK": 19, "MR": 27, "MT": 31, "MU": 30, "NL": 18, "NO": 15, "PK": 24, "PL": 28, "PS": 29, "PT": 25, "QA": 29, "RO": 24,
+    "RS": 22, "SA": 24, "SE": 24, "SI": 19, "SK": 24, "SM": 27, "TN": 24, "TR": 26, "UA": 29, "VA": 22, "XK": 20}
+LEAST_CARD, LEAST_IBAN = 13, 12
 DAYS = (date(1900, 1, 1).toordinal(), date(2100, 1, 1).toordinal())
 
 
@@ -197,6 +209,24 @@ REPLACE: dict[str, Callable[[str, bytes], str | None]] = {
     "email": _email, "ip": _ip, "iban": _iban, "secret": _secret, "ssn": _ssn, "date": _date, "card": _card, "phone": _phone}
 
 
+def _shorter_cards(text: str) -> list[tuple[int, int]]:
+    """Runs of whole groups with enough digits, longest first; not all of ``text``."""
+    groups = [m.span() for m in re.finditer(r"\d+", text)]
+    runs = [(a, b) for i, (a, _) in enumerate(groups) for _, b in groups[i:] if (a, b) != (0, len(text)) and len(_digits(text[a:b])) >= LEAST_CARD]
+    return sorted(runs, key=lambda r: (-len(_digits(text[r[0]:r[1]])), r))
+
+
+def _shorter_ibans(text: str) -> list[tuple[int, int]]:
+    """Beginnings of whole groups, longest first; where the country's length is known, the one of that length."""
+    ends = [m.start() for m in re.finditer(" ", text)][::-1]
+    sizes = {e: len(text[:e].replace(" ", "")) for e in ends}
+    known = IBAN_LENGTHS.get(text[:2])
+    return [(0, e) for e in ends if (sizes[e] == known if known else sizes[e] >= LEAST_IBAN)]
+
+
+SHORTER: dict[str, Callable[[str], list[tuple[int, int]]]] = {"card": _shorter_cards, "iban": _shorter_ibans}
+
+
 def replacer(key: bytes) -> Callable[[str], tuple[str, list[tuple[str, int, int]]]]:
     """Gives a text's pseudonymised form and the (kind, start, end) spans replaced, counted in characters of the original."""
     @lru_cache(1 << 16)
@@ -211,6 +241,11 @@ def replacer(key: bytes) -> Callable[[str], tuple[str, list[tuple[str, int, int]
             kind, (start, end) = match.lastgroup or "", match.span()
             kind = next(k for k in KINDS if match.start(k) >= 0)
             new = pseudonym(kind, match.group())
+            if new is None and kind in SHORTER:
+                for a, b in SHORTER[kind](match.group()):
+                    if (new := pseudonym(kind, match.group()[a:b])) is not None:
+                        start, end = start + a, start + b
+                        break
             if new is None:  # not valid as this kind; what begins later may still be one
                 look = _skip(text, start, end)
                 continue
