@@ -39,6 +39,19 @@ def test_finds_what_brute_force_finds(spark, prose):
     assert sorted((str(r.doc_id) for r in kept.collect())) == sorted(str(d) for d, _ in docs if d not in bad)
 
 
+def test_short_items_are_all_found(spark, prose):
+    """Items of one, two and three shingles (and shorter than one) at the start, inside and at the end of a document each."""
+    rng, items, docs = random.Random(6), [], []
+    for i in range(400):
+        words = [f"q{rng.randrange(10 ** 6)}" for _ in range((5, 6, 7, 3)[i % 4])]
+        body = prose(i, 120).split()
+        items.append((i, " ".join(words)))
+        docs += [(3 * i + k, " ".join(body[:at] + words + body[at:])) for k, at in enumerate((0, 50, 120))]
+    got = {(r.doc_id, r.item_id) for r in contaminated(spark.createDataFrame(docs, "doc_id long, text string").repartition(4),
+                                                       spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == {(3 * i + k, i) for i in range(400) for k in range(3)}
+
+
 def test_empty_tables(spark):
     docs, bench = spark.createDataFrame([(1, "a b c d e f")], "doc_id long, text string"), spark.createDataFrame([(1, "a b c d e f")], "item_id long, text string")
     assert contaminated(docs, bench.limit(0)).collect() == [] == contaminated(docs.limit(0), bench).collect()

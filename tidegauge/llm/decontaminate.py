@@ -2,7 +2,7 @@
 
 A test item is short and a document may be long, so the likeness of the two sets
 of shingles says little. Items are therefore partitioned by their number of
-shingles into classes (…, 9 to 16, 17 to 32, …), and for each class a document
+shingles into classes (1, 2, 3 to 4, …, 17 to 32, …), and for each class a document
 is seen as overlapping windows of twice the class's upper bound, one bound apart.
 A passage of that class lies within one window, whose likeness to the item is at
 least 0.19 where 0.8 of the item is contained. Of 64 minimum hashes, each a band
@@ -55,7 +55,7 @@ def mixed(hashes: np.ndarray) -> np.ndarray:
 
 def class_of(n: int) -> int:
     """Exponent of the class's upper bound."""
-    return max(3, math.ceil(math.log2(n)))
+    return math.ceil(math.log2(n))
 
 
 def words(text: Column) -> Column:
