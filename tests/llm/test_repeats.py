@@ -45,6 +45,26 @@ def test_spans_are_those_of_brute_force(spark, prose):
     assert passages[5] in " ".join(cut[first]) and sum(passages[5] in " ".join(w) for w in cut.values()) == 1
 
 
+def test_partner_among_crowds_that_share_one_side_as_well(spark):
+    """Two documents share A + B + C of 50 words; many others A + B or B + C only, and the keys lie in B."""
+    rng, docs, found = random.Random(7), [], 0
+
+    def other(n):
+        return [f"w{rng.randrange(10 ** 6)}" for _ in range(n)]
+    while found < 8:
+        passage = other(50)
+        places = repeats.minimisers(repeats.word_hashes(" ".join(other(60) + passage + other(60)))) - 60
+        inside = [p for p in places if 0 <= p and p + repeats.SURE <= 50]
+        if not inside or any(p < 10 or p + repeats.SURE > 40 for p in inside):
+            continue
+        found += 1
+        for part in [passage] * 2 + [passage[:40]] * 25 + [passage[10:]] * 25:
+            docs.append((len(docs), " ".join(other(60) + part + other(60))))
+    want = brute(docs)
+    assert len(want) == 16
+    assert covered(repeats.repeated_spans(spark.createDataFrame(docs, "doc_id long, text string").repartition(4)).collect()) == want
+
+
 def test_minimisers_agree_in_equal_passages(prose):
     passage = prose(1, 80).split()
     places = []

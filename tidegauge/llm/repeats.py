@@ -11,7 +11,9 @@ document are united to spans.
 
 Neighbours share the longest run to the right, but another suffix may share more
 to the left. The suffixes are therefore sorted a second time by the words before
-them, read backwards, and compared with those neighbours too.
+them, read backwards, and compared with those neighbours too. The two orders tell
+how much any other document can share on either side; windows of 50 words within
+these bounds that no match covers are looked up by equality among all documents.
 
 A word is a run of characters other than white space; spans count words. What
 repeats within one document only is not a repeat. Contexts are compared by 32-bit
@@ -151,56 +153,92 @@ def _same_words(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.cumprod((a == b) & (a != 0), axis=1).sum(axis=1)
 
 
-def _matches(table: pa.Table, edges: bool) -> pa.RecordBatch:
-    """Spans of sorted suffixes that match the nearest row of another document before or behind them."""
+MATCHES = "key long, ctx long, doc_id long, place int, first long, most int, before int, behind int"
+
+
+def _matches(table: pa.Table, side: int) -> pa.RecordBatch:
+    """Sorted suffixes with what they share with the nearest row of another document before and behind them.
+
+    ``before`` and ``behind`` are ``left * (AROUND + 1) + right`` words of matches
+    that are long enough, else -1; ``most`` is the largest number of words that
+    any other document can share on the side sorted by (0: right, 1: left).
+    Suffixes that can be in no match are left out.
+    """
     n = table.num_rows
     key, doc, place = (table.column(c).to_numpy() for c in ("key", "doc_id", "place"))
     right, left = (np.frombuffer(b"".join(table.column(c).to_pylist()), ">u4").reshape(n, AROUND) for c in ("right", "left"))
     block = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (key[1:] != key[:-1])]))
     of = np.searchsorted(block, np.arange(n), side="right") - 1
     last = np.append(block[1:], n) - 1
-    rows, starts, ends = [], [], []
+    most, pairs = np.zeros(n, np.int32), []
     for other in (block[of] - 1, last[of] + 1):
-        at = np.flatnonzero((other >= 0) & (other < n))
+        pair = np.full(n, -1, np.int32)
+        beyond = (other < 0) | (other >= n)  # in another partition
+        beyond_edge = beyond & np.isin(np.arange(n), (0, n - 1))
+        most[beyond_edge] = AROUND  # unknown: left to the look-up by equality
+        at = np.flatnonzero(~beyond)
         at = at[(key[at] == key[other[at]]) & (doc[at] != doc[other[at]])]
         r, l = _same_words(right[at], right[other[at]]), _same_words(left[at], left[other[at]])
-        good = r + l + SURE >= MIN_WORDS
-        rows.append(at[good])
-        starts.append((place[at] - l)[good])
-        ends.append((place[at] + SURE + r)[good])
-    rows, starts, ends = map(np.concatenate, (rows, starts, ends))
+        pair[at] = np.where(r + l + SURE >= MIN_WORDS, l * (AROUND + 1) + r, -1)
+        most[at] = np.maximum(most[at], (r, l)[side])
+        pairs.append(pair)
+    there = (left, right)[side]
+    rows = np.flatnonzero(most + (there != 0).sum(axis=1) + SURE >= MIN_WORDS)
     taken = table.take(pa.array(rows))
-    edge = np.zeros(rows.size, np.int8)
-    columns = [taken.column("doc_id").combine_chunks(), pa.array(starts.astype(np.int32)), pa.array(ends.astype(np.int32)), taken.column("first").combine_chunks(), pa.array(edge)]
-    empty = [pa.nulls(rows.size, t) for t in (pa.int64(), pa.binary(), pa.binary(), pa.int32())]
-    if edges:  # the first and last row are compared again with those of the partitions beside
-        ends_ = table.take(pa.array([0, n - 1]))
-        zero = pa.array([0, 0], pa.int32())
-        columns = [pa.concat_arrays([a, b]) for a, b in zip(columns, [ends_.column("doc_id").combine_chunks(), zero, zero, ends_.column("first").combine_chunks(),
-                                                                       pa.array([1, 2], pa.int8())], strict=True)]
-        empty = [pa.concat_arrays([a, ends_.column(c).combine_chunks()]) for a, c in zip(empty, ("key", "right", "left", "place"), strict=True)]
-    return pa.RecordBatch.from_arrays(columns + empty, ["doc_id", "start", "end", "first", "edge", "key", "right", "left", "place"])
+    return pa.RecordBatch.from_arrays([*(taken.column(c).combine_chunks() for c in ("key", "ctx", "doc_id", "place", "first")),
+                                       *(pa.array(c[rows], pa.int32()) for c in (most, *pairs))],
+                                      ["key", "ctx", "doc_id", "place", "first", "most", "before", "behind"])
 
 
-SPANS = "doc_id long, start int, end int, first long, edge tinyint, key long, right binary, left binary, place int"
-
-
-def _compare(edges: bool):
+def _compare(side: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [b for b in batches if b.num_rows]  # one range of the suffix array
         if held:
-            yield _matches(pa.Table.from_batches(held), edges)
+            yield _matches(pa.Table.from_batches(held), side)
     return run
 
 
-def _neighbours(around: DataFrame, order: list[str]) -> DataFrame:
-    """Spans from comparing neighbours in one sort order; ``around`` is a written table."""
-    columns = ["key", "right", "left", "doc_id", "place", "first"]
-    ranges = around.repartitionByRange(partitions(around.sparkSession), *order).sortWithinPartitions(*order).select(*columns)
-    found = written(ranges.mapInArrow(_compare(True), SPANS), "spans")
-    beside = (found.where("edge > 0").select(*columns).distinct().coalesce(1).sortWithinPartitions(*order)  # two rows per partition
-              .mapInArrow(_compare(False), SPANS))
-    return found.where("edge = 0").union(beside)
+def _neighbours(around: DataFrame, side: int) -> DataFrame:
+    """``_matches`` in one sort order; ``around`` is a written table."""
+    order = ["key", *(("right", "left"), ("left", "right"))[side], "doc_id", "place"]
+    ranges = (around.repartitionByRange(partitions(around.sparkSession), *order).sortWithinPartitions(*order)
+              .select("key", "right", "left", "ctx", "doc_id", "place", "first"))
+    return written(ranges.mapInArrow(_compare(side), MATCHES), "matches")
+
+
+def _left_open(matches: list[DataFrame]) -> DataFrame:
+    """``key``, ``lefts``: how many words left of the key the windows of ``MIN_WORDS`` words begin that may be shared and that no match covers."""
+    right, left = (m.select("key", "ctx", "doc_id", "place", F.col("most").alias(own), F.lit(None).cast("int").alias(other), F.array("before", "behind").alias("pairs"))
+                   for m, own, other in zip(matches, ("r", "l"), ("l", "r"), strict=True))
+    both = right.unionByName(left).groupBy("key", "ctx", "doc_id", "place").agg(F.max("r").alias("r"), F.max("l").alias("l"), F.flatten(F.collect_set("pairs")).alias("pairs"))
+
+    def covered(at):
+        return F.exists("pairs", lambda p: (p >= 0) & (at <= F.floor(p / (AROUND + 1))) & (F.lit(AROUND) - at <= p % (AROUND + 1)))
+    lefts = F.filter(F.sequence(F.lit(AROUND) - F.col("r"), F.col("l")), lambda at: ~covered(at))
+    found = both.where(F.col("r") + F.col("l") >= AROUND).select("key", F.explode(lefts).alias("at"))
+    return found.groupBy("key").agg(F.collect_set("at").alias("lefts"))
+
+
+def _equal_windows(around: DataFrame, open_: DataFrame) -> DataFrame:
+    """``doc_id``, ``start``, ``end``, ``first`` of windows of ``open_`` that two documents hold, found by equality."""
+    open_ = written(open_, "open")
+    # Equal contexts are one row with the smallest and the largest id.
+    contexts = (around.join(open_.select("key").hint("merge"), "key", "left_semi").groupBy("key", "ctx", "right", "left")
+                .agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")))
+    words = [F.expr("substring(left, 1, 4 * at)"), F.expr(f"substring(right, 1, 4 * ({AROUND} - at))")]
+    inside = F.expr(f"(at = 0 OR substring(left, 4 * at - 3, 4) <> X'00000000') AND (at = {AROUND} OR substring(right, 4 * ({AROUND} - at) - 3, 4) <> X'00000000')")
+    windows = written(contexts.join(open_.hint("merge"), "key").select("key", "ctx", "right", "left", "lo", "hi", F.explode("lefts").alias("at")).where(inside)
+                      .select("key", "ctx", "at", F.xxhash64(*words).alias("hash"), "lo", "hi"), "windows")
+    shared = windows.groupBy("key", "at", "hash").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo < hi").select("key", "at", "hash")
+    found = written(windows.join(shared.hint("merge"), ["key", "at", "hash"]).select("key", "ctx", "at").distinct(), "equal")
+    return (around.select("key", "ctx", "doc_id", "place", "first").join(found.hint("merge"), ["key", "ctx"])
+            .select("doc_id", (F.col("place") - F.col("at")).alias("start"), (F.col("place") - F.col("at") + MIN_WORDS).alias("end"), "first"))
+
+
+def _spans(matches: DataFrame) -> DataFrame:
+    pair = matches.select("doc_id", "place", "first", F.explode(F.array("before", "behind")).alias("p")).where("p >= 0")
+    return pair.select("doc_id", (F.col("place") - F.floor(F.col("p") / (AROUND + 1)).cast("int")).alias("start"),
+                       (F.col("place") + SURE + F.col("p") % (AROUND + 1)).alias("end"), "first")
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
@@ -214,8 +252,9 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     # Written, so that the join shuffles both sides itself and can split a key that very many documents hold.
     shared = written(kept.groupBy("key").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("key", "first"), "shared")
     places = kept.join(shared.hint("merge"), "key")
-    around = written(_contexts(docs, places), "contexts")
-    spans = (_neighbours(around, ["key", "right", "left", "doc_id", "place"]).union(_neighbours(around, ["key", "left", "right", "doc_id", "place"]))
+    around = written(_contexts(docs, places).withColumn("ctx", F.xxhash64("right", "left")), "contexts")
+    matches = [_neighbours(around, side) for side in (0, 1)]
+    spans = (_spans(matches[0]).union(_spans(matches[1])).union(_equal_windows(around, _left_open(matches)))
              .select("doc_id", "start", "end", "first", (F.col("first") < F.col("doc_id")).alias("copy")).distinct())
     before = Window.partitionBy("doc_id", "copy").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
     running = Window.partitionBy("doc_id", "copy").orderBy("start", "end")
