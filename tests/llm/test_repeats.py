@@ -65,6 +65,18 @@ def test_partner_among_crowds_that_share_one_side_as_well(spark):
     assert covered(repeats.repeated_spans(spark.createDataFrame(docs, "doc_id long, text string").repartition(4)).collect()) == want
 
 
+def test_equal_contexts_over_many_partitions(spark, prose):
+    passage = prose(1, 100)
+    docs = [(1, " ".join([passage] * 150)), (2, prose(2, 80) + " " + passage + " " + prose(3, 80)), (3, passage), (4, prose(4, 200))]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "48")
+    try:
+        spans = repeats.repeated_spans(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert covered(spans) == brute(docs)
+
+
 def test_minimisers_agree_in_equal_passages(prose):
     passage = prose(1, 80).split()
     places = []

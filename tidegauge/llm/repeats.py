@@ -174,8 +174,7 @@ def _matches(table: pa.Table, side: int) -> pa.RecordBatch:
     for other in (block[of] - 1, last[of] + 1):
         pair = np.full(n, -1, np.int32)
         beyond = (other < 0) | (other >= n)  # in another partition
-        beyond_edge = beyond & np.isin(np.arange(n), (0, n - 1))
-        most[beyond_edge] = AROUND  # unknown: left to the look-up by equality
+        most[beyond] = AROUND  # unknown: left to the look-up by equality
         at = np.flatnonzero(~beyond)
         at = at[(key[at] == key[other[at]]) & (doc[at] != doc[other[at]])]
         r, l = _same_words(right[at], right[other[at]]), _same_words(left[at], left[other[at]])
