@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegauge.llm import binary, decontaminate, fingerprints, packing, pseudonyms, quality, quotations, repeats, sharding, simhash
+from tidegauge.llm import binary, decontaminate, exact, fingerprints, packing, pseudonyms, quality, quotations, repeats, sharding, simhash
 from tidegauge.llm.common import table
 from tidegauge.session import shared_folder
 
@@ -105,4 +105,13 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quotations.conversations(quotations.as_mail(table(spark, sf_dir, "conversations")))
 
 
+@query("op13_exact_dedup", """
+SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept,
+       sha256(coalesce(text, '')) AS text_sha256
+FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
+""")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact.exact_duplicates(table(spark, sf_dir, "documents"), keep="largest")
+
+
 QUERIES["pipeline"] = corpus_pipeline.run
