@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegauge.llm import binary, decontaminate, exact, fingerprints, packing, pseudonyms, quality, quotations, repeats, sharding, simhash
+from tidegauge.llm import binary, collocations, decontaminate, exact, fingerprints, packing, pseudonyms, quality, quotations, repeats, sharding, simhash
 from tidegauge.llm.common import table
 from tidegauge.session import shared_folder
 
@@ -105,6 +105,29 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quotations.conversations(quotations.as_mail(table(spark, sf_dir, "conversations")))
 
 
+@query("op11_collocations", r"""
+WITH t AS (SELECT row_number() OVER () AS d, coalesce(lang, 'und') AS lang,
+                  string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\n-\r]') AS pieces FROM documents),
+p AS (SELECT lang, list_filter(string_split_regex(piece, '[ \t]+'), lambda x: x <> '') AS words FROM (SELECT lang, unnest(pieces) AS piece FROM t)),
+g AS (SELECT lang, size, array_to_string(words[i:i + size - 1], ' ') AS phrase
+      FROM (SELECT lang, words, size, unnest(range(1, len(words) - size + 2)) AS i FROM p, (SELECT unnest(range(1, 6)) AS size) WHERE len(words) >= size)),
+f AS (SELECT lang, size, phrase, count(*) AS f FROM g GROUP BY ALL),
+n AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE size = 1 GROUP BY lang),
+c AS (SELECT *, string_split(phrase, ' ') AS w FROM f WHERE size > 1 AND f >= 100),
+i AS (SELECT c.lang, array_to_string(c.w[s:s + k - 1], ' ') AS phrase, max(c.f) AS f
+      FROM c, (SELECT unnest(range(2, 5)) AS k) AS ks, (SELECT unnest(range(1, 5)) AS s) AS ss WHERE k < c.size AND s + k - 1 <= c.size GROUP BY ALL),
+d AS (SELECT c.* FROM c LEFT JOIN i ON c.lang = i.lang AND c.phrase = i.phrase WHERE i.f IS NULL OR i.f < c.f),
+k AS (SELECT d.lang, d.phrase, d.f AS a, k, array_to_string(w[1:k], ' ') AS x, array_to_string(w[k + 1:size], ' ') AS y FROM d, (SELECT unnest(range(1, 5)) AS k) WHERE k < size),
+s AS (SELECT k.lang, k.phrase, k.a, k.k, x.f AS l, y.f AS r, n.n, ((1000::HUGEINT * k.a * n.n) // (x.f::HUGEINT * y.f))::BIGINT AS score
+      FROM k JOIN f AS x ON x.lang = k.lang AND x.phrase = k.x AND x.size = k.k JOIN f AS y ON y.lang = k.lang AND y.phrase = k.y JOIN n ON n.lang = k.lang),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM b QUALIFY row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) <= 2000
+""")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 @query("op13_exact_dedup", """
 SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept,
        sha256(coalesce(text, '')) AS text_sha256
