@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegauge.llm import binary, collocations, decontaminate, exact, fingerprints, packing, pseudonyms, quality, quotations, repeats, sharding, simhash
+from tidegauge.llm import binary, collocations, decontaminate, exact, fingerprints, packing, pseudonyms, quality, quotations, repair, repeats, sharding, simhash
 from tidegauge.llm.common import table
 from tidegauge.session import shared_folder
 
@@ -128,6 +128,11 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(table(spark, sf_dir, "documents"))
 
 
+@query("op12_conversation_repair")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repaired(repair.damaged(table(spark, sf_dir, "conversations")))
+
+
 @query("op13_exact_dedup", """
 SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept,
        sha256(coalesce(text, '')) AS text_sha256
