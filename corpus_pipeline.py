@@ -11,7 +11,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidegauge.llm import decontaminate, nearcopies, packing, pseudonyms, quality, simhash
+from tidegauge.llm import decontaminate, packing, pseudonyms, quality, simhash
 from tidegauge.llm.common import table, written
 
 
@@ -21,8 +21,8 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (five-word likeness of 0.8 and more) the document with the smallest id."""
-    return simhash.keep_one(docs, nearcopies.near_copies)
+    """Of each group of near copies (three-word SimHashes two bits apart at most) the document with the smallest id."""
+    return simhash.keep_one(docs)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
