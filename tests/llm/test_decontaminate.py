@@ -56,3 +56,12 @@ def test_empty_tables(spark):
     docs, bench = spark.createDataFrame([(1, "a b c d e f")], "doc_id long, text string"), spark.createDataFrame([(1, "a b c d e f")], "item_id long, text string")
     assert contaminated(docs, bench.limit(0)).collect() == [] == contaminated(docs.limit(0), bench).collect()
     assert without_contaminated(docs, bench.limit(0)).count() == 1
+
+
+def test_few_candidates_leave_texts_in_place(spark, prose, tmp_path):
+    """Ids of few candidates are broadcast: no exchange deals texts out by document."""
+    spark.createDataFrame([(i, prose(i, 60)) for i in range(50)], "doc_id long, text string").write.parquet(f"{tmp_path}/docs")
+    docs, bench = spark.read.parquet(f"{tmp_path}/docs"), spark.createDataFrame([(1, prose(7, 60))], "item_id long, text string")
+    for df, ids in ((contaminated(docs, bench), [7]), (without_contaminated(docs, bench), [i for i in range(50) if i != 7])):
+        assert sorted(r.doc_id for r in df.collect()) == ids
+        assert "hashpartitioning(coalesce(doc_id" not in df._jdf.queryExecution().executedPlan().toString()

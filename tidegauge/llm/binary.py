@@ -19,7 +19,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidegauge.llm.common import map_batches, partitions
@@ -68,10 +68,15 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
     The sizes of the files come from a pass over two columns of counters, one row per file.
     """
     files = spark.read.schema(SCHEMA).orc(path)
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = files.groupBy("part").agg(F.sum("n_tokens").alias("n"))
-    starts = sizes.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
-    return files.join(starts, "part").select("doc_id", (F.col("first") + F.col("start")).alias("start"), "n_tokens", "ids")
+    sizes = sorted((r["part"], r["n"]) for r in files.groupBy("part").agg(F.sum("n_tokens").alias("n")).collect())
+    starts = np.cumsum([0, *(n for _, n in sizes)]).tolist()
+    if not sizes:
+        return files.select("doc_id", "start", "n_tokens", "ids")
+    # An array by file number, so that the ids themselves are not moved by a join.
+    first = np.zeros(sizes[-1][0] + 1, np.int64)
+    first[[part for part, _ in sizes]] = starts[:-1]
+    numbers = F.split(F.lit(",".join(map(str, first.tolist()))), ",")
+    return files.select("doc_id", (F.element_at(numbers, F.col("part") + 1).cast("long") + F.col("start")).alias("start"), "n_tokens", "ids")
 
 
 def find_ids(spark: SparkSession, path: str, doc_ids: list[int]) -> DataFrame:

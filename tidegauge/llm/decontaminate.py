@@ -194,7 +194,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, contained: float = CONTA
     met = _candidate_bands(docs, kinds, _bitmap(bands)).join(bands, "key").select("doc_id", "item_id").distinct()
     candidates = written(met.repartition(partitions(docs.sparkSession)), "candidates")
     asked = candidates.join(items.select("item_id", "width", "shingles"), "item_id").select(F.col("doc_id").alias("_id"), "item_id", "width", "shingles")
-    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    # Written, so that a few ids travel to the texts instead of all texts to the ids.
+    wanted = written(candidates.select(F.col("doc_id").alias("_wanted")).distinct(), "wanted")
+    whole = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    text = whole.join(wanted, same(whole["doc_id"], wanted["_wanted"]), "left_semi")
     share = F.size(F.array_intersect(shingles(F.col("text"), F.col("width")), "shingles")) / F.size("shingles")
     return (text.join(asked, same(text["doc_id"], asked["_id"])).select("doc_id", "item_id", share.alias("containment"))
             .groupBy("doc_id", "item_id").agg(F.max("containment").alias("containment"))
@@ -203,5 +206,5 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, contained: float = CONTA
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Rows of ``docs`` whose document contains no benchmark item."""
-    found = contaminated(docs, benchmark).select(F.col("doc_id").alias("_bad")).distinct()
+    found = written(contaminated(docs, benchmark).select(F.col("doc_id").alias("_bad")).distinct(), "contaminated")
     return docs.join(found, same(docs["doc_id"], found["_bad"]), "left_anti")
