@@ -23,6 +23,7 @@ from tidegauge.sources import config_dump, normalize, readers, rollup, writers
 from tidegauge.sources.schemas import APP_LOG_IN, FLAT_HEADERS, NORMALISED, SERVICES, TAIL, staging_schema
 from tidegauge.spec import Query, TimeRange
 from tidegauge.streaming import jobs
+from tidegauge.streaming.live import LiveTable
 
 MONTH = Query(v.MONTH, top=10)
 
@@ -326,6 +327,18 @@ def _(spark, sf):
     return counted.select("request_method", *rollup.scaled_counters(("cnt", "cnt_ok", "cnt_4xx", "cnt_5xx"), 1, 4))
 
 
+@check("sample_pruned", views("access", "SELECT request_method, " + ", ".join(
+    f"CAST({c} * 5 AS BIGINT) AS {c}" for c in ("cnt", "cnt_ok", "cnt_4xx", "cnt_5xx"))
+    + f" FROM (SELECT request_method, {counters()} FROM access WHERE {_KEY_SQL} % 1048576 < 209716 GROUP BY 1)"))
+def _(spark, sf):
+    """A fifth of the sample space, read from a table whose folders are samples."""
+    path, text = shared_folder(spark, "sampled"), F.concat_ws("/", "ray_id", F.col("event_id").cast("string"))
+    key = F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint")
+    writers.write_sampled(v.access(spark, sf), path, key)
+    counted = readers.sample_pruned(spark.read.parquet(path), 1, 5).groupBy("request_method").agg(*traffic_counters(DELIVERY))
+    return counted.select("request_method", *rollup.scaled_counters(("cnt", "cnt_ok", "cnt_4xx", "cnt_5xx"), 1, 5))
+
+
 _PATTERNS_SQL = {name: p.replace("'", "''") for name, p in ENTITY_PATTERNS.items()}
 _PATTERNS_SQL["ips"] = r"\b\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}\b"
 
@@ -508,6 +521,42 @@ def _(spark, sf):
     return reduce(DataFrame.unionByName, rows)
 
 
+_RATES = {"delivery": 10, "backend": 4}  # the errors are kept whole
+_HASHED = "('0x' || substr(md5(CAST(epoch_us(timestamp) // 1000 AS VARCHAR) || ':' || cdn_originating_ip), 1, 8))::BIGINT"
+_ST_SAMPLED = " UNION ALL ".join(
+    f"SELECT '{t}' AS target, {', '.join(c if c != 'weight' else str(_RATES.get(t, 1)) + '::BIGINT AS weight' for c in v.ACCESS)} FROM access "
+    f"WHERE {c} AND {_HASHED} % {_RATES.get(t, 1)} = 0" for t, c in _ROUTED.items())
+
+
+def _ingested_sampled(spark, sf) -> str:
+    """One stream with a rate of its own for each target; some of its batches have no rows that are kept."""
+    path = shared_folder(spark, "stream-sampled")
+    rules = {t: r for t, r in rollup.routes((), ()).items() if t in _ROUTED}
+    key = F.conv(F.substring(F.md5(rollup.time_and_address()), 1, 8), 16, 10).cast("bigint")
+    none, every = F.lit(False), _event_stream(spark, sf)
+    for source, stream in (("edge", every), ("idle", every.filter("event_id < 0")), ("unmet", every)):
+        met = {t: none for t in rules} if source == "unmet" else rules
+        jobs.start_ingest(stream, lambda rows: v._view(rows, v.ACCESS), f"{path}/facts", met, f"{path}/checkpoint-{source}", source,
+                          "delivery", f"{path}/rollup", DELIVERY, FACETS, rates=lambda: _RATES, key=key).awaitTermination()
+    return path
+
+
+@check("st_ingest_sampled", views("access", _ST_SAMPLED))
+def _(spark, sf):
+    path = _ingested_sampled(spark, sf)
+    rows = [jobs.read_batches(spark, f"{path}/facts", t).select(F.lit(t).alias("target"), *v.ACCESS) for t in _ROUTED]
+    return reduce(DataFrame.unionByName, rows)
+
+
+@check("st_ingest_sampled_rollup", views("access", " UNION ALL ".join(
+    f"SELECT date_trunc('minute', timestamp) AS minute, '{n}' AS facet, {d} AS dim, 10 * count(*) AS cnt, 10 * count(*) FILTER (WHERE response_status < 400) AS cnt_ok, "
+    f"10 * count(*) FILTER (WHERE response_status BETWEEN 400 AND 499) AS cnt_4xx, 10 * count(*) FILTER (WHERE response_status > 499) AS cnt_5xx "
+    f"FROM access WHERE cdn_is_edge AND {_HASHED} % 10 = 0 GROUP BY 1, 3" for n, d in (("method", "request_method"), ("status_range", DUCK_STATUS_RANGE)))))
+def _(spark, sf):
+    """The sampled target's roll-up counts what its rows stand for."""
+    return rollup.merge_rollups(jobs.read_batches(spark, f"{_ingested_sampled(spark, sf)}/rollup"))
+
+
 @check("st_ingest_rollup", views("access", _ST_ROLLUP.format(where=" WHERE cdn_is_edge")))
 def _(spark, sf):
     return rollup.merge_rollups(jobs.read_batches(spark, f"{_ingested(spark, sf)}/rollup"))
@@ -525,6 +574,46 @@ def _(spark, sf):
     return spark.read.parquet(f"{path}/days").select(*v.ACCESS)
 
 
+def _ddl(df: DataFrame) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+
+
+def _live(spark, sf, root: str) -> LiveTable:
+    return LiveTable(root, _ddl(v.access(spark, sf)), target="delivery")
+
+
+@check("st_compacted_live", views("access", f"SELECT {_ST_COLUMNS} FROM access WHERE cdn_is_edge"))
+def _(spark, sf):
+    """Days are compacted while batches come: early rows, a compaction (run twice), late rows of the same days, a
+    compaction of one of them, more late rows, and the covered folders dropped."""
+    path = shared_folder(spark, "stream-live")
+    table, rules = _live(spark, sf, path), {"delivery": rollup.routes((), ())["delivery"]}
+
+    def ingest(source: str, condition: str) -> None:
+        jobs.start_ingest(_event_stream(spark, sf).filter(condition), lambda rows: v._view(rows, v.ACCESS), table.batches, rules,
+                          f"{path}/checkpoint-{source}", source).awaitTermination()
+    ingest("early", "event_id % 4 < 2")
+    for _ in range(2):
+        table.compact(spark, _COMPACTED, "first")
+    ingest("late", "event_id % 4 = 2")
+    table.compact(spark, _COMPACTED[3:4], "second")
+    ingest("later", "event_id % 4 = 3")
+    table.drop_covered(spark)
+    return table.read(spark).select(*v.ACCESS)
+
+
+@check("st_rollup_live", views("access", _ST_ROLLUP.format(where="")))
+def _(spark, sf):
+    """Partial sums folded by compaction and read together with those that came since."""
+    path = shared_folder(spark, "rollup-live")
+    table = LiveTable(path, "minute timestamp_ntz, facet string, dim string, cnt bigint, cnt_ok bigint, cnt_4xx bigint, cnt_5xx bigint",
+                      time="minute", sort=("facet",), merge=rollup.merge_rollups)
+    for part, name in enumerate(("first", "second")):
+        jobs.start_rollup(_access_stream(spark, sf).filter(F.col("event_id") % 2 == part), DELIVERY, FACETS, table.batches, f"{path}/checkpoint-{part}", name).awaitTermination()
+        table.compact(spark, _COMPACTED, name)
+    return rollup.merge_rollups(table.read(spark).drop(jobs.DAY))
+
+
 @check("st_rollup_compacted", views("access", f"SELECT * FROM ({_ST_ROLLUP.format(where='')}) WHERE CAST(minute AS DATE) BETWEEN '2024-01-01' AND '2024-01-12'"))
 def _(spark, sf):
     path = shared_folder(spark, "stream-rollup")

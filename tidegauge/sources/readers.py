@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidegauge.operators.predicates import in_range
+from tidegauge.sources.writers import SAMPLE_BUCKET, SAMPLE_BUCKETS, SAMPLE_POINT, SAMPLE_SPACE
 from tidegauge.spec import TimeRange
 
 RETENTION = {"facts": timedelta(days=14), "rollup": timedelta(days=14), "staging": timedelta(days=1)}
@@ -36,3 +37,17 @@ def read_facts(spark: SparkSession, path: str, rng: TimeRange | None = None, tim
 def sample(df: DataFrame, part: int, of: int, key: str = "sample_hash") -> DataFrame:
     """The rows whose stored sample hash falls into ``part`` of ``of`` parts."""
     return df.filter(F.pmod(F.col(key), F.lit(of)) < part)
+
+
+def sample_pruned(df: DataFrame, part: int, of: int, buckets: int = SAMPLE_BUCKETS) -> DataFrame:
+    """``part`` in ``of`` rows of a table of ``write_sampled``; folders of other buckets are not read.
+
+    The bucket is a folder name, so what is read falls with the sample; the
+    row filter works in the one bucket the share ends in. ``buckets`` are those
+    the table was written with. Scale counters with ``rollup.scaled_counters``.
+    """
+    if not 0 < part <= of:
+        raise ValueError(f"{part} of {of} is no sample")
+    end = -(-SAMPLE_SPACE * part // of)  # points below it are in the sample
+    last = (end - 1) * buckets // SAMPLE_SPACE
+    return df.filter((F.col(SAMPLE_BUCKET) <= last) & (F.col(SAMPLE_POINT) < end)).drop(SAMPLE_POINT, SAMPLE_BUCKET)

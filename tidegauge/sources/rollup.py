@@ -69,10 +69,15 @@ def time_and_address(time: str = "timestamp", address: str = "cdn_originating_ip
     return F.concat_ws(":", millis, F.col(address))
 
 
+def sample_hash() -> Column:
+    """The hash rows are sampled by on arrival."""
+    return F.xxhash64(time_and_address())
+
+
 def thin_out(df: DataFrame, rate: int, key: Column | None = None, weight: str = "weight") -> DataFrame:
     """Deterministic sampling: keep one in ``rate`` by hash and let each kept row
     stand for ``rate``. ``key`` is any well-spread integer."""
-    key = F.xxhash64(time_and_address()) if key is None else key
+    key = sample_hash() if key is None else key
     return df.filter(F.pmod(key, F.lit(rate)) == 0).withColumn(weight, F.lit(rate))
 
 

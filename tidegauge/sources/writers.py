@@ -17,6 +17,10 @@ from tidegauge.operators.predicates import moment
 EXPORT_HEADER = {"dim": "Value", "cnt": "Count", "cnt_ok": "OK (2xx/3xx)", "cnt_4xx": "4xx", "cnt_5xx": "5xx"}
 
 
+# Sampled layouts: points a row's hash may take, and folders per day they are dealt into.
+SAMPLE_SPACE, SAMPLE_BUCKETS = 1 << 20, 16
+SAMPLE_POINT, SAMPLE_BUCKET = "sample_point", "sample_bucket"
+
 # Parts a day is dealt into before sizes are known.
 FILES_PER_DAY = 16
 
@@ -48,6 +52,24 @@ def write_facts(df: DataFrame, path: str, time: str = "timestamp", sort: Sequenc
     writer.partitionBy(day).parquet(path)
 
 
+def write_sampled(df: DataFrame, path: str, key: Column, time: str = "timestamp", sort: Sequence[str] = ("request_host",),
+                  day: str = "dt", buckets: int = SAMPLE_BUCKETS, mode: str = "append") -> None:
+    """Facts whose layout holds samples: folders by day and by sample bucket.
+
+    ``key`` (any well-spread integer) gives each row a stored point in a sample
+    space of ``SAMPLE_SPACE``, cut into equal buckets: a sample of one in N reads
+    the folders of the buckets below its share and filters in the last of them
+    alone (``readers.sample_pruned``). Smaller samples lie within larger ones.
+    """
+    if SAMPLE_SPACE % buckets:
+        raise ValueError(f"{buckets} buckets do not divide the sample space of {SAMPLE_SPACE}")
+    point = F.pmod(key, F.lit(SAMPLE_SPACE)).cast("int")
+    rows = with_day(df, time, day).withColumn(SAMPLE_POINT, F.coalesce(point, F.lit(0)))
+    rows = rows.withColumn(SAMPLE_BUCKET, F.floor(F.col(SAMPLE_POINT) * buckets / SAMPLE_SPACE).cast("int"))
+    writer = rows.hint("rebalance", day, SAMPLE_BUCKET).sortWithinPartitions(day, SAMPLE_BUCKET, *sort, time).write.mode(mode)
+    writer.partitionBy(day, SAMPLE_BUCKET).parquet(path)
+
+
 def append_rows(df: DataFrame, path: str) -> None:
     df.write.mode("append").parquet(path)
 

@@ -17,10 +17,11 @@ from datetime import date, timedelta
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StructType
 
 from tidegauge.operators.aggregates import COUNTERS, row_counters
 from tidegauge.operators.lookups import latest
-from tidegauge.sources.rollup import minute_rollup
+from tidegauge.sources.rollup import minute_rollup, sample_hash
 from tidegauge.sources.writers import with_day, write_facts
 from tidegauge.spec import LogTable
 
@@ -36,9 +37,14 @@ def write_batch(df: DataFrame, batch_id: int, path: str, source: str, run: str,
     (writer.partitionBy(*parts) if parts else writer).parquet(folder)
 
 
-def read_batches(spark: SparkSession, path: str, target: str | None = None) -> DataFrame:
-    """All batches of all streams as one table with its day column; of one ``target`` if they were split."""
-    rows = spark.read.parquet(path)
+def read_batches(spark: SparkSession, path: str, target: str | None = None, schema: StructType | str | None = None) -> DataFrame:
+    """All batches of all streams as one table with its day column; of one ``target`` if they were split.
+
+    ``schema`` (of the columns stored in the files) lets a table be read that no batch has written a row to.
+    """
+    rows = (spark.read.schema(schema) if schema else spark.read).parquet(path)
+    if schema and not set(rows.columns) & {SOURCE, RUN, BATCH}:  # no folder below it yet
+        return rows.withColumn(DAY, F.lit(None).cast("date"))
     if target is not None:
         rows = rows.filter(F.col(TARGET) == target)
     return rows.drop(SOURCE, RUN, BATCH, TARGET)
@@ -70,24 +76,56 @@ def _start(stream: DataFrame, handler: Callable[[DataFrame, int, str], None], ch
     return writer.start()
 
 
+Rates = Mapping[str, int] | Callable[[], Mapping[str, int]]
+
+
+def routed(rows: DataFrame, rules: Mapping[str, Column], rates: Mapping[str, int] | None = None, key: Column | None = None,
+           weight: str = "weight") -> DataFrame:
+    """Every row once for each target that takes it, with ``target``.
+
+    ``rates`` thins targets out each for itself: one in so many rows stays, by
+    the hash ``key`` (any well-spread integer), and ``weight`` says how many it
+    stands for; targets without a rate keep all their rows at a weight of one.
+    A row's targets and weights are decided together, in one pass.
+    """
+    if rates is None:
+        met = F.filter(F.array(*[F.when(rule, F.lit(name)) for name, rule in rules.items()]), lambda t: t.isNotNull())
+        return rows.withColumn(TARGET, F.explode(met))
+    unknown, wrong = set(rates) - set(rules), [n for n, r in rates.items() if r < 1]
+    if unknown or wrong:
+        raise ValueError(f"rates of unknown targets or below one: {sorted(unknown | set(wrong))}")
+    hashed = rows.withColumn("_key", sample_hash() if key is None else key)
+    takes = [F.when(rule & (F.pmod(F.col("_key"), F.lit(rates.get(name, 1))) == 0),
+                    F.struct(F.lit(name).alias(TARGET), F.lit(rates.get(name, 1)).cast("long").alias("_weight"))) for name, rule in rules.items()]
+    met = hashed.withColumn("_taken", F.explode(F.filter(F.array(*takes), lambda t: t.isNotNull())))
+    return met.withColumns({TARGET: F.col(f"_taken.{TARGET}"), weight: F.col("_taken._weight")}).drop("_key", "_taken")
+
+
 def start_ingest(stream: DataFrame, normalise: Callable[[DataFrame], DataFrame], path: str,
                  rules: Mapping[str, Column], checkpoint: str, source: str, rollup_of: str | None = None,
                  rollup_path: str | None = None, table: LogTable | None = None,
                  facets: Mapping[str, str] | None = None, once: bool = True,
-                 every: str = "1 minute", time: str = "timestamp") -> StreamingQuery:
-    """Normalise, split by rule into targets, and add the roll-up partials of one.
+                 every: str = "1 minute", time: str = "timestamp", rates: Rates | None = None,
+                 key: Column | None = None) -> StreamingQuery:
+    """Normalise, split by rule into targets, thin these out, and add the roll-up partials of one.
 
     ``source`` names the stream for good. A batch is written in one pass: every
-    row once for each target whose rule it meets, in that target's folders. The
+    row once for each target that takes it, in that target's folders (see
+    ``routed``; ``rates`` may be a function, which every batch asks anew). The
     roll-up reads the target just written; it needs no watermark because
-    partials of any age simply add up.
+    partials of any age simply add up. Batches without rows, or with none that a
+    rule meets, leave empty folders.
     """
     def handle(batch: DataFrame, batch_id: int, run: str) -> None:
-        met = F.filter(F.array(*[F.when(rule, F.lit(name)) for name, rule in rules.items()]), lambda t: t.isNotNull())
-        write_batch(normalise(batch).withColumn(TARGET, F.explode(met)), batch_id, path, source, run, time, [TARGET])
+        now = rates() if callable(rates) else rates
+        rows = routed(normalise(batch), rules, now, key)
+        write_batch(rows, batch_id, path, source, run, time, [TARGET])
         if rollup_of and rollup_path:
-            rows = batch.sparkSession.read.parquet(f"{path}/{SOURCE}={source}/{RUN}={run}/{BATCH}={batch_id}").filter(F.col(TARGET) == rollup_of)
-            write_batch(minute_rollup(rows, table, facets), batch_id, rollup_path, source, run, "minute")
+            # The schema is known: a batch without rows has no file to take it from.
+            stored = with_day(rows, time, DAY).schema
+            folder = f"{path}/{SOURCE}={source}/{RUN}={run}/{BATCH}={batch_id}"
+            kept = batch.sparkSession.read.schema(stored).parquet(folder).filter(F.col(TARGET) == rollup_of)
+            write_batch(minute_rollup(kept, table, facets), batch_id, rollup_path, source, run, "minute")
 
     return _start(stream, handle, checkpoint, once, every)
 
