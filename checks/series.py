@@ -240,6 +240,46 @@ def _(spark, sf):
     return an.contrast_selection(v.access(spark, sf), DELIVERY, DELIVERY.facets["path"], Query(v.MONTH), SPANS[0])
 
 
+_CONTRAST = {"hosts": ("request_host", "true"), "methods": ("request_method", "true"), "paths": ("request_url", "true"), "request-type": ("platform_request_type", "platform_request_type <> ''"),
+             "status": ("CAST(response_status AS VARCHAR)", "true"), "asn": ("CAST(client_asn AS VARCHAR)", "client_asn <> 0")}
+_FAN = "SELECT platform_org, time_bucket(to_seconds(21600), timestamp, TIMESTAMP '1970-01-01') AS t, '{}' AS facet, {} AS dim, weight, response_status FROM access WHERE {} AND {}"
+_CONTRAST_ROWS = " UNION ALL ".join(_FAN.format(name, dim, MONTH_WHERE, extra) for name, (dim, extra) in _CONTRAST.items())
+
+
+@check("an_contrast_all", sql(selection_sql(CLASSES, an.KINDS, 5) + f""",
+    fx AS (SELECT platform_org, t, facet, dim, {counters()} FROM ({_CONTRAST_ROWS}) GROUP BY 1, 2, 3, 4),
+    cx AS (SELECT p.platform_org, p.rank, p.category, f.facet, f.dim, f.t BETWEEN p.start_time AND p.end_time AS hit, cnt,
+                 CASE p.category WHEN 'red' THEN cnt_5xx WHEN 'yellow' THEN cnt_4xx ELSE cnt_ok END AS cat FROM fx AS f JOIN picked p ON p.platform_org = f.platform_org),
+    gx AS (SELECT platform_org, rank, category, facet, dim, CAST(coalesce(sum(cat) FILTER (hit), 0) AS BIGINT) AS anomaly_cat_cnt, CAST(coalesce(sum(cat) FILTER (NOT hit), 0) AS BIGINT) AS baseline_cat_cnt,
+                 CAST(coalesce(sum(cnt) FILTER (hit), 0) AS BIGINT) AS anomaly_total_cnt, CAST(coalesce(sum(cnt) FILTER (NOT hit), 0) AS BIGINT) AS baseline_total_cnt
+          FROM cx GROUP BY 1, 2, 3, 4, 5)
+    SELECT platform_org, rank, category, facet, row_number() OVER (PARTITION BY platform_org, rank, facet ORDER BY anomaly_cat_cnt DESC, dim) AS place, dim,
+           anomaly_cat_cnt, baseline_cat_cnt, anomaly_total_cnt, baseline_total_cnt
+    FROM gx WHERE anomaly_cat_cnt > 0 OR baseline_cat_cnt > 0
+    QUALIFY row_number() OVER (PARTITION BY platform_org, rank, facet ORDER BY anomaly_cat_cnt DESC, dim) <= 50"""))
+def _(spark, sf):
+    """Every detected anomaly over six facets, from one scan."""
+    found = an.detect(series(spark, sf), KEY, MARGIN)
+    return an.contrast_anomalies(v.access(spark, sf), DELIVERY, [DELIVERY.facets[n] for n in _CONTRAST], QUERY, found, {"platform_org": "platform_org"})
+
+
+_SELECTED_SPANS = (("a", "2024-01-03 07:00:00", "2024-01-04 01:30:00"), ("b", "2024-01-10 00:00:00", "2024-01-10 00:00:00"), ("c", "2023-01-01 00:00:00", "2023-01-01 06:00:00"))
+
+
+@check("an_contrast_selections", sql(f"""
+    px(selection, a, b) AS (VALUES {', '.join(f"('{n}', TIMESTAMP '{a}', TIMESTAMP '{b}')" for n, a, b in _SELECTED_SPANS)}),
+    fx AS (SELECT t, facet, dim, {counters()} FROM ({_CONTRAST_ROWS}) GROUP BY 1, 2, 3),
+    gx AS (SELECT selection, facet, dim, CAST(coalesce(sum(cnt) FILTER (hit), 0) AS BIGINT) AS selection_cnt, CAST(coalesce(sum(cnt) FILTER (NOT hit), 0) AS BIGINT) AS baseline_cnt,
+                 CAST(coalesce(sum(cnt_4xx + cnt_5xx) FILTER (hit), 0) AS BIGINT) AS selection_err_cnt, CAST(coalesce(sum(cnt_4xx + cnt_5xx) FILTER (NOT hit), 0) AS BIGINT) AS baseline_err_cnt
+          FROM (SELECT *, t BETWEEN time_bucket(to_seconds(21600), a, TIMESTAMP '1970-01-01') AND time_bucket(to_seconds(21600), b, TIMESTAMP '1970-01-01') AS hit FROM fx, px) GROUP BY 1, 2, 3)
+    SELECT selection, facet, row_number() OVER w AS place, dim, selection_cnt, baseline_cnt, selection_err_cnt, baseline_err_cnt
+    FROM gx WINDOW w AS (PARTITION BY selection, facet ORDER BY selection_cnt DESC, dim) QUALIFY row_number() OVER w <= 50"""))
+def _(spark, sf):
+    """Three selected spans, one of them without any row, over six facets."""
+    spans = spark.createDataFrame(list(_SELECTED_SPANS), "selection string, a string, b string").selectExpr("selection", "cast(a AS timestamp_ntz) AS start_time", "cast(b AS timestamp_ntz) AS end_time")
+    return an.contrast_selections(v.access(spark, sf), DELIVERY, [DELIVERY.facets[n] for n in _CONTRAST], QUERY, spans)
+
+
 @check("agg_minute_lines", v.with_views("access", f"""
   SELECT date_trunc('minute', timestamp) AS minute, request_method AS dim, {counters()} FROM access WHERE {MONTH_WHERE} GROUP BY 1, 2"""))
 def _(spark, sf):

@@ -185,3 +185,43 @@ def test_selection_needs_no_python(spark, most):
 def test_all_deviations_are_finite(spark):
     out = an.deviations(frame(spark, {"s": flat(30, base=(0, 0, 0))}), ["key"])
     assert out.filter(F.isnan("deviation") | F.col("deviation").isNull()).count() == 0
+
+
+def test_contrast_of_many_equals_contrast_of_each(spark, tmp_path):
+    """Anomalies of keyed series, NULL keys and values included, over all facets at once: the rows of one contrast each, from one scan."""
+    from datetime import datetime, timedelta
+
+    from pyspark.sql import functions as F
+
+    from tidegauge.operators import anomaly as an
+    from tidegauge.spec import Facet, FacetFilter, LogTable, Query, TimeRange
+
+    rows = spark.range(4000).selectExpr(
+        "timestamp_ntz '2024-01-01 00:00:00' + make_dt_interval(0, 0, id % 120, id % 60) AS timestamp", "CAST(1 + id % 3 AS bigint) AS weight",
+        "CAST(CASE WHEN id % 7 = 0 THEN 503 WHEN id % 5 = 0 THEN 404 ELSE 200 END AS int) AS response_status", "nullif(concat('h', id % 3), 'h2') AS host",
+        "CASE WHEN id % 11 = 0 THEN NULL ELSE concat('p', (id * id) % 97) END AS path", "concat('m', id % 2) AS method")
+    facets = {"path": Facet("path", "path"), "method": Facet("method", "method"), "odd": Facet("odd", "path", extra="path LIKE '%1'")}
+    table = LogTable("t", weight="weight", facets=facets, hosts=(), owner="host", repo="host")
+    start = datetime(2024, 1, 1)
+    query = Query(TimeRange(start, start + timedelta(minutes=119), timedelta(minutes=1)), filters=(FacetFilter("method", "m1"),))
+    at = [start + timedelta(minutes=m) for m in (3, 9, 40, 40, 200)]
+    spans = [("h0", 1, "red", at[0], at[1]), ("h0", 2, "green", at[2], at[3]), ("h1", 1, "yellow", at[0], at[2]), (None, 1, "red", at[0], at[1]), ("h1", 2, "red", at[4], at[4])]
+    found = spark.createDataFrame(spans, "host string, rank int, category string, start_time timestamp_ntz, end_time timestamp_ntz")
+    rows.write.parquet(f"{tmp_path}/rows")
+    facts = spark.read.parquet(f"{tmp_path}/rows")
+    got = an.contrast_anomalies(facts, table, list(facets.values()), query, found, {"host": "host"}, rows=7)
+    listed = {}
+    for r in got.collect():
+        listed.setdefault((r.host, r.rank, r.facet), []).append((r.place, r.dim, r.anomaly_cat_cnt, r.baseline_cat_cnt, r.anomaly_total_cnt, r.baseline_total_cnt))
+    for host, rank, category, a, b in spans:
+        for name, facet in facets.items():
+            one = an.contrast_anomaly(facts.filter(F.col("host").eqNullSafe(F.lit(host))), table, facet, query, [(a, b)], category, rows=7)
+            want = [(i, *r) for i, r in enumerate(one.collect(), 1)]
+            assert sorted(listed.pop((host, rank, name), [])) == want, (host, rank, name)
+    assert not listed
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+    scans = {line.split("Scan parquet")[1] for line in plan.split("Initial Plan")[0].splitlines() if "Scan parquet" in line}
+    assert len(scans) == 1 and plan.split("Initial Plan")[0].count("Scan parquet") == 1  # read once, then reused
+    none = an.contrast_anomalies(facts, table, list(facets.values()), query, found.limit(0), {"host": "host"})
+    assert none.count() == 0

@@ -7,14 +7,14 @@ is bounded by the buckets of a range; facts never pass through these windows.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from datetime import datetime, timedelta
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidegauge.operators.aggregates import resum, row_counters, sums
-from tidegauge.operators.predicates import moment, page_filter, without_own
+from tidegauge.operators.predicates import facet_filters, known_columns, moment, page_filter, without_own
 from tidegauge.operators.timeseries import bucket
 from tidegauge.spec import MINUTE, STATUS_COUNTERS, Facet, LogTable, Query, floor_to
 
@@ -294,3 +294,101 @@ def top_contributors(contrasts: DataFrame, keys: Sequence[str], score: str,
     order = Window.partitionBy(*keys).orderBy(F.col(score).desc(), F.col("dim"))
     ranked = contrasts.withColumn("rank", F.row_number().over(order).cast("bigint"))
     return ranked.filter(F.col("rank") <= kept).withColumn("highlight", F.col("rank") <= shown)
+
+
+# --- contrast of many anomalies or selections over many facets ---------------
+
+# What spans are compared by: the counter that ranks values, and the second one.
+_MEASURES = {"red": ("cnt_5xx", "cnt"), "yellow": ("cnt_4xx", "cnt"), "green": ("cnt_ok", "cnt"), "selection": ("cnt", "cnt_4xx + cnt_5xx")}
+
+
+def _same(left: DataFrame, right: DataFrame, names: Sequence[str], how: str = "inner") -> DataFrame:
+    """Joins on columns of equal names, NULL being a value like others."""
+    other = right.withColumnsRenamed({n: f"_{n}" for n in names})
+    met = [F.col(n).eqNullSafe(F.col(f"_{n}")) for n in names]
+    return left.join(other, met, how).drop(*[f"_{n}" for n in names])
+
+
+def facet_buckets(df: DataFrame, table: LogTable, facets: Sequence[Facet], query: Query, series_keys: Mapping[str, str]) -> DataFrame:
+    """Counters per series, bucket of the range's step, facet and value, from one scan of the facts."""
+    known = known_columns(table) or None
+    entries = []
+    for facet in facets:
+        if facet.is_array or facet.buckets:
+            raise ValueError(f"facet {facet.name!r} has no single plain value")
+        counted = facet_filters(without_own(query.filters, facet.dim), known) & F.expr(facet.extra or "true")
+        entries.append(F.when(counted, F.struct(F.lit(facet.name).alias("facet"), F.expr(facet.dim).cast("string").alias("dim"))))
+    base = df.filter(page_filter(df, table, query, filters=()))
+    # Plain names and no lambdas in the plan: both would make its second use look like another exchange.
+    keys = {f"_key_{i}": (k, e) for i, (k, e) in enumerate(series_keys.items())}
+    rows = base.select(*[F.expr(e).alias(n) for n, (_, e) in keys.items()], bucket(table.time, query.range.step).alias("t"),
+                       F.explode(F.array(*entries)).alias("e"), *[c.alias(n) for n, c in row_counters(table).items()])
+    groups = rows.filter(F.col("e").isNotNull()).groupBy(*keys, "t", F.col("e.facet").alias("facet"), F.col("e.dim").alias("dim")).agg(*resum())
+    return groups.withColumnsRenamed({n: k for n, (k, _) in keys.items()})
+
+
+def _contrast_spans(groups: DataFrame, spans: DataFrame, names: Sequence[str], keys: Sequence[str], ids: Sequence[str],
+                    step: timedelta, rows: int) -> DataFrame:
+    """``within`` and ``without`` of both counters of a span's measure, for the ``rows`` values that lead in it.
+
+    ``spans``: ``keys``, ``ids``, ``measure``, ``start_time``, ``end_time`` (starts of its first and last bucket).
+    Facts were reduced to buckets, and a span is the buckets it covers: membership is an equality. Values that
+    do not occur in a span follow those that do, in their own order; the first few of each measure are enough to
+    fill every list, so no span meets all values of a facet.
+    """
+    width = F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(step.total_seconds()))
+    named = [*keys, *ids, "measure"]
+    covered = spans.select(*named, F.explode(F.sequence("start_time", "end_time", width)).alias("t"))
+
+    def counted(place: int) -> Column:
+        cases = F.lit(0).cast("bigint")
+        for measure, counters in _MEASURES.items():
+            cases = F.when(F.col("measure") == measure, F.expr(counters[place])).otherwise(cases)
+        return cases
+    met = _same(groups, covered, [*keys, "t"]).withColumns({"w1": counted(0), "w2": counted(1)})
+    inside = met.groupBy(*named, "facet", "dim").agg(F.sum("w1").alias("w1"), F.sum("w2").alias("w2"), F.lit(False).alias("filler"))
+    totals = groups.groupBy(*keys, "facet", "dim").agg(*resum())
+    by_measure = totals.select(*keys, "facet", "dim", F.inline(F.array(*[
+        F.struct(F.lit(m).alias("measure"), F.expr(first).alias("v")) for m, (first, _) in _MEASURES.items()]))).filter("v > 0")
+    first = Window.partitionBy(*keys, "facet", "measure").orderBy("dim")
+    fillers = by_measure.withColumn("nth", F.row_number().over(first)).filter(F.col("nth") <= rows).select(*keys, "facet", "dim", "measure")
+    none = F.lit(0).cast("bigint")
+    listed = spans.select(*named, F.explode(F.array(*[F.lit(n) for n in names])).alias("facet"))
+    filled = _same(fillers, listed, [*keys, "measure", "facet"]).select(*named, "facet", "dim", none.alias("w1"), none.alias("w2"), F.lit(True).alias("filler"))
+    both = inside.unionByName(filled).groupBy(*named, "facet", "dim").agg(F.sum("w1").alias("w1"), F.sum("w2").alias("w2"), F.max("filler").alias("filler"))
+    leading = Window.partitionBy(*named, "facet").orderBy(F.col("w1").desc(), F.col("dim"))
+    top = both.filter("w1 > 0 OR filler").withColumn("place", F.row_number().over(leading)).filter(F.col("place") <= rows)
+    found = _same(top.drop("filler"), totals, [*keys, "facet", "dim"])
+    return found.select(*named, "facet", F.col("place").cast("bigint").alias("place"), "dim", "w1", (counted(0) - F.col("w1")).alias("o1"),
+                        "w2", (counted(1) - F.col("w2")).alias("o2"))
+
+
+def contrast_anomalies(df: DataFrame, table: LogTable, facets: Sequence[Facet], query: Query, anomalies: DataFrame,
+                       series_keys: Mapping[str, str] | None = None, rows: int = CONTRAST_ROWS) -> DataFrame:
+    """What each detected anomaly consists of, over many facets, in one plan and one scan of the facts.
+
+    ``anomalies`` as ``detect`` gives them (series keys, ``rank``, ``category``, ``start_time``, ``end_time``)
+    of series of ``query``. Per anomaly and facet the same rows and counters as ``contrast_anomaly`` gives for its
+    span within the rows of its series, and their ``place``.
+    """
+    keys = list(series_keys or {})
+    groups = facet_buckets(df, table, facets, query, series_keys or {})
+    spans = anomalies.select(*keys, "rank", F.col("category").alias("measure"), "start_time", "end_time")
+    found = _contrast_spans(groups, spans, [f.name for f in facets], keys, ["rank"], query.range.step, rows)
+    return found.select(*keys, "rank", F.col("measure").alias("category"), "facet", "place", "dim", F.col("w1").alias("anomaly_cat_cnt"), F.col("o1").alias("baseline_cat_cnt"),
+                        F.col("w2").alias("anomaly_total_cnt"), F.col("o2").alias("baseline_total_cnt"))
+
+
+def contrast_selections(df: DataFrame, table: LogTable, facets: Sequence[Facet], query: Query, selections: DataFrame,
+                        rows: int = CONTRAST_ROWS) -> DataFrame:
+    """The same for spans that were selected (``selection``, ``start_time``, ``end_time``): requests and errors within and outside.
+
+    Times are taken to the bucket of the range's step they lie in, the last one included.
+    """
+    groups = facet_buckets(df, table, facets, query, {})
+    step = query.range.step
+    spans = selections.select("selection", F.lit("selection").alias("measure"), "end_time", bucket("start_time", step).alias("start_time"))
+    spans = spans.withColumn("end_time", bucket("end_time", step))
+    found = _contrast_spans(groups, spans, [f.name for f in facets], [], ["selection"], step, rows)
+    return found.select("selection", "facet", "place", "dim", F.col("w1").alias("selection_cnt"), F.col("o1").alias("baseline_cnt"),
+                        F.col("w2").alias("selection_err_cnt"), F.col("o2").alias("baseline_err_cnt"))
