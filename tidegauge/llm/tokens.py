@@ -1,17 +1,21 @@
 """Token ids of whole texts, exactly those of the ``tokenizers`` library.
 
 The pre-tokenizers of both vocabularies never put a token across a single space
-between two other characters, so a text is the sequence of its pieces between
-such spaces. Each worker remembers the ids of pieces it has met and hands only
-new ones to the library, many in one call. Memory is bounded: the pieces are
-forgotten when there are too many, which changes the cost, never the ids.
+or line end between two other characters, nor across the border of a letter and
+a mark, so a text is the sequence of its pieces between such places. Each worker
+remembers the ids of pieces it has met and asks the library for new ones: its
+model where a piece is one word of letters that every Unicode version knows,
+which spares normaliser and pre-tokenizer, else the whole library. Memory is
+bounded: the pieces are forgotten when there are too many, which changes the
+cost, never the ids.
 """
 
 from __future__ import annotations
 
 import os
 import re
-from itertools import chain
+from array import array
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -21,17 +25,44 @@ from pyspark.sql import functions as F
 from tidegauge.llm.common import map_batches
 
 #: Pieces a worker remembers, and the length of those worth remembering.
-REMEMBERED = 1_000_000
+REMEMBERED = 600_000
 LONGEST = 64
-#: New pieces given to the library in one text.
-JOINED = 512
-#: A character no piece that is encoded together with others may hold; it parts them.
-PART = "\x00"
 #: A space is a cut only between characters that are no white space.
 INNER = re.compile(r"(?<=\S) (?=\S)")
 RARE_SPACE = re.compile(r"[^\S \n]")
 #: Both pre-tokenizers part a letter from such a mark, and keep a run of them together.
 MARKS = ".,;:!?*#$%&|()\"-"
+#: Letters below are the same in every Unicode version, composed, and (but for one) lower-cased to one letter.
+LETTERS_END, TWO_LOWER = "\u0250", "\u0130"
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in a byte-level vocabulary: itself where it prints, else one from 256 on."""
+    prints = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = [b for b in range(256) if b not in prints]
+    return {b: chr(b) if b in prints else chr(256 + others.index(b)) for b in range(256)}
+
+
+BYTE_LETTERS = _byte_letters()
+
+
+class _Pieces(dict):
+    """Ids of pieces, found when first asked for."""
+
+    def __init__(self, find: Callable[[str], bytes]):
+        super().__init__()
+        self.find, self.before = find, {}
+
+    def __missing__(self, piece: str) -> bytes:
+        found = self.before.get(piece) or self.find(piece)
+        if len(piece) <= LONGEST:
+            self[piece] = found
+        return found
+
+    def age(self) -> None:
+        """Forgets what was not asked for since the last time."""
+        self.before = dict(self)
+        self.clear()
 
 
 class Encoder:
@@ -47,14 +78,31 @@ class Encoder:
         from tokenizers import Tokenizer
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
+        self.model = self.library.model
         self.spaced = spaced
-        self.known: dict[str, bytes] = {}
-        self.heads: dict[str, bytes] = {}
-        self.marks: dict[str, bytes] = {}
-        self.part = self._whole(PART)
+        self.line, self.lead = self._whole("\n"), BYTE_LETTERS[32] if spaced else ""
+        self.known = _Pieces(lambda piece: self._ids(piece, self.known, self.lead))
+        self.heads = _Pieces(lambda piece: self._ids(piece, self.heads, ""))  # pieces without a space before them
+        self.marks = _Pieces(self._whole)
 
     def _whole(self, text: str) -> bytes:
-        return np.asarray(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return _raw(self.library.encode(text, add_special_tokens=False).ids)
+
+    def _ids(self, piece: str, known: _Pieces, lead: str) -> bytes:
+        """Ids of a piece from those of its lines, of its word and the marks behind it, or from the library."""
+        if piece.isalpha() and (piece.isascii() or max(piece) < LETTERS_END and TWO_LOWER not in piece):
+            word = piece if self.spaced else piece.lower()
+            if not word.isascii():
+                word = word.encode().decode("latin-1").translate(BYTE_LETTERS)
+            return array("I", [t.id for t in self.model.tokenize(lead + word)]).tobytes()
+        if "\n" in piece:
+            lines = piece.split("\n")
+            if all(lines) and not any(x[0].isspace() or x[-1].isspace() for x in lines):
+                return known[lines[0]] + b"".join([self.line + self.heads[x] for x in lines[1:]])
+        core = piece.rstrip(MARKS)
+        if core != piece and core and core[-1].lower()[-1].isalpha():
+            return known[core] + self.marks[piece[len(core):]]
+        return self._whole(" " + piece if lead else piece)
 
     def pieces(self, text: str) -> list[str]:
         """Joined with a space they are the text (without ``spaced``: but for white space)."""
@@ -64,43 +112,19 @@ class Encoder:
         return INNER.split(text) if uneven else text.split(" ")
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        split = [self.pieces(_plain(text)) for text in texts]
-        heads = [pieces.pop(0) if self.spaced else "" for pieces in split]  # the only ones without a space before them
-        for head in set(heads).difference(self.heads):
-            self.heads[head] = self._whole(head)
-        self._learn(set(chain.from_iterable(split)).difference(self.known))
-        get = self.known.__getitem__
-        out = [self.heads[head] + b"".join(map(get, pieces)) for head, pieces in zip(heads, split, strict=True)]
-        if len(self.known) + len(self.heads) + len(self.marks) > REMEMBERED:
-            self.known, self.heads, self.marks = {}, {}, {}
+        known, out = self.known.__getitem__, []
+        for text in texts:
+            pieces = self.pieces(_plain(text))
+            head = self.heads[pieces.pop(0)] if self.spaced else b""
+            out.append(head + b"".join(map(known, pieces)))
+        if len(self.known) + len(self.heads) + len(self.marks) > REMEMBERED // 2:
+            for pieces in (self.known, self.heads, self.marks):
+                pieces.age()
         return out
 
-    def _learn(self, new: set[str]) -> None:
-        """Words with marks behind them are the word and the marks; the library sees each word once."""
-        known, cores = self.known, {}
-        for piece in new:
-            core = piece.rstrip(MARKS)
-            if core != piece and core and core[-1].lower()[-1].isalpha():
-                cores[piece] = core
-        asked = new.difference(cores).union(c for c in cores.values() if c not in known)
-        plain = [p for p in asked if PART not in p and len(p) <= LONGEST and p and p == p.strip()]
-        lead = " " if self.spaced else ""
-        for p in asked.difference(plain):
-            known[p] = self._whole(lead + p)
-        gap = "\n" + PART + "\n " if self.spaced else " " + PART + " "
-        mark, edge = np.frombuffer(self.part, "<u4")[0], 1 if self.spaced else 0
-        for marks in {p[len(c):] for p, c in cores.items()}.difference(self.marks):
-            self.marks[marks] = self._whole(marks)
-        joined = [plain[i:i + JOINED] for i in range(0, len(plain), JOINED)]
-        found = self.library.encode_batch_fast([lead + gap.join(g) for g in joined], add_special_tokens=False)
-        for group, one in zip(joined, found, strict=True):
-            ids = np.asarray(one.ids, "<u4")
-            cuts = np.flatnonzero(ids == mark)
-            starts, stops = [0, *(cuts + 1 + edge).tolist()], [*(cuts - edge).tolist(), ids.size]
-            raw = ids.tobytes()
-            known.update(zip(group, (raw[4 * a:4 * b] for a, b in zip(starts, stops, strict=True)), strict=True))
-        for piece, core in cores.items():
-            known[piece] = known[core] + self.marks[piece[len(core):]]
+
+def _raw(ids: list[int]) -> bytes:
+    return np.asarray(ids, "<u4").tobytes()
 
 
 def _plain(text: str | None) -> str:
@@ -122,7 +146,7 @@ def encoder(path: str, spaced: bool) -> Encoder:
 
 
 #: Texts of one batch are encoded in groups of about so many characters.
-GROUP_CHARS = 4_000_000
+GROUP_CHARS = 1_000_000
 
 
 def groups(texts: list[str | None]) -> list[list[str | None]]:
