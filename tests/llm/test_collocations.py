@@ -47,10 +47,11 @@ def texts(seed, n):
         yield i // 2, rng.choice([" ", "  ", "; "]).join(parts), rng.choice(["en", "en", "fr", None, "", "und"])
 
 
-@pytest.mark.parametrize("block", [c.BLOCK, 50, 7])
-def test_against_brute_force(spark, monkeypatch, block):
-    """Whole relation, small blocks, and blocks shorter than texts and nearly as short as phrases."""
+@pytest.mark.parametrize("block, broadcast", [(c.BLOCK, 0), (7, c.BROADCAST), (7, 0)])
+def test_against_brute_force(spark, monkeypatch, block, broadcast):
+    """Whole blocks, and blocks shorter than texts and nearly as short as phrases, with either way of the semi-join."""
     monkeypatch.setattr(c, "BLOCK", block)
+    monkeypatch.setattr(c, "BROADCAST", broadcast)
     rows = [*texts(1, 150), (None, None, "en"), (9, "", "de"), (10, "a b c d e " * 300, "fr"), (10, "a b c d e " * 300, "fr")]
     df = spark.createDataFrame(rows, SCHEMA).repartition(3)
     got = c.collocations(df, least=5, top=40)

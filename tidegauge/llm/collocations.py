@@ -13,8 +13,9 @@ pieces are a position apart, so neighbouring positions lie in one piece. A round
    parts are frequent. Both inputs are sorted, so one pass over a block does it.
 
 A block brings its distinct candidates to the count and to the semi-join, not its
-occurrences, and these joins are equi-joins of written tables: a phrase that
-every text holds is one row per block, and adaptive execution can split it.
+occurrences. The semi-join sends up to ``BROADCAST`` frequent phrases to the
+blocks; beyond, it is an equi-join of written tables, where a phrase that every
+text holds is one row per block, and adaptive execution can split it.
 
 A phrase is known by the numbers of its two parts, and those by theirs: counts
 rest on no hash. Scores are integers of up to 38 digits.
@@ -37,23 +38,32 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidegauge.llm.common import written
+from tidegauge.llm.common import map_batches, written
 
 LONGEST = 5
 LEAST = 100
 TOP = 2000
 NO_LANGUAGE = "und"
-#: Words of a block.
-BLOCK = 1 << 17
+#: Positions of a block, words and ends of pieces; with those behind it numbers fit 16 bits.
+BLOCK = (1 << 16) - 8
+#: Blocks' worth of words that a task holds, of all languages together, before it gives them out unfilled.
+LANGUAGES = 8
+#: Frequent phrases of one length that are sent to all tasks, some 10 MB.
+BROADCAST = 1 << 18
+#: Bits of the map of frequent phrases that lets a block's candidates pass, a fixed 2 MB.
+MAP_BITS = 1 << 24
 #: Characters that end a piece; a tab or a space parts words.
 ENDS = b".,;:!?\n\x0b\x0c\r"
 _TABLE = bytes.maketrans(bytes(range(65, 91)) + ENDS + b"\t", bytes(range(97, 123)) + b"\n" * len(ENDS) + b" ")
 
-WORDS = "block long, lang string, own int, pos array<int>, idx array<int>, word array<binary>, n array<int>"
-PAIRS = "block long, lang string, own int, pos array<int>, idx array<int>, a array<long>, b array<long>, n array<int>"
+# ``at`` marks the positions of occurrences, a bit each; ``idx`` numbers their
+# candidates within the block, 16 bits each; ``n`` counts the block's own.
+WORDS = "block long, lang string, own int, at binary, idx binary, word array<binary>, n array<int>"
+PAIRS = "block long, lang string, own int, at binary, idx binary, a array<long>, b array<long>, n array<int>"
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -62,45 +72,76 @@ def tokens(text: str | None) -> list[bytes]:
     return [t for t in raw.replace(b"\n", b" \n ").split(b" ") if t]
 
 
+class _Lines:
+    """Words of one language, numbered, with -1 at the ends of pieces."""
+
+    def __init__(self):
+        self.number: dict[bytes, int] = {b"\n": -1}
+        self.parts: list[np.ndarray] = []
+        self.size = 0
+
+    def add(self, found: list[bytes]) -> None:
+        number = self.number
+        for word in set(found).difference(number):
+            number[word] = len(number) - 1
+        self.parts += [np.fromiter(map(number.__getitem__, found), np.int32, len(found)), np.full(1, -1, np.int32)]
+        self.size += len(found) + 1
+
+    def block(self, name: int, lang: str, own: int | None = None) -> pa.RecordBatch:
+        """All words as a block, of which the first ``own`` positions are its own."""
+        ids, own = np.concatenate(self.parts), self.size if own is None else own
+        words = np.asarray(sorted(self.number.keys() - {b"\n"}), dtype=object)
+        order = np.empty(words.size, np.int32)
+        order[np.fromiter(map(self.number.__getitem__, words), np.int64, words.size)] = np.arange(words.size, dtype=np.int32)
+        pos = np.flatnonzero(ids >= 0)
+        idx = order[ids[pos]]
+        counts = np.bincount(idx[pos < own], minlength=words.size).astype(np.int32)
+        return _row(WORDS, [name, lang, own, *_packed(pos, idx), pa.array(words, pa.binary()), counts])
+
+
 class _Blocks:
     """Collects the words of texts by language and gives them out as blocks."""
 
     def __init__(self, first: int):
         self.next = first
-        self.held: dict[str, list[list[bytes]]] = {}
-        self.size = 0
+        self.held: dict[str, _Lines] = {}
+
+    def _named(self) -> int:
+        self.next += 1
+        return self.next
 
     def add(self, lang: str, found: list[bytes]) -> Iterator[pa.RecordBatch]:
-        for at in range(0, len(found), BLOCK):
-            if len(found) > BLOCK:  # a long text: each part takes along what phrases begun in it need
-                yield self._block(lang, found[at:at + BLOCK + LONGEST - 1], min(BLOCK, len(found) - at))
-            else:
-                self.held.setdefault(lang, []).append(found)
-                self.size += len(found) + 1
-        if self.size >= BLOCK:
+        if len(found) >= BLOCK:  # a long text: each part takes along what phrases begun in it need
+            for at in range(0, len(found), BLOCK):
+                lines = _Lines()
+                lines.add(found[at:at + BLOCK + LONGEST - 1])
+                yield lines.block(self._named(), lang, min(BLOCK, len(found) - at))
+            return
+        if lang in self.held and self.held[lang].size + len(found) >= BLOCK:
+            yield self.held.pop(lang).block(self._named(), lang)
+        self.held.setdefault(lang, _Lines()).add(found)
+        if sum(lines.size for lines in self.held.values()) > LANGUAGES * BLOCK:
             yield from self.flush()
 
     def flush(self) -> Iterator[pa.RecordBatch]:
-        for lang, texts in self.held.items():
-            line = [t for found in texts for t in (*found, b"\n")]
-            yield self._block(lang, line, len(line))
-        self.held, self.size = {}, 0
-
-    def _block(self, lang: str, line: list[bytes], own: int) -> pa.RecordBatch:
-        words = sorted(set(line) - {b"\n"})
-        number = {w: i for i, w in enumerate(words)}
-        number[b"\n"] = -1
-        ids = np.fromiter(map(number.__getitem__, line), np.int32, len(line))
-        pos = np.flatnonzero(ids >= 0).astype(np.int32)
-        idx = ids[pos]
-        counts = np.bincount(idx[pos < own], minlength=len(words)).astype(np.int32)
-        self.next += 1
-        return _row(WORDS, [self.next, lang, own, pos, idx, pa.array(words, pa.binary()), counts])
+        for lang, lines in self.held.items():
+            yield lines.block(self._named(), lang)
+        self.held = {}
+
+
+def _packed(pos: np.ndarray, idx: np.ndarray) -> tuple[bytes, bytes]:
+    marks = np.zeros(int(pos.max(initial=-1)) + 1, bool)
+    marks[pos] = True
+    return np.packbits(marks).tobytes(), idx.astype("<u2").tobytes()
+
+
+def _unpacked(at: bytes, idx: bytes) -> tuple[np.ndarray, np.ndarray]:
+    return np.flatnonzero(np.unpackbits(np.frombuffer(at, np.uint8))), np.frombuffer(idx, "<u2").astype(np.int64)
 
 
 def _row(schema: str, values: list) -> pa.RecordBatch:
     names = [part.split()[0] for part in schema.split(", ")]
-    kinds = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "array<int>": pa.int32(), "array<long>": pa.int64(), "array<binary>": pa.binary()}
+    kinds = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "binary": pa.binary(), "array<int>": pa.int32(), "array<long>": pa.int64(), "array<binary>": pa.binary()}
     arrays = []
     for value, part in zip(values, schema.split(", "), strict=True):
         kind = part.split()[1]
@@ -127,59 +168,168 @@ def occurrences(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, WORDS)
 
 
+def _pairs(block: int, lang: str, own: int, at: bytes, idx: bytes, ids: np.ndarray, place: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """One block's occurrences that stayed, merge-joined with themselves at the adjacent position.
+
+    ``ids``: numbers of the frequent candidates; ``place``: where a candidate's is, -1 for one that is not frequent.
+    """
+    pos, idx = _unpacked(at, idx)
+    now = place[idx]
+    pos, now = pos[now >= 0], now[now >= 0]
+    first = np.flatnonzero(pos[1:] == pos[:-1] + 1)
+    pairs, inverse = np.unique(now[first] << 16 | now[first + 1], return_inverse=True)
+    begin = pos[first]
+    counts = np.bincount(inverse[begin < own], minlength=pairs.size).astype(np.int32)
+    if pairs.size:
+        yield _row(PAIRS, [block, lang, own, *_packed(begin, inverse), ids[pairs >> 16], ids[pairs & 0xFFFF], counts])
+
+
+def _lists(column: pa.ListArray) -> Iterator[pa.Array]:
+    ends = column.offsets.to_numpy()
+    for a, b in zip(ends[:-1], ends[1:], strict=True):
+        yield column.values.slice(a, b - a)
+
+
 def _extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Occurrences that stayed, merge-joined with themselves at the adjacent position."""
+    """Blocks that came with their frequent candidates (place and number)."""
     for batch in batches:
-        block, lang, own = (batch.column(i) for i in range(3))
-        lists = [batch.column(i) for i in range(3, 7)]
-        ends = [c.offsets.to_numpy() for c in lists]
-        pos_, idx_, at_, id_ = (c.values.to_numpy() for c in lists)
-        for i in range(batch.num_rows):
-            pos, idx, at, ids = (v[e[i]:e[i + 1]] for v, e in zip((pos_, idx_, at_, id_), ends, strict=True))
-            place = np.full(int(idx.max(initial=-1)) + 1, -1, np.int64)
-            place[at] = np.arange(at.size)
-            stay = place[idx] >= 0
-            pos, idx = pos[stay], place[idx[stay]]
-            first = np.flatnonzero(pos[1:] == pos[:-1] + 1)
-            pairs, inverse = np.unique(idx[first] * np.int64(max(ids.size, 1)) + idx[first + 1], return_inverse=True)
-            begin = pos[first]
-            counts = np.bincount(inverse[begin < own[i].as_py()], minlength=pairs.size).astype(np.int32)
-            if pairs.size:
-                yield _row(PAIRS, [block[i].as_py(), lang[i].as_py(), own[i].as_py(), begin, inverse.astype(np.int32),
-                                   ids[pairs // ids.size], ids[pairs % ids.size], counts])
+        head = zip(*(batch.column(c).to_pylist() for c in range(5)), strict=True)
+        for (*one, at, idx), stayed, ids in zip(head, _lists(batch.column(5)), _lists(batch.column(6)), strict=True):
+            stayed = stayed.to_numpy()
+            place = np.full(max(int(np.frombuffer(idx, "<u2").max(initial=0)), int(stayed.max(initial=0))) + 1, -1, np.int64)
+            place[stayed] = np.arange(stayed.size)
+            yield from _pairs(*one, at, idx, ids.to_numpy(), place)
+
+
+class _Known:
+    """Numbers of all frequent phrases, for tasks that look a block's candidates up where they are."""
+
+    def __init__(self, keys: list[pa.Array], ids: pa.Array):
+        self.by_word: dict | None = None
+        order = np.arange(len(ids))
+        if len(keys) == 2 and not pa.types.is_integer(keys[0].type):
+            self.by_word = dict(zip(zip(*(k.to_pylist() for k in keys), strict=True), ids.to_pylist(), strict=True))
+        else:
+            packed = keys[0].to_numpy() << 32 | keys[1].to_numpy()  # numbers are gapless and few here
+            order = np.argsort(packed)
+            self.packed = packed[order]
+        self.ids = ids.to_numpy()[order]
+
+    def look_up(self, lang: str, keys: list[pa.Array]) -> np.ndarray:
+        """Numbers of a block's candidates, -1 for those that are not frequent."""
+        if self.by_word is not None:
+            return np.fromiter((self.by_word.get((lang, w), -1) for w in keys[0].to_pylist()), np.int64, len(keys[0]))
+        packed = keys[0].to_numpy() << 32 | keys[1].to_numpy()
+        at = np.minimum(np.searchsorted(self.packed, packed), max(self.packed.size - 1, 0))
+        return np.where(self.packed[at] == packed, self.ids[at], -1) if self.packed.size else np.full(packed.size, -1, np.int64)
 
 
 def _frequent(relation: DataFrame, key: list[str], least: int) -> DataFrame:
-    """``lang``, ``key``, count ``f`` and a number ``id`` of candidates that occur often enough."""
-    each = relation.select("lang", F.explode(F.arrays_zip(*key, "n")).alias("c")).select("lang", *[F.col(f"c.{k}").alias(k) for k in key], F.col("c.n").alias("n"))
-    counted = each.groupBy("lang", *key).agg(F.sum("n").alias("f")).where(F.col("f") >= least)
-    return written(counted.withColumn("id", F.monotonically_increasing_id()), "frequent")
+    """``key``, count ``f`` and a gapless number ``id`` of candidates that occur often enough."""
+    own = [c for c in key if c != "lang"]
+    each = relation.select("lang", F.explode(F.arrays_zip(*own, "n")).alias("c")).select("lang", *[F.col(f"c.{k}").alias(k) for k in own], F.col("c.n").alias("n"))
+    counted = each.groupBy(*key).agg(F.sum("n").alias("f")).where(F.col("f") >= least)
+    found = written(counted.withColumn("at", F.monotonically_increasing_id()), "frequent", "zstd")
+    # One count per partition: small numbers are what shuffles of pairs compress well.
+    sizes = sorted((r["p"], r["n"]) for r in found.groupBy(F.shiftright("at", 33).alias("p")).agg(F.count("*").alias("n")).collect())
+    starts = np.zeros(max((p for p, _ in sizes), default=0) + 2, np.int64)
+    starts[[p + 1 for p, _ in sizes]] = [n for _, n in sizes]
+    before = F.split(F.lit(",".join(map(str, np.cumsum(starts).tolist()))), ",")
+    number = F.element_at(before, (F.shiftright("at", 33) + 1).cast("int")).cast("long") + F.col("at").bitwiseAND(F.lit((1 << 33) - 1))
+    return found.select(*key, "f", number.alias("id"))
+
+
+def _mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    mixed = a.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + b.astype(np.uint64)
+    mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return (mixed >> np.uint64(32)).astype(np.int64) % MAP_BITS
+
+
+def _slots(columns: list[pa.Array]) -> np.ndarray:
+    """Place in the map of words (of any language) or pairs."""
+    if len(columns) == 2:
+        return _mixed(*(c.to_numpy(zero_copy_only=False) for c in columns))
+    words = columns[0].to_pylist()
+    return _mixed(np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words)), np.zeros(len(words), np.uint64))
+
+
+def _passed(relation: DataFrame, frequent: DataFrame, key: list[str]) -> DataFrame:
+    """``block``, ``lang``, ``at`` and ``key`` of candidates that may be frequent: all frequent ones and a few others.
+
+    The map of frequent phrases has a fixed size; a fuller one lets more pass, and the join after it is exact.
+    """
+    own = [c for c in key if c != "lang"]
+
+    def words():
+        def one(batch: pa.RecordBatch) -> pa.RecordBatch:
+            slots = np.unique(_slots(batch.columns))
+            return pa.RecordBatch.from_arrays([pa.array(slots >> 6), pa.array(np.left_shift(np.int64(1), slots & 63))], ["word", "bits"])
+        return one
+    bits = np.zeros(MAP_BITS // 64, np.int64)
+    for r in map_batches(frequent.select(*own), "word long, bits long", words).groupBy("word").agg(F.bit_or("bits").alias("bits")).collect():
+        bits[r["word"]] = r["bits"]
+    shared = relation.sparkSession.sparkContext.broadcast(bits)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = shared.value
+        for batch in batches:
+            ends = batch.column(2).offsets.to_numpy()
+            flat = [batch.column(i + 2).values.slice(ends[0], ends[-1] - ends[0]) for i in range(len(own))]
+            slots = _slots(flat)
+            hit = np.flatnonzero(np.right_shift(found[slots >> 6], slots & 63) & 1)
+            starts = ends - ends[0]
+            row = np.searchsorted(starts, hit, side="right") - 1
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), batch.column(1).take(pa.array(row)), pa.array((hit - starts[row]).astype(np.int32)),
+                                              *(c.take(pa.array(hit)) for c in flat)], ["block", "lang", "at", *own])
+    kinds = {"word": "binary", "a": "long", "b": "long"}
+    return relation.select("block", "lang", *own).mapInArrow(run, "block long, lang string, at int, " + ", ".join(f"{k} {kinds[k]}" for k in own))
 
 
 def _extended(relation: DataFrame, frequent: DataFrame, key: list[str]) -> DataFrame:
-    """The relation of phrases one word longer."""
-    each = relation.select("block", "lang", F.posexplode(F.arrays_zip(*key)).alias("at", "c")).select("block", "lang", "at", *[F.col(f"c.{k}").alias(k) for k in key])
-    stay = (each.join(frequent.select("lang", *key, "id"), ["lang", *key])
-            .groupBy(F.col("block").alias("_block")).agg(F.sort_array(F.collect_list(F.struct("at", "id"))).alias("found")))  # as many as a block has words, at most
-    joined = relation.join(stay, F.col("block") == F.col("_block")).select("block", "lang", "own", "pos", "idx", F.col("found.at").alias("at"), F.col("found.id").alias("id"))
-    return written(joined.mapInArrow(_extend, PAIRS), "occurrences")
+    """The relation of phrases one word longer.
+
+    Up to ``BROADCAST`` frequent phrases travel to the blocks, which then stay where they are. More are
+    semi-joined with the blocks' candidates, and what is found is brought to the blocks by a second join.
+    """
+    own = [c for c in key if c != "lang"]
+    if frequent.count() <= BROADCAST:
+        table = frequent.select(*key, "id").toArrow().combine_chunks()
+        columns = [c.combine_chunks() for c in table.columns]
+        shared = relation.sparkSession.sparkContext.broadcast((columns[:-1], columns[-1]))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            known = _Known(*shared.value)
+            for batch in batches:
+                head = zip(*(batch.column(c).to_pylist() for c in range(5)), strict=True)
+                for one, *keys in zip(head, *(_lists(batch.column(5 + i)) for i in range(len(own))), strict=True):
+                    ids = known.look_up(one[1], keys)
+                    there = np.flatnonzero(ids >= 0)
+                    place = np.full(ids.size, -1, np.int64)
+                    place[there] = np.arange(there.size)
+                    yield from _pairs(*one, ids[there], place)
+        return written(relation.select("block", "lang", "own", "at", "idx", *own).mapInArrow(run, PAIRS), "occurrences", "zstd")
+    # Merged at every size: a few more frequent phrases must not turn a broadcast into a shuffle of all blocks.
+    stay = (_passed(relation, frequent, key).join(frequent.select(*key, "id").hint("merge"), key)
+            .groupBy(F.col("block").alias("_block")).agg(F.collect_list(F.struct("at", "id")).alias("found")))  # as many as a block has words, at most
+    joined = (relation.select("block", "lang", "own", F.col("at").alias("marks"), "idx").join(stay.hint("merge"), F.col("block") == F.col("_block"))
+              .select("block", "lang", "own", "marks", "idx", F.col("found.at").alias("at"), F.col("found.id").alias("id")))
+    return written(joined.mapInArrow(_extend, PAIRS), "occurrences", "zstd")
 
 
 def phrases(docs: DataFrame, longest: int = LONGEST, least: int = LEAST) -> tuple[DataFrame, DataFrame]:
     """Frequent phrases (``lang``, ``size``, ``phrase``, ``f``) of 1 to ``longest`` (at most ``LONGEST``) words, and the words ``n`` of each language."""
-    relation = written(occurrences(docs), "occurrences")
+    relation = written(occurrences(docs), "occurrences", "zstd")
     totals = written(relation.groupBy("lang").agg(F.sum(F.aggregate("n", F.lit(0).cast("long"), lambda s, n: s + n)).alias("n")), "totals")
-    frequent = _frequent(relation, ["word"], least)
+    key = ["lang", "word"]
+    frequent = _frequent(relation, key, least)
     last = frequent.select("lang", "id", F.col("word").cast("string").alias("phrase"), F.col("word").cast("string").alias("last"), "f")
     found = last.select("lang", F.lit(1).alias("size"), "phrase", "f")
-    key = ["word"]
     for size in range(2, longest + 1):
         relation = _extended(relation, frequent, key)
         key = ["a", "b"]
         frequent = _frequent(relation, key, least)
-        parts = last.select("id", "phrase", "last")
-        last = written(frequent.join(parts.select(F.col("id").alias("a"), F.col("phrase").alias("front")), "a")
-                       .join(parts.select(F.col("id").alias("b"), "last"), "b")
+        last = written(frequent.join(last.select("lang", F.col("id").alias("a"), F.col("phrase").alias("front")), "a")
+                       .join(last.select(F.col("id").alias("b"), "last"), "b")
                        .select("lang", "id", F.concat_ws(" ", "front", "last").alias("phrase"), "last", "f"), "phrases")
         found = found.union(last.select("lang", F.lit(size).alias("size"), "phrase", "f"))
     return written(found, "phrases"), totals
