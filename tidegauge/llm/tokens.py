@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from tidegauge.llm.common import map_batches
 
 #: Pieces a worker remembers, and the length of those worth remembering.
-REMEMBERED = 600_000
+REMEMBERED = 1_200_000
 LONGEST = 64
 #: A space is a cut only between characters that are no white space.
 INNER = re.compile(r"(?<=\S) (?=\S)")
@@ -34,6 +34,7 @@ RARE_SPACE = re.compile(r"[^\S \n]")
 MARKS = ".,;:!?*#$%&|()\"-"
 #: Letters below are the same in every Unicode version, composed, and (but for one) lower-cased to one letter.
 LETTERS_END, TWO_LOWER = "\u0250", "\u0130"
+OTHER_LETTERS = re.compile(f"[^\\x00-\u024f]|{TWO_LOWER}")
 
 
 def _byte_letters() -> dict[int, str]:
@@ -107,6 +108,8 @@ class Encoder:
     def pieces(self, text: str) -> list[str]:
         """Joined with a space they are the text (without ``spaced``: but for white space)."""
         if not self.spaced:
+            if text.isascii() or not OTHER_LETTERS.search(text):
+                text = text.lower()  # as the vocabulary's normaliser does: a word and its capital are learned once
             return text.replace("\n", " ").split(" ")
         uneven = "  " in text or " \n" in text or "\n " in text or text[:1] == " " or text[-1:] == " " or RARE_SPACE.search(text)
         return INNER.split(text) if uneven else text.split(" ")
