@@ -7,9 +7,9 @@ each labeller is and how likely each combination of votes belongs to a bad
 document. It works on the counts of vote combinations over all documents, a
 table whose size is fixed by the number of labellers.
 
-One labeller's word list is learned: beginnings of words that a bounded sample of
-rows of the ``labels`` table shows almost only in abusive documents. Abuse in a
-language nobody wrote a list for is found that way.
+The labellers of abuse know a word list that is learned: beginnings of words that
+a bounded sample of rows of the ``labels`` table shows almost only in abusive
+documents. Abuse in a language nobody wrote a list for is found that way.
 
 The posterior labels then train a logistic scorer over hashed features of the
 whole text on a bounded sample, and that scorer judges every document.
@@ -17,7 +17,7 @@ whole text on a bounded sample, and that scorer judges every document.
 Defined cases: NULL, empty and blank texts have no features and are rejected as
 broken; equal texts get equal scores; rows that repeat an id are judged each on
 their own; labels that are NULL count as good; without labels the learned list is
-empty and its labeller abstains; an empty table gives no rows; a corpus without a single bad (or good)
+empty and its labellers abstain; an empty table gives no rows; a corpus without a single bad (or good)
 vote combination is judged by the posterior of the votes alone.
 """
 
@@ -36,8 +36,6 @@ from pyspark.sql import functions as F
 
 from tidegauge.llm.common import map_batches, written
 
-#: Words of abuse the lexicon labellers know.
-ABUSE = ("disgusting", "moron", "idiot", "stupid", "trash", "loser", "scum", "clown", "pathetic", "worthless")
 #: Hashed features of the scorer.
 DIMENSIONS = 1 << 16
 #: Documents the scorer is fitted on, at most; chosen by a hash of the text.
@@ -48,12 +46,13 @@ LABELLED = 8_000
 BEGINNINGS, SEEN, STEMS = (4, 5, 6, 8), 8, 256
 #: A document is rejected from this probability of being bad.
 REJECT = 0.5
-#: How much likelier a vote for bad is on a bad than on a good document, at least.
-SURE = 1000
+#: Where the estimation starts: chances of the votes good, none, bad on good and on bad documents, the
+#: share of bad documents, and how many documents this counts as.
+BELIEVED, BAD_SHARE, WEIGHT = ((0.38, 0.1), (0.6, 0.6), (0.02, 0.3)), 0.1, 2.0
 #: Votes: 1 bad, -1 good, 0 abstains.
 LABELLERS = {
     "broken": ("symbols", "capitals", "repeats", "cells", "blank", "letters", "variety", "common"),
-    "abusive": ("lexicon", "stems", "rate", "kinds"),
+    "abusive": ("stems", "rate", "kinds"),
 }
 WORD = re.compile(r"[^\W\d_]+")
 MARKS = re.compile(r"[^\w\s.,;:'\"()\-+=@/]")
@@ -66,14 +65,13 @@ def features(text: str | None, stems: frozenset[str] = frozenset()) -> tuple[dic
     letters = sum(map(len, found))
     counts = Counter(map(str.lower, found))
     n = max(len(pieces), 1)
-    hits = [counts[w] for w in ABUSE if w in counts]
     stemmed = [c for w, c in counts.items() if w[:4] in stems or w[:5] in stems or w[:6] in stems or w[:8] in stems] if stems else []
     return {
         "pieces": len(pieces), "marked": sum(1 for p in pieces if MARKS.search(p)) / n, "cells": pieces.count("|") / n,
         "capitals": sum(map(len, (w for w in found if w.isupper() and len(w) > 1))) / max(letters, 1),
         "repeats": sum(map(eq, pieces, pieces[1:])) / n, "variety": len(counts) / max(len(found), 1),
         "common": max(counts.values(), default=0) / max(len(found), 1), "letters": letters / max(sum(map(len, pieces)), 1),
-        "hits": sum(hits), "stemmed": sum(stemmed), "kinds": max(len(hits), len(stemmed)), "stems": len(stems)}, counts
+        "stemmed": sum(stemmed), "kinds": len(stemmed), "stems": len(stems)}, counts
 
 
 def _vote(bad: bool, good: bool) -> int:
@@ -82,7 +80,7 @@ def _vote(bad: bool, good: bool) -> int:
 
 def votes(f: dict[str, float]) -> dict[str, list[int]]:
     """Votes of the labellers, in the order of ``LABELLERS``."""
-    known, long, abuse = f["pieces"] > 0, f["pieces"] > 20, max(f["hits"], f["stemmed"])
+    known, long, learned = f["pieces"] > 0, f["pieces"] > 20, f["stems"] > 0
     plain = known and f["marked"] < 0.03 and f["capitals"] < 0.03 and f["repeats"] < 0.05 and f["cells"] < 0.02
     return {
         "broken": [
@@ -90,8 +88,8 @@ def votes(f: dict[str, float]) -> dict[str, list[int]]:
             _vote(not known, False), _vote(f["letters"] < 0.6 and long, plain and f["letters"] > 0.9),
             _vote(f["variety"] < 0.02 and long, plain and f["variety"] > 0.3), _vote(f["common"] > 0.6 and long, plain and f["common"] < 0.15)],
         "abusive": [
-            _vote(f["hits"] > 0, False), _vote(f["stemmed"] > max(1, 0.003 * f["pieces"]) or f["stemmed"] > 0.02 * f["pieces"], f["stemmed"] == 0 and f["stems"] > 0 and known),
-            _vote(abuse / max(f["pieces"], 1) > 0.003, abuse == 0), _vote(f["kinds"] > 1, f["kinds"] == 0)],
+            _vote(f["stemmed"] > max(1, 0.003 * f["pieces"]) or f["stemmed"] > 0.02 * f["pieces"], f["stemmed"] == 0 and learned and known),
+            _vote(f["stemmed"] / max(f["pieces"], 1) > 0.003, f["stemmed"] == 0 and learned), _vote(f["kinds"] > 1, f["kinds"] == 0 and learned)],
     }
 
 
@@ -109,26 +107,23 @@ class LabelModel:
         return p[:, 1] / p.sum(axis=1)
 
 
-def fit_labels(patterns: np.ndarray, counts: np.ndarray, rounds: int = 100) -> LabelModel:
+def fit_labels(patterns: np.ndarray, counts: np.ndarray, rounds: int = 500) -> LabelModel:
     """Expectation-maximisation over vote combinations and their counts.
 
     Most labellers know one kind of fault and abstain otherwise, so abstaining
-    is a vote with chances of its own, and the start takes one vote for bad to
-    outweigh several for good. A vote for bad is taken to be ``SURE`` times likelier
-    on a bad document at least, or a fault that one labeller alone knows would be
-    outvoted by all who abstain. Votes for good and abstaining never speak
-    against a document.
+    is a vote with chances of its own. Both classes start from ``BELIEVED``
+    chances, by which votes for bad speak for the bad class, and these count as
+    ``WEIGHT`` documents in each round: a start that tells the classes apart and
+    keeps chances off zero, not a bound on what the votes can teach.
     """
-    bad = np.where((patterns > 0).any(axis=1), 0.9, 0.05)
-    model = LabelModel(0.1, np.full((patterns.shape[1], 3, 2), 1 / 3))
+    believed = np.repeat(np.asarray(BELIEVED)[None], patterns.shape[1], axis=0)
+    model = LabelModel(BAD_SHARE, believed)
+    bad = model.posterior(patterns)
     for _ in range(rounds):
         weight = np.stack([counts * (1 - bad), counts * bad], axis=1)
-        prior = float((weight[:, 1].sum() + 1) / (weight.sum() + 2))
-        table = np.stack([[weight[patterns[:, t] == v].sum(axis=0) + 0.5 for v in (-1, 0, 1)] for t in range(patterns.shape[1])])
-        table = table / table.sum(axis=1, keepdims=True)
-        table[:, 2, 0] = np.minimum(table[:, 2, 0], table[:, 2, 1] / SURE)
-        table[:, :2, 1] = np.minimum(table[:, :2, 1], table[:, :2, 0])
-        model = LabelModel(prior, table)
+        prior = float((weight[:, 1].sum() + WEIGHT * BAD_SHARE) / (weight.sum() + WEIGHT))
+        table = np.stack([[weight[patterns[:, t] == v].sum(axis=0) for v in (-1, 0, 1)] for t in range(patterns.shape[1])]) + WEIGHT * believed
+        model = LabelModel(prior, table / table.sum(axis=1, keepdims=True))
         new = model.posterior(patterns)
         if np.abs(new - bad).max(initial=0) < 1e-6:
             break
