@@ -103,3 +103,35 @@ def test_defined_cases(spark, prose):
     assert repeats.repeated_spans(docs).collect() == []
     assert repeats.repeated_spans(docs.limit(0)).collect() == []
     assert repeats.cut("a b  c d", [{"start_word": 1, "end_word": 3}]) == "a d" and repeats.cut(None, None) is None
+
+
+def test_chunks_do_not_change_matches(spark, prose, monkeypatch):
+    """The suffix array compared a few rows at a time gives the spans of whole ranges, blocks longer than a chunk included."""
+    passage, other = prose(900, 70), prose(901, 55)
+    docs = [(i, f"{prose(i, 40)} {passage} {prose(50 + i, 30)} {other if i % 2 else ''}") for i in range(12)] + [(20, " ".join([passage] * 9)), (21, f"{passage} {passage}")]
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    want = covered(repeats.repeated_spans(frame).collect())
+    for chunk in (1, 5):
+        compare = repeats._compare
+
+        def small(side, chunk=chunk, compare=compare):
+            run = compare(side)
+
+            def with_chunk(batches):
+                from tidegauge.llm import repeats as module
+                module.CHUNK = chunk
+                one_by_one = (b.slice(i, 2) for b in batches for i in range(0, b.num_rows, 2))
+                return run(one_by_one)
+            return with_chunk
+        monkeypatch.setattr(repeats, "_compare", small)
+        assert covered(repeats.repeated_spans(frame).collect()) == want
+        monkeypatch.setattr(repeats, "_compare", compare)
+    assert want == brute(docs)
+
+
+def test_cutting_keeps_clashing_columns(spark, prose):
+    passage = prose(902, 60)
+    frame = spark.createDataFrame([(1, passage, 5, "s", "a"), (2, f"x {passage} y", 6, "t", "b")], "doc_id long, text string, _id int, _spans string, __id string")
+    kept = repeats.without_repeats(frame, repeats.repeated_spans(frame))
+    assert kept.columns == frame.columns
+    assert sorted(tuple(r) for r in kept.collect()) == [(1, passage, 5, "s", "a"), (2, "x y", 6, "t", "b")]

@@ -43,6 +43,8 @@ WINDOW, GRAM = 32, 8
 SURE = MIN_WORDS - WINDOW + 1
 AROUND = WINDOW - 1
 FACTOR = 0x9E3779B97F4A7C15
+#: Sorted suffixes that are compared at once, about 300 bytes each.
+CHUNK = 1 << 16
 #: Windows searched at once; a position within them takes 24 bits.
 BLOCK = 1 << 23
 PLACE = np.uint64((1 << 24) - 1)
@@ -156,8 +158,8 @@ def _same_words(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 MATCHES = "key long, ctx long, doc_id long, place int, first long, most int, before int, behind int"
 
 
-def _matches(table: pa.Table, side: int) -> pa.RecordBatch:
-    """Sorted suffixes with what they share with the nearest row of another document before and behind them.
+def _matches(table: pa.Table, side: int, begin: int, end: int) -> pa.RecordBatch:
+    """Sorted suffixes (rows ``begin`` to ``end``; the others are their neighbours) with what they share with the nearest row of another document before and behind them.
 
     ``before`` and ``behind`` are ``left * (AROUND + 1) + right`` words of matches
     that are long enough, else -1; ``most`` is the largest number of words that
@@ -183,6 +185,7 @@ def _matches(table: pa.Table, side: int) -> pa.RecordBatch:
         pairs.append(pair)
     there = (left, right)[side]
     rows = np.flatnonzero(most + (there != 0).sum(axis=1) + SURE >= MIN_WORDS)
+    rows = rows[(rows >= begin) & (rows < end)]
     taken = table.take(pa.array(rows))
     return pa.RecordBatch.from_arrays([*(taken.column(c).combine_chunks() for c in ("key", "ctx", "doc_id", "place", "first")),
                                        *(pa.array(c[rows], pa.int32()) for c in (most, *pairs))],
@@ -191,9 +194,23 @@ def _matches(table: pa.Table, side: int) -> pa.RecordBatch:
 
 def _compare(side: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [b for b in batches if b.num_rows]  # one range of the suffix array
-        if held:
-            yield _matches(pa.Table.from_batches(held), side)
+        """One range of the suffix array, in chunks that end where another document or key begins."""
+        held, size, begin = [], 0, 0
+        for batch in batches:
+            if batch.num_rows:
+                held.append(batch)
+                size += batch.num_rows
+            if size < CHUNK:
+                continue
+            table = pa.Table.from_batches(held)
+            key, doc = (table.column(c).to_numpy() for c in ("key", "doc_id"))
+            cut = int(np.flatnonzero((doc[1:] != doc[:-1]) | (key[1:] != key[:-1]))[-1:].sum()) + 1
+            if cut > begin + 1:
+                yield _matches(table, side, begin, cut)
+                table, begin = table.slice(cut - 1), 1  # the last row is the neighbour of what follows
+            held, size = table.combine_chunks().to_batches(), table.num_rows
+        if size > begin:
+            yield _matches(pa.Table.from_batches(held), side, begin, size)
     return run
 
 
@@ -221,17 +238,22 @@ def _left_open(matches: list[DataFrame]) -> DataFrame:
 def _equal_windows(around: DataFrame, open_: DataFrame) -> DataFrame:
     """``doc_id``, ``start``, ``end``, ``first`` of windows of ``open_`` that two documents hold, found by equality."""
     open_ = written(open_, "open")
-    # Equal contexts are one row with the smallest and the largest id.
-    contexts = (around.join(open_.select("key").hint("merge"), "key", "left_semi").groupBy("key", "ctx", "right", "left")
-                .agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")))
+    # Equal contexts are one row with the smallest and the largest id, in an exchange of their own: what many
+    # documents hold is folded before it meets its key, and a key with many contexts can be split.
+    contexts = written(around.groupBy("key", "ctx", "right", "left").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")), "folded")
     words = [F.expr("substring(left, 1, 4 * at)"), F.expr(f"substring(right, 1, 4 * ({AROUND} - at))")]
     inside = F.expr(f"(at = 0 OR substring(left, 4 * at - 3, 4) <> X'00000000') AND (at = {AROUND} OR substring(right, 4 * ({AROUND} - at) - 3, 4) <> X'00000000')")
     windows = written(contexts.join(open_.hint("merge"), "key").select("key", "ctx", "right", "left", "lo", "hi", F.explode("lefts").alias("at")).where(inside)
                       .select("key", "ctx", "at", F.xxhash64(*words).alias("hash"), "lo", "hi"), "windows")
-    shared = windows.groupBy("key", "at", "hash").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo < hi").select("key", "at", "hash")
-    found = written(windows.join(shared.hint("merge"), ["key", "at", "hash"]).select("key", "ctx", "at").distinct(), "equal")
+    shared = written(windows.groupBy("key", "at", "hash").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo < hi").select("key", "at", "hash"), "windows")
+    met = windows.join(shared.hint("merge"), ["key", "at", "hash"]).select("key", "ctx", "at")
+    # Windows that follow each other are one stretch: a suffix has a row, not one for each of its windows.
+    ats = met.groupBy("key", "ctx").agg(F.collect_set("at").alias("ats"))
+    ends = [F.array_sort(F.filter("ats", lambda at: ~F.array_contains("ats", at + step))) for step in (-1, 1)]
+    found = written(ats.select("key", "ctx", F.arrays_zip(ends[0].alias("least"), ends[1].alias("most")).alias("stretches")), "equal")
     return (around.select("key", "ctx", "doc_id", "place", "first").join(found.hint("merge"), ["key", "ctx"])
-            .select("doc_id", (F.col("place") - F.col("at")).alias("start"), (F.col("place") - F.col("at") + MIN_WORDS).alias("end"), "first"))
+            .select("doc_id", "place", "first", F.inline("stretches"))
+            .select("doc_id", (F.col("place") - F.col("most")).alias("start"), (F.col("place") - F.col("least") + MIN_WORDS).alias("end"), "first"))
 
 
 def _spans(matches: DataFrame) -> DataFrame:
@@ -265,8 +287,9 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
 
 def without_repeats(docs: DataFrame, spans: DataFrame) -> DataFrame:
     """``docs`` with the words of ``copy`` spans cut out of ``text``; other columns as they are."""
-    listed = spans.where("copy").groupBy(F.col("doc_id").alias("_id")).agg(F.sort_array(F.collect_list(F.struct("start_word", "end_word"))).alias("_spans"))
-    joined = docs.join(listed, docs["doc_id"] == listed["_id"], "left").drop("_id")
+    own = "_" * (max(map(len, docs.columns)) + 1)  # a name that no column has
+    listed = spans.where("copy").groupBy(F.col("doc_id").alias(own + "id")).agg(F.sort_array(F.collect_list(F.struct("start_word", "end_word"))).alias(own + "spans"))
+    joined = docs.join(listed, docs["doc_id"] == listed[own + "id"], "left").drop(own + "id")
     names, at = docs.columns, docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
