@@ -98,6 +98,17 @@ def _(spark, sf):
                         replace(MONTH, top=5), with_other=True)
 
 
+@check("topn_sparse", views("access", sql_breakdown("access", "request_url", n=10, other=True)))
+def _(spark, sf):
+    """Leading values of a facet of many, without shuffling them all."""
+    return bd.sparse_breakdown(v.access(spark, sf), DELIVERY, DELIVERY.facets["paths"], MONTH, with_other=True)
+
+
+@check("topn_sparse_ips", views("access", sql_breakdown("access", "cdn_originating_ip", n=10, other=True, summary="cdn_originating_ip LIKE '%:%'")))
+def _(spark, sf):
+    return Page(DELIVERY, v.access(spark, sf)).breakdown("ips", MONTH, source="sparse")
+
+
 @check("topn", views("access", " UNION ALL ".join(
     f"SELECT * FROM (SELECT {n} AS n, dim, cnt FROM ({groups('access', 'platform_site', MONTH_WHERE + ' AND platform_site <> chr(0)')}) ORDER BY cnt DESC, dim LIMIT {n})"
     for n in (5, 10, 20, 50, 100))))

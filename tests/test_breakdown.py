@@ -236,3 +236,60 @@ def test_facts_are_scanned_once(spark, tmp_path):
         out.collect()
         final = out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
         assert final.count("FileScan") == 1
+
+
+def _counted(spark, counts):
+    """One row per value with its weight, a hash apart, and some with none."""
+    rows = [(v, w, 200 if i % 3 else 503) for i, (v, w) in enumerate(counts)]
+    return spark.createDataFrame(rows, "v string, weight bigint, response_status int").selectExpr("*", "timestamp_ntz '2024-01-01 00:00:30' AS timestamp").repartition(3)
+
+
+@pytest.mark.parametrize("counts", [
+    [(f"v{i}", 1) for i in range(400)],                                              # even
+    [(f"v{i}", 1000 // (i + 1)) for i in range(400)],                                # skewed
+    [(f"v{i}", 50) for i in range(12)] + [(f"w{i}", 49 + i % 2) for i in range(300)],  # many at the bound
+    [(None, 7), ("", 7), ("a", 7)],                                                  # fewer than asked for
+    [(f"x{i}", 3) for i in range(500)] + [("hot", 4)],                               # one above a crowd
+    [(f"z{i}", 0) for i in range(30)],
+    [],
+])
+def test_sparse_breakdown_equals_breakdown(spark, rows, counts):
+    """With as few as four buckets, where values hide behind each other, and with many."""
+    from dataclasses import replace as changed
+    facet = Facet("v", "v", summary="response_status = 503")
+    table = LogTable("t", weight="weight", facets={"v": facet}, hosts=(), owner="v", repo="v")
+    query = Query(TimeRange.free(datetime(2024, 1, 1), datetime(2024, 1, 2)), top=5)
+    df = _counted(spark, counts)
+    for top in (5, 20):
+        asked = changed(query, top=top)
+        want = rows(bd.breakdown(df, table, facet, asked, with_other=True))
+        for buckets in (4, 64, 1 << 16):
+            assert rows(bd.sparse_breakdown(df, table, facet, asked, with_other=True, buckets=buckets)) == want
+
+
+def test_sparse_breakdown_leaves_most_values_where_they_are(spark, monkeypatch):
+    """A long tail of values behind a few leading ones: hardly any value is shuffled, and no third scan is made."""
+    facet = Facet("v", "v")
+    table = LogTable("t", weight="weight", facets={"v": facet}, hosts=(), owner="v", repo="v")
+    query = Query(TimeRange.free(datetime(2024, 1, 1), datetime(2024, 1, 2)), top=5)
+    df = _counted(spark, [(f"tail{i}", 1) for i in range(20_000)] + [(f"head{i}", 500 - i) for i in range(9)])
+    exact, seen = bd._exact_top, []
+
+    def counting(chosen, n):
+        seen.append(chosen.select("dim").distinct().count())
+        return exact(chosen, n)
+    monkeypatch.setattr(bd, "_exact_top", counting)
+    found = bd.sparse_breakdown(df, table, facet, query).collect()
+    assert [r.dim for r in found if r.kind == "value"] == [f"head{i}" for i in range(5)] and found[-1].cnt == 20_000 + sum(500 - i for i in range(9))
+    assert len(seen) == 1 and seen[0] < 300  # of 20,009
+
+
+def test_sparse_breakdown_of_arrays_and_buckets(spark):
+    facet = Facet("v", "v", is_array=True)
+    table = LogTable("t", facets={"v": facet}, hosts=(), owner="o", repo="o")
+    df = spark.createDataFrame([(["a", "b"],), (["a"],), ([],), (None,)], "v array<string>").selectExpr(
+        "v", "'' AS o", "200 AS response_status", "timestamp_ntz '2024-01-01 00:00:30' AS timestamp")
+    query = Query(TimeRange.free(datetime(2024, 1, 1), datetime(2024, 1, 2)), top=5)
+    assert [(r.kind, r.dim, r.cnt) for r in bd.sparse_breakdown(df, table, facet, query).collect()] == [("value", "a", 2), ("value", "b", 1), ("total", None, 3)]
+    with pytest.raises(ValueError):
+        bd.sparse_breakdown(df, table, Facet("n", "n", raw="n", buckets=lambda n, x: x, labels=lambda n: []), query)

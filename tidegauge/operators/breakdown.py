@@ -122,6 +122,68 @@ def bucketed_breakdown(df: DataFrame, table: LogTable, facet: Facet, query: Quer
     return summed.orderBy(F.col("kind").desc(), *order).limit(query.top + 1).drop("lowest")
 
 
+# --- facets of very many values ---------------------------------------------
+
+#: Hash buckets that bound the values' counts, and how many of the heaviest are counted exactly at first.
+SPARSE_BUCKETS, HEAVY_BUCKETS = 1 << 16, 64
+_PLACE = "_place"
+
+
+def _placed(df: DataFrame, table: LogTable, facet: Facet, query: Query, buckets: int) -> DataFrame:
+    rows = _facet_rows(df, table, facet, query)
+    return rows.withColumn(_PLACE, F.pmod(F.xxhash64("dim"), F.lit(buckets)).cast("int"))
+
+
+def _in_buckets(placed: DataFrame, chosen: set[int]) -> DataFrame:
+    """Rows of the chosen buckets, whose number is bounded."""
+    wanted = placed.sparkSession.createDataFrame([(b,) for b in sorted(chosen)], f"{_PLACE} int")
+    return placed.join(F.broadcast(wanted), _PLACE, "left_semi")
+
+
+def _exact_top(rows: DataFrame, n: int) -> list:
+    """The leading values with all their counters, at most ``n`` rows."""
+    return rows.groupBy("dim").agg(*resum(_measures(rows))).orderBy(*by_count()).limit(n).collect()
+
+
+def sparse_breakdown(df: DataFrame, table: LogTable, facet: Facet, query: Query, with_other: bool = False,
+                     buckets: int = SPARSE_BUCKETS) -> DataFrame:
+    """``breakdown`` of a facet with very many values, without shuffling all of them.
+
+    1. Counters per hash bucket of the value: the shuffle holds ``buckets`` rows per task
+       at most, the totals are their sum, and no value counts more than its bucket.
+    2. The values of the heaviest buckets are counted exactly. The last of the
+       leading ones bounds from below what a value needs to be among them.
+    3. Buckets that reach the bound and were not counted yet are counted with the others.
+
+    The result is exact whatever the counts look like. With the usual few leading
+    values, step 3 has nothing to do: two scans of the value's and the counters'
+    columns instead of a shuffle as large as the facet. With even counts most
+    buckets reach the bound and all values are shuffled as ``breakdown`` does,
+    after scans that bought nothing: use it for facets known to be ``high_cardinality``.
+    Counts must not be negative. Runs at once, as each step decides the next; what
+    reaches the driver is bounded by ``buckets`` and the rows shown.
+    """
+    if facet.buckets:
+        raise ValueError(f"facet {facet.name!r} has few values")
+    placed = _placed(df, table, facet, query, buckets)
+    names = _measures(placed)
+    sums_ = {r[_PLACE]: r for r in placed.groupBy(_PLACE).agg(*resum(names)).collect()}
+    by_weight = sorted(sums_, key=lambda b: (-sums_[b]["cnt"], b))
+    counted = set(by_weight[:max(HEAVY_BUCKETS, 4 * query.top)])
+    top = _exact_top(_in_buckets(placed, counted), query.top)
+    bound = top[-1]["cnt"] if len(top) == query.top else None
+    needed = {b for b in by_weight if bound is None or sums_[b]["cnt"] >= bound}
+    if not needed <= counted:
+        top = _exact_top(_in_buckets(placed, needed) if len(needed) < len(sums_) else placed, query.top)
+    total = {n: sum(r[n] for r in sums_.values()) for n in names}
+    rows = [(VALUE, r["dim"], *(r[n] for n in names)) for r in top] + [(TOTAL, None, *(total[n] for n in names))]
+    rest = {n: total[n] - sum(r[n] for r in top) for n in names}
+    if with_other and rest["cnt"] > 0:
+        rows.append((OTHER, None, *(rest[n] for n in names)))
+    kind = placed.schema["dim"].dataType.simpleString()
+    return df.sparkSession.createDataFrame(rows, f"kind string, dim {kind}, " + ", ".join(f"{n} bigint" for n in names))
+
+
 def fill_labels(result: DataFrame, labels: Sequence[str]) -> DataFrame:
     """One row per expected label, in label order (``idx``), zeros where absent."""
     spark = result.sparkSession

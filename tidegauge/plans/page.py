@@ -33,8 +33,13 @@ class Page:
         return anomaly.detect_fresh(self.series(query, keys), keys, as_of)
 
     def breakdown(self, facet_name: str, query: Query, source: str = "auto", with_other: bool = True) -> DataFrame:
-        """Top values of one facet with totals, from the cheapest source that has them."""
+        """Top values of one facet with totals, from the cheapest source that has them.
+
+        ``source``: ``auto``, ``rollup``, ``raw``, or ``sparse`` for facets of very many values.
+        """
         facet = self.table.facets[facet_name]
+        if source == "sparse":
+            return breakdown.sparse_breakdown(self.facts, self.table, facet, query, with_other)
         if breakdown.own_values(facet, query) and not facet.buckets:
             if source == "rollup":
                 raise ValueError(f"the roll-up does not cover facet {facet.name!r} under its own filter")
