@@ -52,6 +52,8 @@ NO_LANGUAGE = "und"
 BLOCK = (1 << 16) - 8
 #: Blocks' worth of words that a task holds, of all languages together, before it gives them out unfilled.
 LANGUAGES = 8
+#: Bytes of the Arrow batches of texts and blocks.
+BATCH = 8 << 20
 #: Frequent phrases of one length that are sent to all tasks, some 10 MB.
 BROADCAST = 1 << 18
 #: Bits of the map of frequent phrases that lets a block's candidates pass, a fixed 2 MB.
@@ -307,18 +309,18 @@ def _extended(relation: DataFrame, frequent: DataFrame, key: list[str]) -> DataF
                     place = np.full(ids.size, -1, np.int64)
                     place[there] = np.arange(there.size)
                     yield from _pairs(*one, ids[there], place)
-        return written(relation.select("block", "lang", "own", "at", "idx", *own).mapInArrow(run, PAIRS), "occurrences", "zstd")
+        return written(relation.select("block", "lang", "own", "at", "idx", *own).mapInArrow(run, PAIRS), "occurrences", "zstd", BATCH)
     # Merged at every size: a few more frequent phrases must not turn a broadcast into a shuffle of all blocks.
     stay = (_passed(relation, frequent, key).join(frequent.select(*key, "id").hint("merge"), key)
             .groupBy(F.col("block").alias("_block")).agg(F.collect_list(F.struct("at", "id")).alias("found")))  # as many as a block has words, at most
     joined = (relation.select("block", "lang", "own", F.col("at").alias("marks"), "idx").join(stay.hint("merge"), F.col("block") == F.col("_block"))
               .select("block", "lang", "own", "marks", "idx", F.col("found.at").alias("at"), F.col("found.id").alias("id")))
-    return written(joined.mapInArrow(_extend, PAIRS), "occurrences", "zstd")
+    return written(joined.mapInArrow(_extend, PAIRS), "occurrences", "zstd", BATCH)
 
 
 def phrases(docs: DataFrame, longest: int = LONGEST, least: int = LEAST) -> tuple[DataFrame, DataFrame]:
     """Frequent phrases (``lang``, ``size``, ``phrase``, ``f``) of 1 to ``longest`` (at most ``LONGEST``) words, and the words ``n`` of each language."""
-    relation = written(occurrences(docs), "occurrences", "zstd")
+    relation = written(occurrences(docs), "occurrences", "zstd", BATCH)
     totals = written(relation.groupBy("lang").agg(F.sum(F.aggregate("n", F.lit(0).cast("long"), lambda s, n: s + n)).alias("n")), "totals")
     key = ["lang", "word"]
     frequent = _frequent(relation, key, least)

@@ -20,10 +20,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def written(df: DataFrame, purpose: str, codec: str | None = None) -> DataFrame:
-    """``df`` as a table in the shared folder: cuts the lineage, survives lost executors."""
-    path = shared_folder(df.sparkSession, purpose)
-    (df.write.option("compression", codec) if codec else df.write).parquet(path)
+#: Bytes of an Arrow batch; a setting of the session that is read when a query runs.
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def written(df: DataFrame, purpose: str, codec: str | None = None, batch_bytes: int | None = None) -> DataFrame:
+    """``df`` as a table in the shared folder: cuts the lineage, survives lost executors.
+
+    ``batch_bytes`` bounds the Arrow batches that its Python tasks are given.
+    """
+    path, conf = shared_folder(df.sparkSession, purpose), df.sparkSession.conf
+    before = conf.get(BATCH_BYTES)
+    try:
+        if batch_bytes:
+            conf.set(BATCH_BYTES, str(batch_bytes))
+        (df.write.option("compression", codec) if codec else df.write).parquet(path)
+    finally:
+        conf.set(BATCH_BYTES, before)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
