@@ -164,9 +164,11 @@ def _(spark, sf):
 
 
 @check("flt_having", views("access", """
-    SELECT domain, count(*) AS n FROM (SELECT lower(rtrim(split_part(trim(split_part(request_headers_x_forwarded_host, ',', 1), ' '), ':', 1), '.')) AS domain FROM access)
-    GROUP BY 1 HAVING NOT regexp_full_match(domain, '[0-9.]+') AND domain NOT IN ('example.live', 'shop3.example.com')
-      AND domain NOT LIKE '%.example.reviews' AND regexp_full_match(domain, '[a-z0-9][a-z0-9.-]+\\.[a-z]{2,}')"""))
+    WITH named AS (SELECT regexp_extract(lower(request_headers_x_forwarded_host), '^ *([^,: ]*?)[.]?(?:[:, ].*)?$', 1) AS domain FROM access)
+    SELECT domain, count(*) AS n FROM named
+    WHERE regexp_matches(domain, '^[a-z0-9][a-z0-9.-]+[.][a-z][a-z]+$') AND NOT list_contains(['example.live', 'shop3.example.com'], domain)
+      AND NOT ends_with(domain, '.example.reviews')
+    GROUP BY domain"""))
 def _(spark, sf):
     counts = (v.access(spark, sf).groupBy(domains.forwarded_domain("request_headers_x_forwarded_host").alias("domain"))
               .agg(F.count(F.lit(1)).alias("n")))
@@ -260,9 +262,9 @@ def _(spark, sf):
     return _by_member(_resolved(spark, sf))
 
 
-@check("json_merge_patch", _config(_by_member_sql("(SELECT org, site, features, limits FROM resolved WHERE features <> '')")))
+@check("json_merge_patch", _config(_by_member_sql("(SELECT org, site, features, limits FROM resolved)")))
 def _(spark, sf):
-    return _by_member(_resolved(spark, sf).select("org", "site", "features", "limits").filter("features <> ''"))
+    return _by_member(_resolved(spark, sf).select("org", "site", "features", "limits"))
 
 
 _FIELDS = (*configs.INHERITED_TEXT, "folders", *configs.INHERITED_JSON)

@@ -507,11 +507,11 @@ _bucketed("bucket_admin_duration", "app_log", APP_LOGS, "admin-duration", _enric
 
 @check("join_fill_labels", views("access", f"""
     WITH labels AS (SELECT * FROM (VALUES {', '.join(f"({i}, '{x}')" for i, x in enumerate(bk.elapsed_labels(20)))}) l(idx, dim)),
-    g AS (SELECT {bk.elapsed_buckets(20, 'cdn_time_elapsed_msec')} AS dim, {counters()} FROM access WHERE {MONTH_WHERE} AND client_asn = 3 GROUP BY 1)
+    g AS (SELECT {bk.elapsed_buckets(20, 'cdn_time_elapsed_msec')} AS dim, {counters()} FROM access WHERE {MONTH_WHERE} GROUP BY 1)
     SELECT idx, dim, {', '.join(f'coalesce({c}, 0) AS {c}' for c in COUNTERS)} FROM labels LEFT JOIN g USING (dim)"""))
 def _(spark, sf):
     facet = replace(DELIVERY.facets["time-elapsed"], summary=None)
-    result = bd.breakdown(v.access(spark, sf), DELIVERY, facet, replace(MONTH, top=20, where="client_asn = 3"))
+    result = bd.breakdown(v.access(spark, sf), DELIVERY, facet, replace(MONTH, top=20))
     return bd.fill_labels(result, facet.labels(20))
 
 
