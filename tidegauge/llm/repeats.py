@@ -223,21 +223,25 @@ def _neighbours(around: DataFrame, side: int) -> DataFrame:
 
 
 def _left_open(matches: list[DataFrame]) -> DataFrame:
-    """``key``, ``lefts``: how many words left of the key the windows of ``MIN_WORDS`` words begin that may be shared and that no match covers."""
-    right, left = (m.select("key", "ctx", "doc_id", "place", F.col("most").alias(own), F.lit(None).cast("int").alias(other), F.array("before", "behind").alias("pairs"))
+    """``key``, ``ctx``, ``doc_id``, ``place``, ``first``, ``lefts``: how many words left of a suffix's key the windows of ``MIN_WORDS`` words begin that may be shared and that no match covers."""
+    right, left = (m.select("key", "ctx", "doc_id", "place", "first", F.col("most").alias(own), F.lit(None).cast("int").alias(other), F.array("before", "behind").alias("pairs"))
                    for m, own, other in zip(matches, ("r", "l"), ("l", "r"), strict=True))
-    both = right.unionByName(left).groupBy("key", "ctx", "doc_id", "place").agg(F.max("r").alias("r"), F.max("l").alias("l"), F.flatten(F.collect_set("pairs")).alias("pairs"))
+    both = right.unionByName(left).groupBy("key", "ctx", "doc_id", "place").agg(
+        F.min("first").alias("first"), F.max("r").alias("r"), F.max("l").alias("l"), F.flatten(F.collect_set("pairs")).alias("pairs"))
 
     def covered(at):
         return F.exists("pairs", lambda p: (p >= 0) & (at <= F.floor(p / (AROUND + 1))) & (F.lit(AROUND) - at <= p % (AROUND + 1)))
     lefts = F.filter(F.sequence(F.lit(AROUND) - F.col("r"), F.col("l")), lambda at: ~covered(at))
-    found = both.where(F.col("r") + F.col("l") >= AROUND).select("key", F.explode(lefts).alias("at"))
-    return found.groupBy("key").agg(F.collect_set("at").alias("lefts"))
+    return both.where(F.col("r") + F.col("l") >= AROUND).select("key", "ctx", "doc_id", "place", "first", lefts.alias("lefts")).where(F.size("lefts") > 0)
 
 
-def _equal_windows(around: DataFrame, open_: DataFrame) -> DataFrame:
-    """``doc_id``, ``start``, ``end``, ``first`` of windows of ``open_`` that two documents hold, found by equality."""
-    open_ = written(open_, "open")
+def _equal_windows(around: DataFrame, own: DataFrame) -> DataFrame:
+    """``doc_id``, ``start``, ``end``, ``first`` of windows left open (``own``) that two documents hold, found by equality.
+
+    All contexts of a key are looked through, but only suffixes with windows of their own left open get rows.
+    """
+    own = written(own, "open")
+    open_ = written(own.select("key", F.explode("lefts").alias("at")).groupBy("key").agg(F.collect_set("at").alias("lefts")), "open-keys")
     # Equal contexts are one row with the smallest and the largest id, in an exchange of their own: what many
     # documents hold is folded before it meets its key, and a key with many contexts can be split.
     contexts = written(around.groupBy("key", "ctx", "right", "left").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")), "folded")
@@ -248,11 +252,10 @@ def _equal_windows(around: DataFrame, open_: DataFrame) -> DataFrame:
     shared = written(windows.groupBy("key", "at", "hash").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo < hi").select("key", "at", "hash"), "windows")
     met = windows.join(shared.hint("merge"), ["key", "at", "hash"]).select("key", "ctx", "at")
     # Windows that follow each other are one stretch: a suffix has a row, not one for each of its windows.
-    ats = met.groupBy("key", "ctx").agg(F.collect_set("at").alias("ats"))
+    found = written(met.groupBy("key", "ctx").agg(F.collect_set("at").alias("ats")), "equal")
+    held = own.join(found.hint("merge"), ["key", "ctx"]).withColumn("ats", F.array_intersect("ats", "lefts"))
     ends = [F.array_sort(F.filter("ats", lambda at: ~F.array_contains("ats", at + step))) for step in (-1, 1)]
-    found = written(ats.select("key", "ctx", F.arrays_zip(ends[0].alias("least"), ends[1].alias("most")).alias("stretches")), "equal")
-    return (around.select("key", "ctx", "doc_id", "place", "first").join(found.hint("merge"), ["key", "ctx"])
-            .select("doc_id", "place", "first", F.inline("stretches"))
+    return (held.select("doc_id", "place", "first", F.inline(F.arrays_zip(ends[0].alias("least"), ends[1].alias("most"))))
             .select("doc_id", (F.col("place") - F.col("most")).alias("start"), (F.col("place") - F.col("least") + MIN_WORDS).alias("end"), "first"))
 
 
