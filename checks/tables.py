@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import replace
 from datetime import datetime, timedelta
 from functools import reduce
@@ -16,7 +17,8 @@ from tidegauge.functions import classify
 from tidegauge.operators import configs, domains, listing, lookups
 from tidegauge.operators import timeseries as ts
 from tidegauge.plans.dashboards import AUTHORING_WORKERS, DELIVERY
-from tidegauge.sources import config_dump
+from tidegauge.session import shared_folder
+from tidegauge.sources import config_dump, snapshots
 from tidegauge.spec import Query, TimeRange
 
 MONTH = Query(v.MONTH, top=5)
@@ -237,6 +239,20 @@ def _resolved(spark, sf) -> DataFrame:
     return configs.resolve(_sites(spark, sf), _profiles(spark, sf))
 
 
+@check("scan_latest_snapshot", """
+    SELECT o_custkey, o_orderkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority FROM orders
+    QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) = 1""")
+def _(spark, sf):
+    """A snapshot of two thirds of the versions, advanced by half of the rest and merged with the others and late repeats."""
+    keys, version = ["o_custkey"], ["o_orderdate", "o_orderkey"]
+    orders = v.table(spark, sf, "orders").select("o_custkey", "o_orderkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority")
+    third = F.pmod(F.xxhash64("o_orderkey"), F.lit(6))
+    names = [f"latest_{uuid.uuid4().hex}" for _ in range(2)]
+    snapshots.write_snapshot(orders.filter(third < 4), names[0], shared_folder(spark, "snapshot"), keys, version, 8)
+    snapshots.advance_snapshot(spark, names[0], orders.filter(third == 4), keys, version, names[1], shared_folder(spark, "snapshot"), 8)
+    return snapshots.read_latest(spark, names[1], orders.filter((third == 5) | (third == 0)), keys, version)
+
+
 @check("config_versions", views("site_versions", "SELECT * FROM site_versions QUALIFY row_number() OVER (PARTITION BY org, site ORDER BY _version DESC) = 1"))
 def _(spark, sf):
     return _sites(spark, sf)
