@@ -44,6 +44,14 @@ def _(spark, sf):
     return listing.log_page(v.access(spark, sf), TABLE, MONTH, offset=500).select(*_PAGE.split(", "))
 
 
+@check("log_page_counted", views("access", f"SELECT {_PAGE} FROM access WHERE {MONTH_WHERE} ORDER BY timestamp DESC, event_id DESC LIMIT 500 OFFSET 700"))
+def _(spark, sf):
+    """A deep page whose first minute comes from counts per minute; the counts come in two parts."""
+    rows, odd = v.access(spark, sf), F.col("event_id") % 2 == 1
+    counts = listing.minute_rows(rows.filter(odd), TABLE).unionByName(listing.minute_rows(rows.filter(~odd), TABLE))
+    return listing.log_page(rows, TABLE, MONTH, offset=700, counts=counts).select(*_PAGE.split(", "))
+
+
 @check("log_page_after", views("access", f"""SELECT {_PAGE} FROM access WHERE {MONTH_WHERE}
     AND (timestamp < TIMESTAMP '2024-01-15 12:00:00' OR (timestamp = TIMESTAMP '2024-01-15 12:00:00' AND event_id < 77))
     ORDER BY timestamp DESC, event_id DESC LIMIT 500"""))

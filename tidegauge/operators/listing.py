@@ -5,13 +5,14 @@ from __future__ import annotations
 from collections.abc import Sequence
 from datetime import datetime, timedelta
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidegauge.operators.aggregates import dim_count
 from tidegauge.operators.breakdown import by_count
-from tidegauge.operators.predicates import both, moment, newer_than, page_filter
-from tidegauge.spec import Facet, LogTable, Query
+from tidegauge.operators.predicates import both, minutes_between, moment, newer_than, page_filter
+from tidegauge.operators.timeseries import bucket
+from tidegauge.spec import MINUTE, Facet, LogTable, Query, TimeRange, floor_to
 
 # Fixed values.
 PAGE_ROWS = 500
@@ -23,8 +24,31 @@ MERGED_HOSTS = 200
 SUGGESTIONS_SHOWN = 20
 
 
+def minute_rows(df: DataFrame, table: LogTable) -> DataFrame:
+    """``minute``, ``rows``: how many rows are stored per minute, a roll-up that partials add up to as well."""
+    return df.groupBy(bucket(table.time, timedelta(minutes=1)).alias("minute")).agg(F.count(F.lit(1)).alias("rows"))
+
+
+def _unfiltered(query: Query) -> bool:
+    return not (query.host or query.owner_repo or query.search or query.filters or query.where)
+
+
+def _page_begins(counts: DataFrame, rng: TimeRange, needed: int, below: datetime | None) -> datetime | None:
+    """The newest minute from which on the range holds ``needed`` rows (below a time), if it holds as many.
+
+    The minute of ``below`` itself does not count, as part of it is above. One row
+    per minute of the range meets here, whatever the number of logs.
+    """
+    kept = minutes_between(counts, rng)
+    if below:
+        kept = kept & (F.col("minute") < moment(counts, "minute", floor_to(below, MINUTE)))
+    minutes = counts.filter(kept).groupBy("minute").agg(F.sum("rows").alias("rows"))
+    so_far = minutes.withColumn("n", F.sum("rows").over(Window.orderBy(F.col("minute").desc())))
+    return so_far.filter(F.col("n") >= needed).agg(F.max("minute").cast("timestamp_ntz")).first()[0]
+
+
 def log_page(df: DataFrame, table: LogTable, query: Query, page_rows: int = PAGE_ROWS,
-             offset: int = 0, after: tuple[datetime, object] | None = None) -> DataFrame:
+             offset: int = 0, after: tuple[datetime, object] | None = None, counts: DataFrame | None = None) -> DataFrame:
     """Newest rows first, one page of whole rows.
 
     A first pass over the filter columns finds the time of the page's last row;
@@ -32,9 +56,18 @@ def log_page(df: DataFrame, table: LogTable, query: Query, page_rows: int = PAGE
     and row groups. ``after`` continues below the last row seen, (time, id):
     its cost does not grow with the depth, unlike ``offset``, which has to pass
     all rows above.
+
+    ``counts`` (``minute_rows``, partials allowed, never more than are stored)
+    tells for queries without filters from which minute on the page's rows lie:
+    both passes then read from there on instead of the whole range.
     """
     time = F.col(table.time)
     rows = df.filter(page_filter(df, table, query))
+    begins = _page_begins(counts, query.range, offset + page_rows, after and after[0]) if counts is not None and _unfiltered(query) else None
+    if begins:
+        rows = rows.filter(time >= moment(df, table.time, begins))
+        if table.day:
+            rows = rows.filter(F.col(table.day) >= F.lit(begins.date()))
     order = [time.desc()]
     if table.id:
         order.append(F.col(table.id).desc())
