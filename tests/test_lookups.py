@@ -3,6 +3,7 @@ from random import Random
 
 from pyspark.sql import functions as F
 
+from checks import views
 from tidegauge.functions.json_patch import merge_patch
 from tidegauge.operators import configs, listing, lookups
 from tidegauge.plans.dashboards import DELIVERY
@@ -22,6 +23,17 @@ def test_latest_with_equal_versions_is_decidable(spark):
     assert lookups.latest(df.repartition(7), ["k"], ["v", "tie"]).first().tie == 49
 
 
+def test_site_versions_of_one_file_are_made_in_several_tasks(spark, tmp_path):
+    """Customers that one task scans; a row may come twice and keys may be NULL."""
+    data = [(i, i % 25) for i in range(500)] + [(7, 7), (None, 3)]
+    spark.createDataFrame(data, "c_custkey long, c_nationkey int").coalesce(1).write.parquet(str(tmp_path / "customer.parquet"))
+    found = views.site_versions(spark, str(tmp_path))
+    assert found.count() == sum(1 + (k or 0) % 3 for k, _ in data if k is not None)
+    per_task = [r["n"] for r in found.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).collect()]
+    assert max(per_task) < found.count() / 4
+    assert lookups.latest(found, ["org", "site"], "_version").count() == 500
+
+
 def test_request_ids_with_a_hot_id(spark):
     """A third of all rows share one id, another third carries none."""
     data = [("hot" if i % 3 == 0 else "0" if i % 3 == 1 else f"id{i % 50}", T0 + timedelta(seconds=i), i) for i in range(3000)]
