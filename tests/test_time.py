@@ -3,6 +3,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
+from tests.test_skew import shuffled
 from tidegauge.operators import predicates as p
 from tidegauge.operators import timeseries as ts
 from tidegauge.plans.dashboards import DELIVERY
@@ -119,3 +120,15 @@ def test_range_counters_against_brute_force(spark):
     for i, a, b in spans:
         inside = [(n % 5 + 1, n % 3 == 0) for n, t in enumerate(stamps) if a <= t < b]
         assert out[i] == (sum(w for w, _ in inside), sum(w for w, bad in inside if bad))
+
+
+def test_range_counters_of_long_ranges_without_times_and_of_repeated_keys(spark):
+    """Two rows per range, however long; rows and ranges without a time count nowhere, a key's ranges add up."""
+    start = datetime(2026, 1, 1)
+    facts = spark.createDataFrame([(None, 200, 50)] + [(start + timedelta(minutes=i), 200, 1) for i in (0, 1, 1439, 1440, 3000)],
+                                  "timestamp timestamp_ntz, response_status int, weight bigint")
+    spans = [(1, datetime(1700, 1, 1), datetime(2400, 1, 1)), (2, start, start + timedelta(minutes=1439)), (2, start + timedelta(days=1), start + timedelta(days=5)),
+             (3, datetime(2030, 1, 1), datetime(2031, 1, 1)), (4, None, None), (None, start, start + timedelta(minutes=1))]
+    out = ts.counters_in_ranges(facts, DELIVERY, spark.createDataFrame(spans, "id int, start timestamp_ntz, end timestamp_ntz"), ["id"])
+    assert sorted((str(r.id), r.cnt, r.cnt_ok, r.cnt_5xx) for r in out.collect()) == [("1", 5, 5, 0), ("2", 4, 4, 0), ("3", 0, 0, 0), ("None", 1, 1, 0)]
+    assert shuffled(out)[0] <= 2 * len(spans)

@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Sequence
 from datetime import timedelta
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from tidegauge.operators.aggregates import COUNTERS, resum, row_counters
+from tidegauge.operators.aggregates import COUNTERS, resum, row_counters, sums
 from tidegauge.operators.predicates import page_filter
 from tidegauge.spec import LogTable, Query, TimeRange
 
@@ -138,44 +138,32 @@ def snap_ranges(ranges: DataFrame, start: str = "start", end: str = "end") -> Da
     return ranges.withColumns({start: back(new_first), end: back(new_last)})
 
 
-def _units(level: str, start: Column, stop: Column) -> Column:
-    empty = F.array().cast("array<bigint>")
-    indexes = F.when(start < stop, F.sequence(start, stop - 1)).otherwise(empty)
-    return F.transform(indexes, lambda u: F.struct(F.lit(level).alias("level"), u.alias("unit")))
-
-
-def _whole(level: str, start: Column, stop: Column, size: int) -> tuple[Column, Column, Column]:
-    """Units at both ends that do not fill a coarser unit, and the coarser span.
-
-    Without a whole coarser unit in between, all units stay at this level.
-    """
-    first, last = F.ceil(start / size), F.floor(stop / size)
-    fits = first < last
-    edges = F.when(fits, F.concat(_units(level, start, first * size), _units(level, last * size, stop))).otherwise(
-        _units(level, start, stop))
-    return edges, F.when(fits, first).otherwise(F.lit(0)), F.when(fits, last).otherwise(F.lit(0))
-
-
 def counters_in_ranges(df: DataFrame, table: LogTable, ranges: DataFrame, keys: Sequence[str],
                        start: str = "start", end: str = "end") -> DataFrame:
     """Counters of many (snapped) ranges at once, end minute excluded.
 
-    Facts are reduced to minutes, hours and days before they meet the ranges;
-    each range is cut into whole days, hours and minutes. That makes an
-    equi-join with some hundred rows per range at most, however long it is.
+    A range's counters are the running totals at its end less those at its
+    start: two rows per range for an equi-join, however long it is. Facts are
+    reduced to minutes first; totals run over the minutes of each day, those
+    asked for included, and over the days.
     """
     def minute(column: str) -> Column:
         return F.floor(F.unix_seconds(F.col(column).cast("timestamp")) / 60)
 
-    counters = row_counters(table)
-    minutes = df.select(minute(table.time).alias("m"), *[c.alias(n) for n, c in counters.items()])
-    by_minute = minutes.groupBy("m").agg(*resum())
-    levels = F.array(*[F.struct(F.lit(name).alias("level"), F.floor(F.col("m") / size).alias("unit"))
-                       for name, size in (("minute", 1), ("hour", 60), ("day", 1440))])
-    units = by_minute.select(F.inline(levels), *COUNTERS).groupBy("level", "unit").agg(*resum())
-
-    loose, first_hour, last_hour = _whole("minute", minute(start), minute(end), 60)
-    hours, first_day, last_day = _whole("hour", first_hour, last_hour, 24)
-    pieces = F.concat(loose, hours, _units("day", first_day, last_day))
-    spread = ranges.select(*keys, F.inline(pieces))
-    return spread.join(units, ["level", "unit"], "left").groupBy(*keys).agg(*resum(COUNTERS))
+    def before(window: WindowSpec) -> list[Column]:
+        earlier = window.rowsBetween(Window.unboundedPreceding, -1)
+        return [F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(c) for c in COUNTERS]
+
+    ends = ranges.filter(minute(start) < minute(end)).select(*keys, F.inline(F.array(*[
+        F.struct(minute(column).alias("_minute"), F.lit(sign).cast("bigint").alias("_sign"))
+        for column, sign in ((start, -1), (end, 1))])))
+    rows = df.select(minute(table.time).alias("_minute"), *[c.alias(n) for n, c in row_counters(table).items()])
+    asked = ends.select("_minute").distinct().select("_minute", *[F.lit(0).cast("bigint").alias(c) for c in COUNTERS])
+    minutes = (rows.filter(F.col("_minute").isNotNull()).groupBy("_minute").agg(*resum()).unionByName(asked)
+               .groupBy("_minute").agg(*resum()).withColumn("_day", F.floor(F.col("_minute") / 1440)))
+    inside = minutes.select("_day", "_minute", *before(Window.partitionBy("_day").orderBy("_minute")))
+    days = minutes.groupBy("_day").agg(*resum()).select("_day", *before(Window.partitionBy(F.lit(0)).orderBy("_day")))
+    totals = inside.alias("i").join(days.alias("d"), "_day").select(
+        "_minute", *[(F.col(f"i.{c}") + F.col(f"d.{c}")).alias(c) for c in COUNTERS])
+    # Merged at every size: ends derived from a small file are still two rows per range, too many to broadcast.
+    return ends.hint("merge").join(totals, "_minute").groupBy(*keys).agg(*sums({c: F.col("_sign") * F.col(c) for c in COUNTERS}))
