@@ -59,6 +59,22 @@ def test_against_brute_force(spark, monkeypatch, block, broadcast):
     assert sorted(tuple(r) for r in got.collect()) == brute(rows, 5, 40)
 
 
+def test_no_lists_of_candidates_are_collected_and_pairs_are_shuffled_as_one_number(spark, monkeypatch):
+    """With more frequent phrases than are broadcast, a block's candidates come by co-group, not as a list in an aggregate."""
+    plans, real = [], c.written
+
+    def recorded(df, purpose, *more):
+        plans.append((purpose, df._jdf.queryExecution().executedPlan().toString()))
+        return real(df, purpose, *more)
+    monkeypatch.setattr(c, "written", recorded)
+    monkeypatch.setattr(c, "BROADCAST", 0)
+    rows = list(texts(3, 60))
+    assert sorted(tuple(r) for r in c.collocations(spark.createDataFrame(rows, SCHEMA), longest=3, least=4, top=10).collect()) == brute(rows, 4, 10, longest=3)
+    assert not any("collect_list" in plan for _, plan in plans)
+    pairs = [plan for purpose, plan in plans if purpose == "frequent"][1:]
+    assert len(pairs) == 2 and all("keys=[pair" in plan or "keys=[_groupingexpression" in plan for plan in pairs)
+
+
 def test_shorter_phrases_empty_and_other_columns(spark):
     rows = list(texts(2, 40))
     df = spark.createDataFrame([(*r, 1, "x") for r in rows], SCHEMA + ", n int, block string")

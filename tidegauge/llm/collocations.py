@@ -141,18 +141,21 @@ def _unpacked(at: bytes, idx: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(np.unpackbits(np.frombuffer(at, np.uint8))), np.frombuffer(idx, "<u2").astype(np.int64)
 
 
+def _arrow(schema: str) -> pa.Schema:
+    kinds = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "binary": pa.binary()}
+    kinds.update({f"array<{name}>": pa.list_(kind) for name, kind in kinds.items()})
+    return pa.schema([(name, kinds[kind]) for name, kind in map(str.split, schema.split(", "))])
+
+
 def _row(schema: str, values: list) -> pa.RecordBatch:
-    names = [part.split()[0] for part in schema.split(", ")]
-    kinds = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "binary": pa.binary(), "array<int>": pa.int32(), "array<long>": pa.int64(), "array<binary>": pa.binary()}
     arrays = []
-    for value, part in zip(values, schema.split(", "), strict=True):
-        kind = part.split()[1]
-        if kind.startswith("array"):
-            flat = value if isinstance(value, pa.Array) else pa.array(value, kinds[kind])
+    for value, kind in zip(values, (fields := _arrow(schema)).types, strict=True):
+        if pa.types.is_list(kind):
+            flat = value if isinstance(value, pa.Array) else pa.array(value, kind.value_type)
             arrays.append(pa.ListArray.from_arrays(pa.array([0, len(flat)], pa.int32()), flat))
         else:
-            arrays.append(pa.array([value], kinds[kind]))
-    return pa.RecordBatch.from_arrays(arrays, names)
+            arrays.append(pa.array([value], kind))
+    return pa.RecordBatch.from_arrays(arrays, fields.names)
 
 
 def occurrences(docs: DataFrame) -> DataFrame:
@@ -192,15 +195,15 @@ def _lists(column: pa.ListArray) -> Iterator[pa.Array]:
         yield column.values.slice(a, b - a)
 
 
-def _extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Blocks that came with their frequent candidates (place and number)."""
-    for batch in batches:
-        head = zip(*(batch.column(c).to_pylist() for c in range(5)), strict=True)
-        for (*one, at, idx), stayed, ids in zip(head, _lists(batch.column(5)), _lists(batch.column(6)), strict=True):
-            stayed = stayed.to_numpy()
-            place = np.full(max(int(np.frombuffer(idx, "<u2").max(initial=0)), int(stayed.max(initial=0))) + 1, -1, np.int64)
-            place[stayed] = np.arange(stayed.size)
-            yield from _pairs(*one, at, idx, ids.to_numpy(), place)
+def _extend(blocks: pa.Table, found: pa.Table) -> pa.Table:
+    """One block and its frequent candidates (place and number), as many as it has words at most."""
+    stayed, ids = (found.column(c).to_numpy() for c in ("at", "id"))
+    out = []
+    for row in blocks.to_pylist():
+        place = np.full(max(int(np.frombuffer(row["idx"], "<u2").max(initial=0)), int(stayed.max(initial=0))) + 1, -1, np.int64)
+        place[stayed] = np.arange(stayed.size)
+        out += _pairs(row["block"], row["lang"], row["own"], row["marks"], row["idx"], ids, place)
+    return pa.Table.from_batches(out, _arrow(PAIRS))
 
 
 class _Known:
@@ -226,11 +229,20 @@ class _Known:
         return np.where(self.packed[at] == packed, self.ids[at], -1) if self.packed.size else np.full(packed.size, -1, np.int64)
 
 
-def _frequent(relation: DataFrame, key: list[str], least: int) -> DataFrame:
-    """``key``, count ``f`` and a gapless number ``id`` of candidates that occur often enough."""
+def _frequent(relation: DataFrame, key: list[str], least: int, numbers: int = 0) -> tuple[DataFrame, int]:
+    """``key``, count ``f`` and a gapless number ``id`` of candidates that occur often enough, and how many they are.
+
+    Candidates are what is shuffled most. A pair of numbers below ``numbers`` goes as one number, which compresses better.
+    """
     own = [c for c in key if c != "lang"]
     each = relation.select("lang", F.explode(F.arrays_zip(*own, "n")).alias("c")).select("lang", *[F.col(f"c.{k}").alias(k) for k in own], F.col("c.n").alias("n"))
-    counted = each.groupBy(*key).agg(F.sum("n").alias("f")).where(F.col("f") >= least)
+    if key == ["a", "b"] and 0 < numbers < 1 << 31:
+        size = F.lit(numbers).cast("long")
+        counted = each.groupBy((F.col("a") * size + F.col("b")).alias("pair")).agg(F.sum("n").alias("f"))
+        counted = counted.select(F.call_function("div", "pair", size).alias("a"), F.pmod("pair", size).alias("b"), "f")
+    else:
+        counted = each.groupBy(*key).agg(F.sum("n").alias("f"))
+    counted = counted.where(F.col("f") >= least)
     found = written(counted.withColumn("at", F.monotonically_increasing_id()), "frequent", "zstd")
     # One count per partition: small numbers are what shuffles of pairs compress well.
     sizes = sorted((r["p"], r["n"]) for r in found.groupBy(F.shiftright("at", 33).alias("p")).agg(F.count("*").alias("n")).collect())
@@ -238,7 +250,7 @@ def _frequent(relation: DataFrame, key: list[str], least: int) -> DataFrame:
     starts[[p + 1 for p, _ in sizes]] = [n for _, n in sizes]
     before = F.split(F.lit(",".join(map(str, np.cumsum(starts).tolist()))), ",")
     number = F.element_at(before, (F.shiftright("at", 33) + 1).cast("int")).cast("long") + F.col("at").bitwiseAND(F.lit((1 << 33) - 1))
-    return found.select(*key, "f", number.alias("id"))
+    return found.select(*key, "f", number.alias("id")), sum(n for _, n in sizes)
 
 
 def _mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -287,14 +299,14 @@ def _passed(relation: DataFrame, frequent: DataFrame, key: list[str]) -> DataFra
     return relation.select("block", "lang", *own).mapInArrow(run, "block long, lang string, at int, " + ", ".join(f"{k} {kinds[k]}" for k in own))
 
 
-def _extended(relation: DataFrame, frequent: DataFrame, key: list[str]) -> DataFrame:
+def _extended(relation: DataFrame, frequent: DataFrame, size: int, key: list[str]) -> DataFrame:
     """The relation of phrases one word longer.
 
-    Up to ``BROADCAST`` frequent phrases travel to the blocks, which then stay where they are. More are
-    semi-joined with the blocks' candidates, and what is found is brought to the blocks by a second join.
+    Up to ``BROADCAST`` frequent phrases (of ``size``) travel to the blocks, which then stay where they are. More are
+    semi-joined with the blocks' candidates, and what is found is brought to the blocks by a co-group, one block at a time.
     """
     own = [c for c in key if c != "lang"]
-    if frequent.count() <= BROADCAST:
+    if size <= BROADCAST:
         table = frequent.select(*key, "id").toArrow().combine_chunks()
         columns = [c.combine_chunks() for c in table.columns]
         shared = relation.sparkSession.sparkContext.broadcast((columns[:-1], columns[-1]))
@@ -311,11 +323,9 @@ def _extended(relation: DataFrame, frequent: DataFrame, key: list[str]) -> DataF
                     yield from _pairs(*one, ids[there], place)
         return written(relation.select("block", "lang", "own", "at", "idx", *own).mapInArrow(run, PAIRS), "occurrences", "zstd", BATCH)
     # Merged at every size: a few more frequent phrases must not turn a broadcast into a shuffle of all blocks.
-    stay = (_passed(relation, frequent, key).join(frequent.select(*key, "id").hint("merge"), key)
-            .groupBy(F.col("block").alias("_block")).agg(F.collect_list(F.struct("at", "id")).alias("found")))  # as many as a block has words, at most
-    joined = (relation.select("block", "lang", "own", F.col("at").alias("marks"), "idx").join(stay.hint("merge"), F.col("block") == F.col("_block"))
-              .select("block", "lang", "own", "marks", "idx", F.col("found.at").alias("at"), F.col("found.id").alias("id")))
-    return written(joined.mapInArrow(_extend, PAIRS), "occurrences", "zstd", BATCH)
+    stay = _passed(relation, frequent, key).join(frequent.select(*key, "id").hint("merge"), key).select("block", "at", "id")
+    blocks = relation.select("block", "lang", "own", F.col("at").alias("marks"), "idx")
+    return written(blocks.groupBy("block").cogroup(stay.groupBy("block")).applyInArrow(_extend, PAIRS), "occurrences", "zstd", BATCH)
 
 
 def phrases(docs: DataFrame, longest: int = LONGEST, least: int = LEAST) -> tuple[DataFrame, DataFrame]:
@@ -323,13 +333,13 @@ def phrases(docs: DataFrame, longest: int = LONGEST, least: int = LEAST) -> tupl
     relation = written(occurrences(docs), "occurrences", "zstd", BATCH)
     totals = written(relation.groupBy("lang").agg(F.sum(F.aggregate("n", F.lit(0).cast("long"), lambda s, n: s + n)).alias("n")), "totals")
     key = ["lang", "word"]
-    frequent = _frequent(relation, key, least)
+    frequent, numbers = _frequent(relation, key, least)
     last = frequent.select("lang", "id", F.col("word").cast("string").alias("phrase"), F.col("word").cast("string").alias("last"), "f")
     found = last.select("lang", F.lit(1).alias("size"), "phrase", "f")
     for size in range(2, longest + 1):
-        relation = _extended(relation, frequent, key)
+        relation = _extended(relation, frequent, numbers, key)
         key = ["a", "b"]
-        frequent = _frequent(relation, key, least)
+        frequent, numbers = _frequent(relation, key, least, numbers)
         last = written(frequent.join(last.select("lang", F.col("id").alias("a"), F.col("phrase").alias("front")), "a")
                        .join(last.select(F.col("id").alias("b"), "last"), "b")
                        .select("lang", "id", F.concat_ws(" ", "front", "last").alias("phrase"), "last", "f"), "phrases")
