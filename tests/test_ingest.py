@@ -334,3 +334,15 @@ def test_missing_facet_summary_in_stream_tables(spark):
     facet = DELIVERY.facets["methods"]
     out = bd.breakdown(views.access(spark, SF), DELIVERY, facet, Query(views.MONTH))
     assert "summary_cnt" in out.columns
+
+
+def test_status_alone_does_not_build_the_record(spark):
+    """Spark takes the status out of a record made by the query; text that is no number, or too large, is 0."""
+    texts = ["200", " 200", "", None, "-1", "20x", "99999999999", "007", "12\n"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "timestamp long, t string").repartition(1)
+    status, other = F.concat("t", F.lit("")), F.upper("t")
+    record = F.struct(F.struct(status.alias("status"), other.alias("body")).alias("response"),
+                      F.struct(*[other.alias(c) for c in ("ref", "repo", "owner", "route")]).alias("platform"))
+    out = normalize.normalise_service(rows.select("timestamp", record.alias("json")), "admin").select("timestamp", "response_status")
+    assert "struct" not in out._jdf.queryExecution().executedPlan().toString()
+    assert [r.response_status for r in out.orderBy("timestamp").collect()] == [200, 0, 0, 0, 0, 0, 0, 7, 12]

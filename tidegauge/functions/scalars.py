@@ -33,9 +33,12 @@ def text(column: Column | str) -> Column:
 
 
 def unsigned_or_zero(column: Column, kind: str = "bigint") -> Column:
-    """The number if the whole text is one, else 0. Out-of-range text is 0 too."""
-    ok = column.rlike(UNSIGNED)
-    return F.coalesce(F.when(ok, column.try_cast(kind)), F.lit(0)).cast(kind)
+    """The number if the whole text is one, else 0. Out-of-range text is 0 too.
+
+    The column is named once: Spark then takes a field out of a record that a query
+    builds, where with a second use it would build the whole record for each row.
+    """
+    return F.coalesce(F.regexp_extract(column, UNSIGNED, 0).try_cast(kind), F.lit(0)).cast(kind)
 
 
 def double_or_zero(column: Column) -> Column:
