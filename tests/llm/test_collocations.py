@@ -2,7 +2,10 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from tidegauge.llm import collocations as c
 
@@ -75,6 +78,40 @@ def test_no_lists_of_candidates_are_collected_and_pairs_are_shuffled_as_one_numb
     assert len(pairs) == 2 and all("keys=[pair" in plan or "keys=[_groupingexpression" in plan for plan in pairs)
 
 
+@pytest.mark.parametrize("numbers, tasks", [(1, 4), (2, 200), (70_000, 51), ((1 << 31) - 1, 1), ((1 << 31) - 1, 10_000)])
+def test_dealt_pairs_come_back(numbers, tasks):
+    """Smallest and largest numbers, counts of one and of several digits."""
+    rng = np.random.default_rng(5)
+    a, b = np.append(rng.integers(0, numbers, 500), [0, numbers - 1]), np.append(rng.integers(0, numbers, 500), [numbers - 1, numbers - 1])
+    mix = c._Mixed(numbers, tasks)
+    mixed = np.unique(mix.mixed(a, b))
+    counts = np.where(np.arange(mixed.size) % 3, 1, rng.integers(1, 1 << 40, mixed.size))
+    back = Counter()
+    for batch in c._lists_of(mix, mixed, counts):
+        assert batch.schema.equals(c._arrow(c.DEALT))
+        for row in pa.Table.from_batches([batch]).to_pylist():
+            for high, low, n in zip(row["high"], row["low"], row["n"], strict=True):
+                back[row["bucket"] << mix.rest | high << 16 | low & 0xFFFF] += n << row["shift"]
+    assert back == dict(zip(mixed.tolist(), counts.tolist(), strict=True))
+    assert set(zip(*(x.tolist() for x in mix.pairs(mixed)), strict=True)) == set(zip(a.tolist(), b.tolist(), strict=True))
+
+
+def test_pairs_are_shuffled_as_lists_of_their_lower_bits(spark, monkeypatch):
+    """Pairs that many blocks share leave a task once; a list takes three bytes and a count's seven bits a pair."""
+    rng = random.Random(7)
+    data = [(sorted({(rng.randrange(70_000), rng.randrange(9)) for _ in range(4000)}), rng.randint(1, 300)) for _ in range(6)] * 3
+    blocks = spark.createDataFrame([([a for a, _ in pairs], [b for _, b in pairs], [n] * len(pairs)) for pairs, n in data], "a array<long>, b array<long>, n array<int>")
+    brute_force = Counter()
+    for pairs, n in data:
+        brute_force.update(dict.fromkeys(pairs, n))
+    rows = c._dealt(blocks.coalesce(1), c._Mixed(70_000, 4)).where("shift = 0").agg(F.sum(F.size("low")).alias("pairs"), F.count("*").alias("lists")).first()
+    assert rows["pairs"] <= len(brute_force) and 50 * rows["lists"] < rows["pairs"]
+    for most in (c.SUMMED, 5000):
+        monkeypatch.setattr(c, "SUMMED", most)
+        got = c._counted_pairs(blocks.repartition(3), 400, 70_000)
+        assert {(r["a"], r["b"]): r["f"] for r in got.collect()} == {p: n for p, n in brute_force.items() if n >= 400}
+
+
 def test_shorter_phrases_empty_and_other_columns(spark):
     rows = list(texts(2, 40))
     df = spark.createDataFrame([(*r, 1, "x") for r in rows], SCHEMA + ", n int, block string")

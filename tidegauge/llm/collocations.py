@@ -13,7 +13,9 @@ pieces are a position apart, so neighbouring positions lie in one piece. A round
    parts are frequent. Both inputs are sorted, so one pass over a block does it.
 
 A block brings its distinct candidates to the count and to the semi-join, not its
-occurrences. The semi-join sends up to ``BROADCAST`` frequent phrases to the
+occurrences. What is shuffled most are pairs to be counted: a task sums those of
+its blocks, a bounded number at a time, and ships them as sorted lists of the
+lower bits of pairs whose mixed numbers begin alike. The semi-join sends up to ``BROADCAST`` frequent phrases to the
 blocks; beyond, it is an equi-join of written tables, where a phrase that every
 text holds is one row per block, and adaptive execution can split it.
 
@@ -42,7 +44,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidegauge.llm.common import map_batches, written
+from tidegauge.llm.common import map_batches, partitions, written
 
 LONGEST = 5
 LEAST = 100
@@ -56,6 +58,11 @@ LANGUAGES = 8
 BATCH = 8 << 20
 #: Frequent phrases of one length that are sent to all tasks, some 10 MB.
 BROADCAST = 1 << 18
+#: Pairs that a task sums before they are shuffled, some 100 MB while they are sorted.
+SUMMED = 1 << 21
+#: Odd number that mixes pairs, and its inverse among 64 bits.
+ODD = 0x9E3779B97F4A7C15
+INVERSE = pow(ODD, -1, 1 << 64)
 #: Bits of the map of frequent phrases that lets a block's candidates pass, a fixed 2 MB.
 MAP_BITS = 1 << 24
 #: Characters that end a piece; a tab or a space parts words.
@@ -142,7 +149,7 @@ def _unpacked(at: bytes, idx: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _arrow(schema: str) -> pa.Schema:
-    kinds = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "binary": pa.binary()}
+    kinds = {"long": pa.int64(), "int": pa.int32(), "smallint": pa.int16(), "tinyint": pa.int8(), "string": pa.string(), "binary": pa.binary()}
     kinds.update({f"array<{name}>": pa.list_(kind) for name, kind in kinds.items()})
     return pa.schema([(name, kinds[kind]) for name, kind in map(str.split, schema.split(", "))])
 
@@ -229,22 +236,103 @@ class _Known:
         return np.where(self.packed[at] == packed, self.ids[at], -1) if self.packed.size else np.full(packed.size, -1, np.int64)
 
 
+class _Mixed:
+    """Pairs of numbers below ``numbers`` as one number each, mixed so that its leading bits deal pairs evenly."""
+
+    def __init__(self, numbers: int, tasks: int):
+        self.half = np.uint64(max((numbers - 1).bit_length(), 1))
+        whole = 2 * int(self.half)
+        self.mask = np.uint64((1 << whole) - 1)
+        # Some 32 buckets a task; what they leave of a number fits 31 and 16 bits.
+        self.rest = max(whole - max(min(16, (32 * tasks).bit_length()), whole - 47), 0)
+
+    def mixed(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        pair = a.astype(np.uint64) << self.half | b.astype(np.uint64)
+        return (pair ^ pair >> self.half) * np.uint64(ODD) & self.mask
+
+    def pairs(self, mixed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        pair = mixed.astype(np.uint64) * np.uint64(INVERSE) & self.mask
+        pair ^= pair >> self.half
+        return (pair >> self.half).astype(np.int64), (pair & (self.mask >> self.half)).astype(np.int64)
+
+
+#: Pairs of one bucket: the bits of each behind the bucket's, and seven bits of its count from ``shift`` on.
+DEALT = "bucket int, shift int, high array<int>, low array<smallint>, n array<tinyint>"
+
+
+def _lists_of(mix: _Mixed, mixed: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Sorted pairs and their counts as rows of ``DEALT``; counts are split into digits of seven bits."""
+    for shift in range(0, int(counts.max(initial=0)).bit_length(), 7):
+        digit = counts >> shift & 127
+        there = digit > 0
+        numbers = mixed[there].astype(np.int64)
+        bucket = numbers >> mix.rest
+        starts = np.flatnonzero(np.diff(bucket, prepend=-1))
+        ends = pa.array(np.append(starts, bucket.size).astype(np.int32))
+        rest = numbers & ((1 << mix.rest) - 1)
+        values = (rest >> 16).astype(np.int32), (rest & 0xFFFF).astype(np.uint16).view(np.int16), digit[there].astype(np.int8)
+        yield pa.RecordBatch.from_arrays([pa.array(bucket[starts].astype(np.int32)), pa.array(np.full(starts.size, shift, np.int32)),
+                                          *(pa.ListArray.from_arrays(ends, pa.array(v)) for v in values)], ["bucket", "shift", "high", "low", "n"])
+
+
+def _dealt(relation: DataFrame, mix: _Mixed) -> DataFrame:
+    """Candidate pairs with their counts, summed within tasks, as rows of ``DEALT``."""
+    most = SUMMED
+
+    def summed(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        mixed, counts = (np.concatenate(c) for c in zip(*held, strict=True))
+        order = np.argsort(mixed)
+        mixed = mixed[order]
+        starts = np.flatnonzero(np.append(True, mixed[1:] != mixed[:-1]))
+        return mixed[starts], np.add.reduceat(counts[order], starts)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            for a, b, n in zip(*map(_lists, batch.columns), strict=True):
+                held.append((mix.mixed(a.to_numpy(), b.to_numpy()), n.to_numpy().astype(np.int64)))
+                size += len(a)
+                if size >= most:
+                    held = [summed(held)]
+                    size = held[0][0].size
+                    if 2 * size >= most:  # few repeat
+                        yield from _lists_of(mix, *held[0])
+                        held, size = [], 0
+        if size:
+            yield from _lists_of(mix, *summed(held))
+    return relation.select("a", "b", "n").mapInArrow(run, DEALT)
+
+
+def _counted_pairs(relation: DataFrame, least: int, numbers: int) -> DataFrame:
+    """``a``, ``b`` and count ``f`` of pairs of numbers below ``numbers`` that occur often enough."""
+    tasks = partitions(relation.sparkSession)
+    mix = _Mixed(numbers, tasks)
+    each = (_dealt(relation, mix).repartition(tasks, "bucket").select("bucket", "shift", F.explode(F.arrays_zip("high", "low", "n")).alias("c"))
+            .select("bucket", F.expr(f"shiftleft(CAST(bucket AS BIGINT), {mix.rest}) | shiftleft(CAST(c.high AS BIGINT), 16) | (CAST(c.low AS BIGINT) & 65535)").alias("pair"),
+                    F.expr("shiftleft(CAST(c.n AS BIGINT), shift)").alias("n")))
+    # A pair lies in one bucket, so the shuffle by buckets serves this aggregate.
+    counted = each.groupBy("pair", "bucket").agg(F.sum("n").alias("f")).where(F.col("f") >= least).select("pair", "f")
+
+    def parted():
+        def one(batch: pa.RecordBatch) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([*map(pa.array, mix.pairs(batch.column(0).to_numpy())), batch.column(1)], ["a", "b", "f"])
+        return one
+    return map_batches(counted, "a long, b long, f long", parted)
+
+
 def _frequent(relation: DataFrame, key: list[str], least: int, numbers: int = 0) -> tuple[DataFrame, int]:
     """``key``, count ``f`` and a gapless number ``id`` of candidates that occur often enough, and how many they are.
 
-    Candidates are what is shuffled most. A pair of numbers below ``numbers`` goes as one number, which compresses better.
+    Candidates are what is shuffled most. Pairs of numbers below ``numbers`` go as lists.
     """
     own = [c for c in key if c != "lang"]
-    each = relation.select("lang", F.explode(F.arrays_zip(*own, "n")).alias("c")).select("lang", *[F.col(f"c.{k}").alias(k) for k in own], F.col("c.n").alias("n"))
     if key == ["a", "b"] and 0 < numbers < 1 << 31:
-        size = F.lit(numbers).cast("long")
-        counted = each.groupBy((F.col("a") * size + F.col("b")).alias("pair")).agg(F.sum("n").alias("f"))
-        counted = counted.select(F.call_function("div", "pair", size).alias("a"), F.pmod("pair", size).alias("b"), "f")
+        counted = _counted_pairs(relation, least, numbers)
     else:
-        counted = each.groupBy(*key).agg(F.sum("n").alias("f"))
-    counted = counted.where(F.col("f") >= least)
-    found = written(counted.withColumn("at", F.monotonically_increasing_id()), "frequent", "zstd")
-    # One count per partition: small numbers are what shuffles of pairs compress well.
+        each = relation.select("lang", F.explode(F.arrays_zip(*own, "n")).alias("c")).select("lang", *[F.col(f"c.{k}").alias(k) for k in own], F.col("c.n").alias("n"))
+        counted = each.groupBy(*key).agg(F.sum("n").alias("f")).where(F.col("f") >= least)
+    found = written(counted.withColumn("at", F.monotonically_increasing_id()), "frequent", "zstd", BATCH)
+    # One count per partition: gapless numbers keep pairs of them short.
     sizes = sorted((r["p"], r["n"]) for r in found.groupBy(F.shiftright("at", 33).alias("p")).agg(F.count("*").alias("n")).collect())
     starts = np.zeros(max((p for p, _ in sizes), default=0) + 2, np.int64)
     starts[[p + 1 for p, _ in sizes]] = [n for _, n in sizes]
